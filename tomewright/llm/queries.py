@@ -9,8 +9,11 @@ from ..functions.payload import read_payload
 from ..session import spread, table
 from .cuts import judge_cuts
 from .forms import find_variants, fold_texts
+from .leaks import find_leaks
+from .mixing import actual_shares, mix_sources
 from .pieces import split_oversized
 from .sentences import sentence_texts, split_sentences
+from .survivors import survivors
 
 
 def _adapted_texts(spark: SparkSession, d: str, *states: str) -> DataFrame:
@@ -64,6 +67,42 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).filter("cut").select("row_id").distinct()
 
 
+def p7_passages(spark: SparkSession, d: str, least: float = 0.5) -> DataFrame:
+    """Documents with the items they leak and the share of each item's words."""
+    docs = spread(table(spark, d, "documents", "doc_id", "text"))
+    return find_leaks(docs, "doc_id", "text", table(spark, d, "eval_items", "item_id", "text"), "item_id", "text", least)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_passages(spark, d).select("doc_id", "item_id").distinct()
+
+
+def _survivors(spark: SparkSession, d: str, missing: str) -> DataFrame:
+    lexicon = table(spark, d, "lexicon", "book_id", "term", "spoken_as", "reason", "hint_id", "origin", "recorded_at")
+    return survivors(lexicon, "book_id", "term", "hint_id", ["spoken_as", "reason"], "origin", "recorded_at", table(spark, d, "origin_trust"), missing)
+
+
+def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each term of each book; rows without a timestamp take the place learned for their value."""
+    return _survivors(spark, d, "learned").select("book_id", "term", "spoken_as", "reason", "rows", F.col("first_hint_id").cast("long"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _survivors(spark, d, "earliest").filter("rows >= 2")
+    return rows.select("first_hint_id", F.col("spoken_as_hint_id").alias("spoken_hint_id"), F.col("reason_hint_id").alias("reason_hint_id"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture with their repeats."""
+    docs = spread(table(spark, d, "documents", "doc_id", "source", "text"))
+    return mix_sources(docs, "doc_id", "text", "source", table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The actual share of each source of the mixture."""
+    return actual_shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 #: Outer white space for RE2, whose own class is ASCII only.
 _SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 

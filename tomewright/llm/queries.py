@@ -12,6 +12,7 @@ from .forms import find_variants, fold_texts
 from .leaks import find_leaks
 from .mixing import actual_shares, mix_sources
 from .pieces import split_oversized
+from .privacy import find_entities, replace_entities
 from .sentences import sentence_texts, split_sentences
 from .survivors import survivors
 
@@ -103,6 +104,20 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return actual_shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with typed, keyed placeholders in place of personal information."""
+    return replace_entities(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")
+
+
+def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with made-up values of the same kind and format instead."""
+    return replace_entities(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text", style="surrogate")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_entities(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text").select("doc_id", "kind", "found").distinct()
+
+
 #: Outer white space for RE2, whose own class is ASCII only.
 _SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 

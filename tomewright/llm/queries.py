@@ -13,6 +13,7 @@ from .leaks import find_leaks
 from .mixing import actual_shares, mix_sources
 from .pieces import split_oversized
 from .privacy import find_entities, replace_entities
+from .scans import find_faults, repair_pages
 from .sentences import sentence_texts, split_sentences
 from .survivors import survivors
 
@@ -78,6 +79,20 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_passages(spark, d).select("doc_id", "item_id").distinct()
 
 
+def _chapters(spark: SparkSession, d: str) -> DataFrame:
+    books = table(spark, d, "books", "book_id", F.col("title").alias("book_title"))
+    return spread(table(spark, d, "chapters_raw", "row_id", "book_id", "title", "html")).join(books, "book_id", "left")
+
+
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Every scanned chapter as continuous clean paragraphs."""
+    return repair_pages(_chapters(spark, d), "row_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_faults(_chapters(spark, d), "row_id").select("row_id", "line_no", "kind", "fixed").distinct()
+
+
 def _survivors(spark: SparkSession, d: str, missing: str) -> DataFrame:
     lexicon = table(spark, d, "lexicon", "book_id", "term", "spoken_as", "reason", "hint_id", "origin", "recorded_at")
     return survivors(lexicon, "book_id", "term", "hint_id", ["spoken_as", "reason"], "origin", "recorded_at", table(spark, d, "origin_trust"), missing)

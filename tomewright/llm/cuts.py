@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import filled
+
 from .sentences import MAY_END, NEVER_FINAL
 
 # Words of closing lines that stand without a mark, and marks that sources put behind a cut.
@@ -166,6 +168,13 @@ def limits_of(hist: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"n": n[at], "posterior": np.clip(1 - rows.sum() * density / observed, BASE, 0.995)})
 
 
+def _limits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    got = limits_of(pdf)
+    if got.empty:
+        return pd.DataFrame()
+    return pd.DataFrame({"source": pd.Series([key[0]] * len(got), dtype=object), "n": got["n"].to_numpy(), "posterior": got["posterior"].to_numpy()})
+
+
 def judge_cuts(df: DataFrame, key: str, source: str, text: str, state: str, place: list[str]) -> DataFrame:
     """``key``, ``source`` (normalised), ``n`` (code points), ``posterior``, ``score``, ``cut`` for every row of ``df``.
 
@@ -175,14 +184,14 @@ def judge_cuts(df: DataFrame, key: str, source: str, text: str, state: str, plac
     """
     base = df.select(F.col(key).alias("key"), source_name(F.col(source)).alias("source"), F.col(state).alias("state"), F.xxhash64(*place).alias("place"), F.col(text).alias("text"))
     schema = T.StructType([*(f for f in base.schema.fields if f.name != "text"), T.StructField("n", T.LongType()), *ENDING.fields])
-    ends = base.mapInPandas(_endings, schema)
+    ends = base.mapInPandas(filled(_endings), schema)
     # very long lengths are told apart to three digits only, so that a histogram stays small
     size = F.when(F.col("n") < 65536, F.col("n")).otherwise(F.round(F.col("n"), -3)).cast("long")
     ends = ends.withColumn("n", size)
     lost = F.col("kind").isin("no_end", "marked_cut", "dots").cast("long")
     hist = ends.filter(F.col("kind").isNotNull()).groupBy("source", "n").agg(F.count(F.lit(1)).alias("rows"), F.sum(lost).alias("unended"))
     out = T.StructType([T.StructField("source", T.StringType()), T.StructField("n", T.LongType()), T.StructField("posterior", T.DoubleType())])
-    limits = hist.groupBy("source").applyInPandas(lambda k, pdf: limits_of(pdf).assign(source=k[0])[["source", "n", "posterior"]], out)
+    limits = hist.groupBy("source").applyInPandas(_limits, out)
     rows = ends.join(limits.withColumnRenamed("source", "s2").withColumnRenamed("n", "n2"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("n") == F.col("n2")), "left").drop("s2", "n2")
     rows = rows.withColumn("posterior", F.coalesce("posterior", F.lit(BASE)))
     # an unmarked or dotted ending that recurs at other places, mostly away from any limit, is one by nature
@@ -192,7 +201,7 @@ def judge_cuts(df: DataFrame, key: str, source: str, text: str, state: str, plac
         .groupBy("kind", "tail").agg(F.count(F.lit(1)).alias("places"), F.avg("posterior").alias("mean"))
         .filter((F.col("places") >= 2) & (F.col("mean") < 0.3)).select("kind", "tail", F.lit(True).alias("natural"))
     )
-    thai = base.select("text").mapInPandas(_thai_ends, T.StructType([T.StructField("suffix", T.StringType()), T.StructField("seen", T.LongType())])).groupBy("suffix").agg(F.sum("seen").alias("seen"))
+    thai = base.select("text").mapInPandas(filled(_thai_ends), T.StructType([T.StructField("suffix", T.StringType()), T.StructField("seen", T.LongType())])).groupBy("suffix").agg(F.sum("seen").alias("seen"))
     rows = rows.join(tails, ["kind", "tail"], "left").join(thai, "suffix", "left")
     kind = F.when(F.col("natural"), "closing").when((F.col("kind") == "thai") & (F.coalesce("seen", F.lit(0)) < 2), "thai_odd").otherwise(F.col("kind"))
     weight = F.coalesce(*(F.when(kind == k, F.lit(w)) for k, w in WEIGHTS.items()), F.lit(-9.0))

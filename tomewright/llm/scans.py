@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import filled
 from ..session import cut_lineage
 from .gbm import Boosted
 
@@ -248,7 +249,7 @@ def _string(*names: str) -> list[T.StructField]:
 def count_words(rows: DataFrame) -> DataFrame:
     """``word``, ``clean``, ``scanned`` over all rows (column ``html``)."""
     schema = T.StructType([*_string("word"), T.StructField("clean", T.LongType()), T.StructField("scanned", T.LongType())])
-    return rows.select("html").mapInPandas(_count_words, schema).groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned"))
+    return rows.select("html").mapInPandas(filled(_count_words), schema).groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned"))
 
 
 # ---- broken words
@@ -437,7 +438,7 @@ def correct_words(suspects: DataFrame, counts: DataFrame, words: dict[str, float
     confusions = {(r["e"][0], r["e"][1]): float(r["n"]) for r in table.collect()}
     model = train_ranker(words, confusions)
     schema = T.StructType([*_string("bad", "good"), T.StructField("score", T.DoubleType())])
-    ranked = pairs.select("bad", "good", "shared", "n_bad", "n_good").mapInPandas(_ranked(model, confusions), schema)
+    ranked = pairs.select("bad", "good", "shared", "n_bad", "n_good").mapInPandas(filled(_ranked(model, confusions)), schema)
     return ranked.groupBy("bad").agg(F.max(F.struct("score", "good")).alias("b")).select("bad", F.col("b.good").alias("good"), F.col("b.score").alias("score")).filter("score > 0.5")
 
 
@@ -500,7 +501,7 @@ def find_faults(rows: DataFrame, key: str) -> DataFrame:
     trusted = counts.filter("clean > 0").withColumn("n", (F.col("clean") + F.col("scanned")).cast("double"))
     words = {r["word"]: r["n"] for r in trusted.orderBy(F.xxhash64("word")).limit(SAMPLE_WORDS).toLocalIterator()}
     schema = T.StructType([base.schema["key"], T.StructField("line_no", T.IntegerType()), *_string("kind", "a", "b", "mark")])
-    parts = cut_lineage(base.mapInPandas(_taken_apart(heads), schema))
+    parts = cut_lineage(base.mapInPandas(filled(_taken_apart(heads)), schema))
     furniture = parts.filter("kind IN ('header', 'page_number')").select("key", "line_no", "kind", F.lit("").alias("was"), F.lit("").alias("fixed"))
     # broken words
     cases = parts.filter("kind = 'hyphen'").select("key", "line_no", "a", "b", F.lower(F.regexp_replace("a", "[‐‑]", "-")).alias("left"), F.lower(F.regexp_replace("b", "[‐‑]", "-")).alias("right"), "mark")
@@ -511,7 +512,7 @@ def find_faults(rows: DataFrame, key: str) -> DataFrame:
     known = asked.join(counts.select("word", (F.col("clean") * 4 + F.col("scanned")).cast("double").alias("n")), "word", "left")
     wide = known.groupBy("left", "right", "mark").agg(*(F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0.0)).alias(f"c{i}") for i in range(5)))
     schema = T.StructType([*_string("left", "right", "mark", "fixed"), T.StructField("known", T.BooleanType())])
-    joined = cut_lineage(wide.mapInPandas(_joined(train_joins(words)), schema).filter(F.col("fixed").isNotNull()))
+    joined = cut_lineage(wide.mapInPandas(filled(_joined(train_joins(words))), schema).filter(F.col("fixed").isNotNull()))
     # suspects: words of scanned lines that no clean row has, and joined words that no row has
     said = parts.filter("kind = 'word'").groupBy(F.col("a").alias("bad")).agg(F.count(F.lit(1)).cast("double").alias("n_bad"))
     said = said.unionByName(joined.filter(~F.col("known") & ~F.col("fixed").contains("-")).select(F.col("fixed").alias("bad"), F.lit(1.0).alias("n_bad"))).groupBy("bad").agg(F.sum("n_bad").alias("n_bad"))
@@ -576,4 +577,4 @@ def repair_pages(rows: DataFrame, key: str) -> DataFrame:
     faults = find_faults(rows, key).groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("line_no", "kind", "was", "fixed")).alias("faults"))
     base = rows.select(F.col(key).alias("key"), "html").filter(F.col("html").isNotNull()).join(faults, "key", "left")
     schema = T.StructType([base.schema["key"], T.StructField("para_no", T.IntegerType()), *_string("text")])
-    return base.mapInPandas(_rebuilt, schema).withColumnRenamed("key", key)
+    return base.mapInPandas(filled(_rebuilt), schema).withColumnRenamed("key", key)

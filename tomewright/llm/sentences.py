@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import filled
+
 # Abbreviations for documents and corpora too small to show them. Those of the first list never end a
 # sentence before a capital, those of the second may.
 NEVER_FINAL = {"mr", "mrs", "ms", "dr", "prof", "st", "gen", "rev", "fig", "no", "nr", "vol", "pp", "vs", "e.g", "i.e", "cf", "approx", "ca", "abb", "bzw", "z.b", "d.h", "u.a", "vgl", "hr", "fr", "s", "m", "mm", "mme", "mlle", "p.ex", "art", "sr", "sra", "dra", "srta", "pág", "p.ej", "núm", "стр", "г", "гл", "рис", "т.е", "напр", "см", "им", "डॉ", "श्री", "ดร"}
@@ -338,7 +340,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def token_counts(texts: DataFrame) -> DataFrame:
     """One row for each token of the corpus with its :data:`FIELDS`; ``texts`` has a column ``text``."""
     schema = T.StructType([T.StructField("token", T.StringType())] + [T.StructField(f, T.LongType()) for f in FIELDS])
-    part = texts.select("text").mapInPandas(_count, schema)
+    part = texts.select("text").mapInPandas(filled(_count), schema)
     return part.groupBy("token").agg(*(F.sum(f).alias(f) for f in FIELDS))
 
 
@@ -373,7 +375,7 @@ def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     asked = docs.select("key", F.explode(F.array_distinct(F.concat(before, after))).alias("token"))
     known = asked.join(counts, "token").groupBy("key").agg(F.collect_list(F.struct("token", *FIELDS)).alias("known"))
     schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), T.StructField("end_pos", T.IntegerType())])
-    return docs.join(known, "key", "left").mapInPandas(_split, schema).withColumnRenamed("key", key)
+    return docs.join(known, "key", "left").mapInPandas(filled(_split), schema).withColumnRenamed("key", key)
 
 
 def sentence_texts(df: DataFrame, key: str, text: str) -> DataFrame:

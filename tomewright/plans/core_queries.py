@@ -1,11 +1,502 @@
-"""Queries over the driver's tables for the operators of this package, with their SQL."""
+"""Queries over the driver's tables for the operators of this package, with their SQL.
+
+Texts of ``documents`` have none of the faults that the cleaners mend, so the cleaning queries first put such faults in,
+by one rule that is written once and spelled for both engines.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions.payload import read_payload
+from ..operators import adaptation as A
+from ..operators import audio as U
+from ..operators import chunking as C
+from ..operators import documents as D
+from ..session import spread, table
+
+#: What is put behind a line, by its number.
+FAULTS = [
+    "\n", " “quoted” – and ‘so’ on…\n", "\n\n12\n", "\n\n[^3]: A note on the text\n", "\n==> picture 1 <==\n", "\n# Part (A) = 1\n", "\n\n---\n\n", "\nin-\nfirst-\npass\n", "\r\n", " tail  \t  x \n\n\n\n", "\nRunning Head\n", "\n## **A Plain Heading**\n",
+]
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t") + "'"
+
+
+def decorated(text: str) -> Column:
+    cases = " ".join(f"WHEN {i} THEN {_quoted(f)}" for i, f in enumerate(FAULTS))
+    return F.expr(f"array_join(transform(split({text}, '\\n'), (l, i) -> concat(l, CASE i % {len(FAULTS)} {cases} END)), '')")
+
+
+def _duck_decorated(text: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN E{_quoted(f)}" for i, f in enumerate(FAULTS))
+    return f"array_to_string(list_transform(string_split({text}, chr(10)), lambda l, i: l || CASE (i - 1) % {len(FAULTS)} {cases} END), '')"
+
+
+#: White space in RE2, which knows ASCII only; Java's and Python's are those of Unicode.
+W = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_DOCS = f"SELECT doc_id, {_duck_decorated('text')} AS t FROM documents"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{W}+|{W}+$', '', 'g')"
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", decorated("text").alias("t"))
+
+
+def _cleaned(how) -> object:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return _docs(spark, d).select("doc_id", F.md5(how(F.col("t"))).alias("digest"), F.length(how(F.col("t"))).cast("long").alias("chars"))
+
+    return query
+
+
+def _cleaned_sql(x: str, source: str = _DOCS) -> str:
+    return f"SELECT doc_id, md5(c) AS digest, length(c) AS chars FROM (SELECT doc_id, {x} AS c FROM ({source}))"
+
+
+_PUNCT = "replace(translate(t, '“”‘’–—' || chr(160), '\"\"''''-- '), '…', '...')"
+_SPLIT = r"string_split(regexp_replace(regexp_replace(t, '\r\n|[\r\x{0B}\x{0C}\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '\n$', ''), chr(10))"
+_NOTE = rf"^{W}*\[\^?[0-9]+\]:?{W}+[^\s]"
+_BODY = f"array_to_string(list_filter(ls, lambda l: NOT regexp_matches(l, '{_NOTE}')), chr(10))"
+_ARTIFACTS = f"""
+    WITH d AS (SELECT doc_id, {_SPLIT} AS ls FROM ({_DOCS})),
+    l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+    n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, {_strip('line')}) AS k FROM l),
+    kept AS (SELECT doc_id, i, line FROM n WHERE NOT regexp_matches(line, '^{W}*[0-9]{{1,4}}{W}*$')
+             AND NOT (k >= 3 AND {_strip('line')} <> '' AND NOT starts_with({_strip('line')}, '#') AND length({_strip('line')}) < 60))
+    SELECT d.doc_id, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS c FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+"""
+_WORDS = lambda x: f"CASE WHEN {_strip(x)} = '' THEN 0 ELSE len(string_split_regex({_strip(x)}, '{W}+')) END"
+
+
+# ---- documents
+
+
+def _dehyphenate(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    mended = D.dehyphenate(docs, "doc_id", "t", D.vocabulary(docs, "t", 3))
+    return mended.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("chars"))
+
+
+def _slug(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chapters_raw", "row_id", "title").filter("title IS NOT NULL")
+    return rows.select("row_id", X.slugify(F.col("title"), 24).alias("slug"))
+
+
+def _filename(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents", "doc_id", "text")
+    return rows.select("doc_id", X.safe_filename(F.substring("text", 1, 80)).alias("name"))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as the pages of the book they are from."""
+    return table(spark, d, "documents", "book_id", "text").filter("book_id IS NOT NULL")
+
+
+def _guard(spark: SparkSession, d: str) -> DataFrame:
+    return D.scan_guard(_pages(spark, d), "book_id", "text", least_mean=600.0).withColumn("pages", F.col("pages").cast("long"))
+
+
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    return D.quality_warnings(_pages(spark, d), "book_id", "text", low=0.6, most=0.2)
+
+
+def _outline(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines made of the chapters: some on a lower level, starting at pages with gaps and ties."""
+    chapters = table(spark, d, "chapters_raw", "book_id", "chapter_index", "title").groupBy("book_id", "chapter_index").agg(F.min("title").alias("title"))
+    outline = chapters.select("book_id", F.col("chapter_index").alias("ix"), F.when(F.col("chapter_index") % 4 == 3, 2).otherwise(1).alias("level"), "title", (F.col("chapter_index") * 3 - F.col("chapter_index") % 3).alias("start_page"))
+    pages = chapters.groupBy("book_id").agg((F.max("chapter_index") * 3 + 2).alias("page_count"))
+    return D.outline_sections(outline, pages, "book_id").select("book_id", F.col("section_ix").cast("long"), "title", F.col("page_ix").cast("long"))
+
+
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select("doc_id", X.unify_line_ends(F.col("t")).alias("t"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("fb"))
+    docs = docs.withColumn("lv", D.heading_level(F.col("t")))
+    got = D.split_sections(docs, "doc_id", "t", "lv", "fb")
+    return got.select("doc_id", F.col("section_ix").cast("long"), "title", F.md5("body").alias("digest"))
+
+
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chapters_raw", "book_id", "row_id", "title", "html").withColumn("body", F.regexp_replace("html", r"<[^>]+>", " "))
+    got = D.number_chapters(rows.withColumn("title", F.coalesce("title", F.lit(""))), "book_id", "row_id", "title", "body")
+    return got.select("row_id", F.col("chapter_index").cast("long"), X.word_count(F.col("body")).cast("long").alias("words"))
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chapters_raw", "row_id", "html").filter("html IS NOT NULL").select("row_id", X.html_features(F.col("html")).alias("f"), X.markdown_math(F.col("html")).alias("dollar_math")).select("row_id", "f.*", "dollar_math")
+
+
+def _headings(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chapters_raw", "row_id", "html").filter("html IS NOT NULL")
+    return rows.select("row_id", F.explode(X.html_headings(F.col("html"))).alias("heading"))
+
+
+def _page_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = spread(table(spark, d, "chapters_raw", "row_id", "html")).filter("html IS NOT NULL").withColumn("t", X.html_text("html"))
+    return rows.select("row_id", X.word_count(F.col("t")).cast("long").alias("words"), F.length("t").cast("long").alias("chars"))
+
+
+def _book_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.latest(table(spark, d, "chapters_raw", "book_id", "chapter_index", "title", "html", "row_id"), ["book_id", "chapter_index"], ["row_id"])
+    rows = rows.withColumn("md", X.html_markdown(F.coalesce("html", F.lit("")))).withColumn("title", F.coalesce("title", F.lit("")))
+    return D.full_text(rows, "book_id", "chapter_index", "title", "md").select("book_id", F.md5("full_text").alias("digest"), F.length("full_text").cast("long").alias("chars"))
+
+
+# ---- adaptation
+
+
+_KEYS = ["book_id", "chapter_index"]
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each chapter, the last that was delivered, with its visible text."""
+    rows = A.latest(table(spark, d, "chapters_raw", *_KEYS, "html", "row_id"), _KEYS, ["row_id"])
+    return rows.select(*_KEYS, F.regexp_replace("html", "<[^>]+>", " ").alias("source"))
+
+
+def _adapted(spark: SparkSession, d: str) -> DataFrame:
+    return spread(A.latest(table(spark, d, "adapted", *_KEYS, "payload", "row_id"), _KEYS, ["row_id"]))
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    return A.gate(_raw(spark, d), _adapted(spark, d), _KEYS, "source")
+
+
+def _gate(spark: SparkSession, d: str) -> DataFrame:
+    return _gated(spark, d).withColumn("length_ratio", F.round("length_ratio", 6))
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    return A.gate_report(_gated(spark, d), "book_id")
+
+
+def _pending(spark: SparkSession, d: str) -> DataFrame:
+    return A.pending(_raw(spark, d), _gated(spark, d).filter("ok"), _KEYS).select(*_KEYS)
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lexicon", "book_id", "term", "spoken_as", "reason", "hint_id").filter("term IS NOT NULL AND spoken_as IS NOT NULL")
+    rows = rows.withColumn("reason", F.coalesce("reason", F.lit("")))
+    return A.merge_lexicon(rows, "book_id", ["hint_id"]).select("book_id", "term", "spoken_as", "reason", "first_hint_id")
+
+
+def _payload_hints(spark: SparkSession, d: str) -> DataFrame:
+    hints = A.hints_of(spread(table(spark, d, "adapted", *_KEYS, "row_id", "payload")), [*_KEYS, "row_id"])
+    return A.merge_lexicon(hints, "book_id", ["chapter_index", "row_id", "pos"]).select("book_id", "term", "spoken_as", "reason")
+
+
+def _budget(spark: SparkSession, d: str) -> DataFrame:
+    books = table(spark, d, "chunks", "book_id", "row_id", "text").groupBy("book_id").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n"))
+    tokens = F.greatest(F.lit(1), F.floor(F.col("n") / 4)).cast("long")
+    return books.select("book_id", tokens.alias("tokens"), ((F.col("n") > 0) & (tokens <= int(20_000 * 0.6))).alias("included"))
+
+
+def _latest_adapted(spark: SparkSession, d: str) -> DataFrame:
+    return A.latest(table(spark, d, "adapted", *_KEYS, "row_id", "adapter"), _KEYS, ["row_id"]).select(*_KEYS, "row_id", "adapter")
+
+
+def _adapt_loop(spark: SparkSession, d: str) -> DataFrame:
+    """The retry loop with a stub in place of a model: it echoes the source, the first time with a wrong key."""
+    import json
+
+    def stub(batches):
+        for pdf in batches:
+            wrong = pdf["error_kind"].isna() & (pdf["chapter_index"] % 2 == 1)
+            yield pdf[_KEYS].assign(payload=[json.dumps({"adapted_text": s or "", "extra": 1} if w else {"adapted_text": s or ""}) for s, w in zip(pdf["source"], wrong)])
+
+    got, failed = A.adapt_chapters(_raw(spark, d), _adapted(spark, d), _KEYS, "source", stub)
+    return got.select(*_KEYS, "attempt").unionByName(failed.select(*_KEYS, F.lit(-1).alias("attempt")))
+
+
+# ---- lexicon and chunks
+
+
+def _sanitized(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lexicon", "hint_id", "term", "spoken_as").filter("spoken_as IS NOT NULL AND term IS NOT NULL")
+    said = C.sanitize_spoken(F.col("spoken_as"))
+    return rows.select("hint_id", said.alias("spoken"), C.is_redundant(F.col("term"), said).alias("redundant"))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The adapted text of each chapter, with the lexicon of its payload and the headings of its source."""
+    rows = _adapted(spark, d).withColumn("p", read_payload("payload")).filter("p.state = 'object' AND p.adapted_text IS NOT NULL")
+    hints = F.from_json("p.hints", "array<struct<term:string,spoken_as:string,reason:string>>")
+    heads = A.latest(table(spark, d, "chapters_raw", *_KEYS, "html", "row_id"), _KEYS, ["row_id"]).select(*_KEYS, X.html_headings(F.coalesce("html", F.lit(""))).alias("headings"))
+    return rows.select(*_KEYS, F.col("p.adapted_text").alias("text"), F.coalesce(hints, F.array().cast("array<struct<term:string,spoken_as:string,reason:string>>")).alias("hints")).join(heads, _KEYS)
+
+
+def _lexicon_applied(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chunks", "row_id", "text").filter("text IS NOT NULL")
+    hints = F.expr("array(named_struct('term','engine','spoken_as','EN-gin'), named_struct('term','en gin','spoken_as','motor'), named_struct('term','The','spoken_as','Thee'), named_struct('term','AI','spoken_as','A I'))")
+    return rows.select("row_id", F.md5(C.apply_lexicon(F.col("text"), hints)).alias("digest"))
+
+
+def _paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).select("doc_id", F.posexplode(C.paragraphs(F.col("t"))).alias("i", "p"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("para_ix"), F.md5("p").alias("digest"))
+
+
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents", "doc_id", "text")
+    return rows.select("doc_id", F.posexplode(C.merge_orphans(F.split("text", " "), 20)).alias("i", "p")).select("doc_id", F.col("i").cast("long").alias("part_ix"), F.md5("p").alias("digest"))
+
+
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chunks", "row_id", "text").filter("text IS NOT NULL")
+    return rows.select("row_id", F.posexplode(C.split_long(F.col("text"), 120)).alias("i", "piece")).select("row_id", F.col("i").cast("long").alias("piece_ix"), "piece")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return C.chunk_chapters(_texts(spark, d), _KEYS, "text", "hints", "headings")
+
+
+def _chunk_totals(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).groupBy("book_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("trailing_silence_ms").alias("silence_ms"), F.max(F.length("text")).alias("longest"))
+
+
+def _chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters in which chunking lost or added a letter, or made a chunk that is too long: none."""
+    letters = lambda c: F.regexp_replace(F.regexp_replace(c, r"\[\[beat\]\]|(?m)^[^\S\n]*---[^\S\n]*$", ""), r"(?U)\s+", "")
+    texts = _texts(spark, d)
+    there = texts.select(*_KEYS, F.length(letters(C.apply_lexicon(F.col("text"), F.col("hints")))).alias("n"))
+    made = C.chunk_chapters(texts, _KEYS, "text", "hints", "headings").groupBy(*_KEYS).agg(F.sum(F.length(letters(F.col("text")))).alias("m"), F.max(F.length("text")).alias("longest"))
+    return there.join(made, _KEYS).filter((F.col("n") != F.col("m")) | (F.col("longest") > 400))
+
+
+def _faults(spark: SparkSession, d: str) -> DataFrame:
+    return C.chunk_faults(table(spark, d, "chunks", *_KEYS, "chunk_id", "text", "trailing_silence_ms"), _KEYS)
+
+
+# ---- audio
+
+
+_CHUNK = [*_KEYS, "chunk_id"]
+
+
+def _render_gate(spark: SparkSession, d: str) -> DataFrame:
+    got = U.render_gate(table(spark, d, "chunks", *_CHUNK), table(spark, d, "wav_probe"), _CHUNK)
+    return got.withColumn("duration_s", F.round("duration_s", 6))
+
+
+def _durations(spark: SparkSession, d: str) -> DataFrame:
+    return U.chapter_durations(table(spark, d, "wav_probe"), _KEYS)
+
+
+def _timeline(spark: SparkSession, d: str) -> DataFrame:
+    return U.timeline(_durations(spark, d), "book_id", "chapter_index")
+
+
+def _metadata(spark: SparkSession, d: str) -> DataFrame:
+    titles = table(spark, d, "chapters_raw", *_KEYS, "title").groupBy(*_KEYS).agg(F.min("title").alias("title"))
+    books = table(spark, d, "books", "book_id", F.col("title").alias("book_title"), "author")
+    rows = _timeline(spark, d).join(titles, _KEYS, "left").join(books, "book_id", "left")
+    return U.ffmetadata(rows, "book_id", "chapter_index", "title", "book_title", "author")
+
+
+def _progress(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "wav_probe").groupBy("book_id").agg(F.count_if(F.col("readable")).alias("done"), F.count(F.lit(1)).alias("total"))
+    return rows.select("book_id", "done", "total", U.progress(F.col("done"), F.col("total")).alias("percent"))
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    """A short signal for each probe, made of its frame count: three bursts with gaps between them."""
+    rows = table(spark, d, "wav_probe", *_CHUNK, "frames").filter("frames IS NOT NULL").groupBy(*_CHUNK).agg(F.max("frames").alias("frames"))
+    x = F.expr("transform(sequence(1, 400), i -> CASE WHEN (i + frames) % 97 < frames % 40 THEN 0.001D ELSE ((i * 7 + frames) % 200 - 100) / 101.0D END)")
+    return rows.select(*_CHUNK, x.alias("samples"), F.lit(1000).alias("rate"))
+
+
+def _silence(spark: SparkSession, d: str) -> DataFrame:
+    got = U.compress_silence(_signals(spark, d), "samples", "rate", max_gap_ms=10, edge_ms=5)
+    return got.select(*_CHUNK, F.size("samples").cast("long").alias("kept"))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    rows = _signals(spark, d)
+    return rows.select(*_CHUNK, F.round(U.peak_db(F.col("samples")), 6).alias("peak_db"))
+
+
+def _voice(spark: SparkSession, d: str) -> DataFrame:
+    rows = _signals(spark, d).select(F.concat_ws("/", *_CHUNK).alias("name"), "samples", F.lit(40).alias("rate"), F.lit(1).alias("channels"))
+    return U.voice_checks(rows, "name", "samples", "rate", "channels").select("name", "ok", F.array_join("problems", ",").alias("problems"), F.array_join("warnings", ",").alias("warnings"))
+
+
+def _rendered(spark: SparkSession, d: str) -> DataFrame:
+    """Audio of a sine in place of a voice for the chunks that have no readable file, probed again."""
+    chunks = A.latest(table(spark, d, "chunks", *_CHUNK, "text", "trailing_silence_ms", "row_id"), _CHUNK, ["row_id"])
+    done = table(spark, d, "wav_probe").filter("readable AND frames > 0").select(*_CHUNK)
+
+    def sine(text: str) -> tuple[np.ndarray, int]:
+        return 0.5 * np.sin(np.arange(10 * max(1, len(text))) / 5), 1000
+
+    wavs = U.render_chunks(spread(chunks), _CHUNK, done, sine)
+    files = wavs.select(F.concat_ws("/", *_CHUNK).alias("path"), F.col("wav").alias("content"))
+    return U.probe_wavs(files)
+
+
+QUERIES = {
+    "clean_line_ends": _cleaned(X.unify_line_ends),
+    "clean_image_marks": _cleaned(X.drop_image_marks),
+    "clean_punctuation": _cleaned(X.plain_punctuation),
+    "clean_space": _cleaned(X.collapse_space),
+    "clean_page_artifacts": _cleaned(X.drop_page_artifacts),
+    "clean_footnotes_skip": _cleaned(lambda c: X.apply_footnotes(c, "skip")),
+    "clean_footnotes_endnote": _cleaned(lambda c: X.apply_footnotes(c, "endnote")),
+    "clean_footnotes_inline": _cleaned(lambda c: X.apply_footnotes(c, "inline")),
+    "clean_code_headings": _cleaned(X.demote_code_headings),
+    "clean_dehyphenate": _dehyphenate,
+    "clean_pipeline": _cleaned(lambda c: X.clean_markdown(c, "endnote")),
+    "slugify": _slug,
+    "safe_filename": _filename,
+    "scan_guard": _guard,
+    "quality_warnings": _quality,
+    "outline_sections": _outline,
+    "heading_sections": _sections,
+    "kept_chapters": _kept,
+    "page_features": _features,
+    "page_headings": _headings,
+    "page_text": _page_text,
+    "book_full_text": _book_text,
+    "gate_adapted": _gate,
+    "gate_report": _report,
+    "resume_pending": _pending,
+    "merge_lexicon": _merged,
+    "merge_payload_hints": _payload_hints,
+    "context_budget": _budget,
+    "latest_adapted": _latest_adapted,
+    "adapt_loop": _adapt_loop,
+    "sanitize_hints": _sanitized,
+    "apply_lexicon": _lexicon_applied,
+    "paragraphs": _paragraphs,
+    "merge_orphans": _orphans,
+    "split_long": _long,
+    "chunks": _chunks,
+    "chunk_totals": _chunk_totals,
+    "chunk_invariants": _chunk_invariants,
+    "chunk_faults": _faults,
+    "render_gate": _render_gate,
+    "render_missing": _rendered,
+    "chapter_durations": _durations,
+    "chapter_timeline": _timeline,
+    "ffmetadata": _metadata,
+    "progress": _progress,
+    "compress_silence": _silence,
+    "peak_level": _levels,
+    "voice_checks": _voice,
+}
+
+# ---- SQL
+
+_LAST_RAW = "(SELECT book_id, chapter_index, html FROM chapters_raw QUALIFY row_number() OVER (PARTITION BY book_id, chapter_index ORDER BY row_id DESC) = 1)"
+_LAST_ADAPTED = "(SELECT book_id, chapter_index, payload, row_id, adapter FROM adapted QUALIFY row_number() OVER (PARTITION BY book_id, chapter_index ORDER BY row_id DESC) = 1)"
+_GATE = rf"""
+    WITH a AS (SELECT *, json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT' AS whole FROM {_LAST_ADAPTED}),
+    p AS (SELECT book_id, chapter_index, payload, coalesce(whole, false) AS whole, CASE WHEN whole THEN payload::JSON END AS j FROM a),
+    s AS (SELECT *, json_extract_string(j, '$.adapted_text') AS text,
+        coalesce(json_type(j, '$.adapted_text') = 'VARCHAR' AND json_extract_string(j, '$.adapted_text') <> '', false)
+        AND coalesce(json_type(j, '$.notes') = 'VARCHAR', true) AND coalesce(json_type(j, '$.pronunciation_hints') = 'ARRAY', true)
+        AND len(list_filter(json_keys(j), lambda k: k NOT IN ('adapted_text', 'pronunciation_hints', 'notes'))) = 0
+        AND len(list_filter(coalesce(CASE WHEN json_type(j, '$.pronunciation_hints') = 'ARRAY' THEN json_extract(j, '$.pronunciation_hints[*]') END, []), lambda h:
+            NOT (json_type(h) = 'OBJECT' AND coalesce(json_extract_string(h, '$.term'), '') <> '' AND coalesce(json_extract_string(h, '$.spoken_as'), '') <> ''
+            AND coalesce(json_type(h, '$.reason'), 'VARCHAR') = 'VARCHAR' AND json_type(h, '$.term') = 'VARCHAR' AND json_type(h, '$.spoken_as') = 'VARCHAR'
+            AND len(list_filter(json_keys(h), lambda k: k NOT IN ('term', 'spoken_as', 'reason'))) = 0))) = 0 AS schema_ok FROM p),
+    r AS (SELECT r.book_id, r.chapter_index, s.payload, s.whole, s.schema_ok, s.text, regexp_replace(r.html, '<[^>]+>', ' ', 'g') AS source
+          FROM {_LAST_RAW} r LEFT JOIN s USING (book_id, chapter_index)),
+    c AS (SELECT *, CASE WHEN regexp_matches(text, '<pre[\s>]') THEN '<pre' WHEN contains(text, '```') THEN '```' WHEN regexp_matches(text, '<table[\s>]') THEN '<table'
+          WHEN contains(text, '$$') THEN '$$' WHEN regexp_matches(text, '(?i)<h1[\s>]') THEN '<h1' END AS bad,
+          ({_WORDS('text')}) / greatest(({_WORDS("coalesce(source, '')")}), 1) AS ratio FROM r),
+    g AS (SELECT *, CASE WHEN payload IS NULL THEN 'missing_file' WHEN NOT whole THEN 'json_parse_error' WHEN NOT schema_ok THEN 'schema_error'
+          WHEN bad IS NOT NULL THEN 'markdown_artifact' WHEN ratio < 0.30 OR ratio > 1.10 THEN 'length_anomaly' END AS error_kind FROM c)
+"""
+_BEST_PROBE = "(SELECT book_id, chapter_index, chunk_id, coalesce(readable, false) AS readable, coalesce(frames, 0) AS frames, coalesce(sample_rate, 0) AS sample_rate FROM wav_probe QUALIFY row_number() OVER (PARTITION BY book_id, chapter_index, chunk_id ORDER BY coalesce(readable, false) DESC, coalesce(frames, 0) DESC, coalesce(sample_rate, 0) DESC) = 1)"
+_DURATIONS = "SELECT book_id, chapter_index, count(*) AS chunks, sum(floor(frames * 1000 / sample_rate))::BIGINT AS duration_ms FROM wav_probe WHERE readable AND frames > 0 AND sample_rate > 0 GROUP BY ALL"
+_TIMELINE = f"SELECT book_id, chapter_index, (sum(duration_ms) OVER w - duration_ms)::BIGINT AS start_ms, (sum(duration_ms) OVER w)::BIGINT AS end_ms FROM ({_DURATIONS}) WINDOW w AS (PARTITION BY book_id ORDER BY chapter_index)"
+_SIGNALS = "SELECT book_id, chapter_index, chunk_id, f, list_transform(range(1, 401), lambda i: CASE WHEN (i + f) % 97 < f % 40 THEN 0.001 ELSE ((i * 7 + f) % 200 - 100) / 101.0::DOUBLE END) AS x FROM (SELECT book_id, chapter_index, chunk_id, max(frames) AS f FROM wav_probe WHERE frames IS NOT NULL GROUP BY ALL)"
+_HEAD = f"^#{{1,6}}{W}+.*[^ \t]{W}*$"
+_INNER = _strip("regexp_replace(" + _strip(f"regexp_replace(l, '^#+{W}+', '')") + r", '^\*+|\*+$', '', 'g')")
+_CODE = r"[=(){}\[\];]|>>>|\$\s|::|\bprint\(|\bimport\s|\bdef\s|\bclass\s|\bnp\.|\bplt\.|\bself\."
+
+ORACLE = {
+    "clean_line_ends": _cleaned_sql(r"regexp_replace(t, '\r\n?', chr(10), 'g')"),
+    "clean_image_marks": _cleaned_sql(r"regexp_replace(t, '(?s)==>.*?<==', '', 'g')"),
+    "clean_punctuation": _cleaned_sql(_PUNCT),
+    "clean_space": _cleaned_sql(_strip(r"regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '[\t\r \x{0B}\x{0C}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+(\n|$)', '\1', 'g'), '\n{3,}', E'\n\n', 'g')")),
+    "clean_page_artifacts": f"SELECT doc_id, md5(c) AS digest, length(c) AS chars FROM ({_ARTIFACTS})",
+    "clean_footnotes_skip": f"SELECT doc_id, md5(c) AS digest, length(c) AS chars FROM (SELECT doc_id, {_BODY} AS c FROM (SELECT doc_id, {_SPLIT} AS ls FROM ({_DOCS})))",
+    "clean_footnotes_endnote": f"""SELECT doc_id, md5(c) AS digest, length(c) AS chars FROM (SELECT doc_id, {_BODY} || CASE WHEN len(ns) > 0 THEN E'\\n\\n---\\n\\n## Notes\\n\\n' || array_to_string(ns, chr(10)) ELSE '' END AS c
+        FROM (SELECT doc_id, ls, list_transform(list_filter(ls, lambda l: regexp_matches(l, '{_NOTE}')), lambda l: {_strip('l')}) AS ns FROM (SELECT doc_id, {_SPLIT} AS ls FROM ({_DOCS}))))""",
+    "clean_footnotes_inline": _cleaned_sql("t"),
+    "clean_code_headings": f"""SELECT doc_id, md5(c) AS digest, length(c) AS chars FROM (SELECT doc_id, array_to_string(list_transform(ls, lambda l: CASE WHEN NOT regexp_matches(l, '{_HEAD}') THEN l
+        WHEN length({_INNER}) > 70 OR regexp_matches({_INNER}, '{_CODE}') THEN {_INNER} ELSE regexp_extract(l, '^(#{{1,6}})', 1) || ' ' || {_INNER} END), chr(10)) AS c FROM (SELECT doc_id, {_SPLIT} AS ls FROM ({_DOCS})))""",
+    "apply_lexicon": r"""SELECT row_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bengine\b', 'en gin', 'g'), '(?i)\ben gin\b', 'motor', 'g'), '\bThe\b', 'thee', 'g')) AS digest FROM chunks WHERE text IS NOT NULL""",
+    "slugify": """SELECT row_id, CASE WHEN slug = '' THEN 'untitled' ELSE slug END AS slug FROM (SELECT row_id, CASE WHEN length(s) <= 24 THEN s
+        WHEN trim(regexp_replace(s[1:24], '-[^-]*$', ''), '-') <> '' THEN trim(regexp_replace(s[1:24], '-[^-]*$', ''), '-') ELSE s[1:24] END AS slug
+        FROM (SELECT row_id, trim(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM chapters_raw WHERE title IS NOT NULL))""",
+    "safe_filename": f"""SELECT doc_id, CASE WHEN n = '' THEN 'book' ELSE n END AS name FROM (SELECT doc_id, {_strip("trim(" + _strip("regexp_replace(regexp_replace(text[1:80], '[\\\\/:*?\"<>|\\x00-\\x1f]', '', 'g'), '" + W + "+', ' ', 'g')") + ", '.')")} AS n FROM documents)""",
+    "scan_guard": f"""SELECT book_id, pages, chars::BIGINT AS chars, CASE WHEN chars < 100 OR chars / pages < 600 THEN 'scanned' END AS error_kind
+        FROM (SELECT book_id, count(*) AS pages, sum(length({_strip("coalesce(text, '')")})) AS chars FROM documents WHERE book_id IS NOT NULL GROUP BY 1)""",
+    "quality_warnings": f"""WITH p AS (SELECT book_id, length({_strip("coalesce(text, '')")}) AS n, coalesce(regexp_matches(text, '(?m)^#{{1,6}} +[^\\s]'), false) AS h FROM documents WHERE book_id IS NOT NULL),
+        s AS (SELECT book_id, count(*) AS pages, median(n) AS m, bool_or(h) AS h FROM p GROUP BY 1),
+        l AS (SELECT book_id, count(*) FILTER (n < 0.6 * m) AS low FROM p JOIN s USING (book_id) GROUP BY 1)
+        SELECT book_id, pages, m AS median_chars, low AS low_pages, pages > 20 AND NOT h AS no_headings, pages >= 4 AND m > 0 AND low / pages > 0.2 AS uneven FROM s JOIN l USING (book_id)""",
+    "outline_sections": """WITH c AS (SELECT book_id, chapter_index AS ix, min(title) AS title FROM chapters_raw GROUP BY ALL),
+        n AS (SELECT book_id, max(ix) * 3 + 2 AS pages FROM c GROUP BY 1),
+        o AS (SELECT book_id, ix, title, ix * 3 - ix % 3 AS a FROM c WHERE ix % 4 <> 3 AND ix * 3 - ix % 3 >= 1),
+        s AS (SELECT o.*, coalesce(lead(a) OVER w, pages + 1) AS b, row_number() OVER w - 1 AS section_ix, count(*) OVER (PARTITION BY o.book_id) AS k FROM o JOIN n USING (book_id) WINDOW w AS (PARTITION BY o.book_id ORDER BY ix))
+        SELECT book_id, section_ix, title, unnest(range(a, b))::BIGINT AS page_ix FROM s WHERE k >= 2 AND a < b""",
+    "heading_sections": rf"""WITH d AS (SELECT doc_id, regexp_replace(t, '\r\n?', chr(10), 'g') AS t FROM ({_DOCS})),
+        v AS (SELECT *, CASE WHEN regexp_matches(t, '(?m)^# +[^\s]') THEN 1 WHEN regexp_matches(t, '(?m)^## +[^\s]') THEN 2 END AS lv FROM d),
+        l AS (SELECT doc_id, lv, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM v),
+        h AS (SELECT *, lv IS NOT NULL AND length(regexp_extract(line, '^(#+) +[^\s]', 1)) = lv AS head FROM l),
+        n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sid FROM h),
+        s AS (SELECT doc_id, sid, max(CASE WHEN head THEN {_strip("regexp_replace(regexp_replace(line, '^#+ +', ''), '[\\s]*#+[\\s]*$', '')")} END) AS title, any_value(lv) AS lv, {_strip("coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), '')")} AS body FROM n GROUP BY 1, 2)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sid) - 1 AS section_ix, coalesce(title, CASE WHEN lv IS NULL THEN 'doc ' || doc_id ELSE 'Front Matter' END) AS title, md5(body) AS digest FROM s WHERE body <> ''""",
+    "kept_chapters": f"""SELECT row_id, row_number() OVER (PARTITION BY book_id ORDER BY row_id, title) - 1 AS chapter_index, words FROM (SELECT book_id, row_id, title, {_WORDS('body')} AS words
+        FROM (SELECT book_id, row_id, coalesce(title, '') AS title, regexp_replace(html, '<[^>]+>', ' ', 'g') AS body FROM chapters_raw)) WHERE words >= 10 AND NOT regexp_matches(title, '(?i)copyright|acknowledg|dedication|^index$|bibliograph')""",
+    "page_features": r"""SELECT row_id, regexp_matches(html, '(?i)<(?:pre|code)[\s>/]') AS has_code, regexp_matches(html, '(?i)<math[\s>/]|<[a-z][^>]*\sclass\s*=\s*(?:"(?:[^"]*\s)?math(?:\s[^"]*)?"|''(?:[^'']*\s)?math(?:\s[^'']*)?''|math[\s>])') AS has_math,
+        regexp_matches(html, '(?i)<table[\s>/]') AS has_tables, regexp_matches(html, '\$\$|\\\(|\\\[') AS dollar_math FROM chapters_raw WHERE html IS NOT NULL""",
+    "page_headings": f"""SELECT DISTINCT row_id, heading FROM (SELECT row_id, {_strip("regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)), '<[^>]+>', '', 'g'), '" + W + "+', ' ', 'g')")} AS heading FROM chapters_raw) WHERE heading <> ''""",
+    "gate_adapted": _GATE + "SELECT book_id, chapter_index, error_kind IS NULL AS ok, error_kind, CASE WHEN error_kind = 'markdown_artifact' THEN bad END AS detail, round(CASE WHEN error_kind IS NULL OR error_kind = 'length_anomaly' THEN ratio END, 6) AS length_ratio FROM g",
+    "gate_report": _GATE + "SELECT book_id, bool_and(error_kind IS NULL) AS ok, count(*) AS chapters, count(error_kind) AS failed, " + ", ".join(f"count(*) FILTER (error_kind = '{k}') AS {k}" for k in ("missing_file", "json_parse_error", "schema_error", "markdown_artifact", "length_anomaly")) + " FROM g GROUP BY 1",
+    "resume_pending": _GATE + "SELECT book_id, chapter_index FROM g WHERE error_kind IS NOT NULL",
+    "merge_lexicon": """WITH h AS (SELECT book_id, term, spoken_as, coalesce(reason, '') AS reason, hint_id FROM lexicon WHERE term IS NOT NULL AND spoken_as IS NOT NULL),
+        m AS (SELECT book_id, term, arg_min(spoken_as, hint_id) AS spoken_as, arg_min(reason, hint_id) AS reason, min(hint_id) AS first_hint_id, list_sort(list_distinct(list(spoken_as))) AS s FROM h GROUP BY 1, 2),
+        o AS (SELECT *, list_filter(s, lambda x: x <> spoken_as) AS others FROM m)
+        SELECT book_id, term, spoken_as, CASE WHEN len(others) = 0 THEN reason ELSE CASE WHEN reason = '' THEN '' ELSE reason || ' ' END || '[conflict with: ' || array_to_string(others, ', ') || ']' END AS reason, first_hint_id FROM o""",
+    "context_budget": "SELECT book_id, greatest(1, floor(n / 4))::BIGINT AS tokens, n > 0 AND greatest(1, floor(n / 4)) <= 12000 AS included FROM (SELECT book_id, sum(length(coalesce(text, ''))) AS n FROM chunks GROUP BY 1)",
+    "latest_adapted": f"SELECT book_id, chapter_index, row_id, adapter FROM {_LAST_ADAPTED}",
+    "sanitize_hints": f"""WITH s AS (SELECT hint_id, term, {_strip("regexp_replace(regexp_replace(CASE WHEN regexp_matches(spoken_as, '\\p{Lu}') AND regexp_matches(spoken_as, '\\p{Ll}') THEN lower(spoken_as) ELSE spoken_as END, '[-_]+', ' ', 'g'), '" + W + "+', ' ', 'g')")} AS spoken FROM lexicon WHERE spoken_as IS NOT NULL AND term IS NOT NULL)
+        SELECT hint_id, spoken, regexp_matches(spoken, '^\\p{{L}}(?: \\p{{L}})+$') AND lower(replace(spoken, ' ', '')) = lower(regexp_replace(term, '[^A-Za-z]', '', 'g')) AS redundant FROM s""",
+    "paragraphs": f"SELECT doc_id, i - 1 AS para_ix, md5(p) AS digest FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\\n{W}*\\n'), lambda p: {_strip('p')}), lambda p: p <> '') AS ps FROM ({_DOCS})))",
+    "chunk_faults": """WITH g AS (SELECT book_id, chapter_index, chunk_id, count(*) AS n, bool_or(coalesce(length(text), 0) = 0) AS e, max(length(text)) AS m, bool_or(NOT coalesce(trailing_silence_ms BETWEEN 0 AND 10000, false)) AS s FROM chunks GROUP BY ALL)
+        SELECT book_id, chapter_index, chunk_id, unnest(list_filter([CASE WHEN n > 1 THEN 'repeated_id' END, CASE WHEN NOT coalesce(regexp_matches(chunk_id, '^[0-9]{4}$'), false) THEN 'bad_id' END, CASE WHEN e THEN 'empty_text' END, CASE WHEN m > 400 THEN 'long_text' END, CASE WHEN s THEN 'bad_silence' END], lambda x: x IS NOT NULL)) AS fault FROM g""",
+    "render_gate": f"""WITH c AS (SELECT DISTINCT book_id, chapter_index, chunk_id FROM chunks), g AS (SELECT c.*, p.frames, p.sample_rate, CASE WHEN p.readable IS NULL THEN 'missing' WHEN NOT p.readable THEN 'unreadable' WHEN p.frames <= 0 OR p.sample_rate <= 0 THEN 'zero_duration' END AS error_kind
+        FROM c LEFT JOIN {_BEST_PROBE} p USING (book_id, chapter_index, chunk_id)) SELECT book_id, chapter_index, chunk_id, error_kind IS NULL AS ok, error_kind, round(CASE WHEN error_kind IS NULL THEN frames / sample_rate END, 6) AS duration_s FROM g""",
+    "chapter_durations": _DURATIONS,
+    "chapter_timeline": _TIMELINE,
+    "ffmetadata": f"""WITH t AS ({_TIMELINE}), n AS (SELECT book_id, chapter_index, min(title) AS title FROM chapters_raw GROUP BY ALL),
+        r AS (SELECT t.*, n.title, b.title AS bt, b.author AS a FROM t LEFT JOIN n USING (book_id, chapter_index) LEFT JOIN books b ON b.book_id = t.book_id)
+        SELECT book_id, E';FFMETADATA1\\ntitle=' || coalesce(max(bt), '') || E'\\nartist=' || coalesce(max(a), '') || E'\\n' || string_agg(E'\\n[CHAPTER]\\nTIMEBASE=1/1000\\nSTART=' || start_ms || E'\\nEND=' || end_ms || E'\\ntitle=' || coalesce(title, ''), E'\\n' ORDER BY chapter_index) || E'\\n' AS metadata FROM r GROUP BY 1""",
+    "progress": "SELECT book_id, done, total, CASE WHEN total > 0 THEN round_even(done * 100 / total, 0)::INT ELSE 0 END AS percent FROM (SELECT book_id, count(*) FILTER (readable) AS done, count(*) AS total FROM wav_probe GROUP BY 1)",
+    "peak_level": f"SELECT book_id, chapter_index, chunk_id, round(CASE WHEN m > 0 THEN 20 * log10(m) END, 6) AS peak_db FROM (SELECT book_id, chapter_index, chunk_id, list_max(list_transform(x, lambda v: abs(v))) AS m FROM ({_SIGNALS}))",
+    "compress_silence": f"""WITH s AS ({_SIGNALS}), v AS (SELECT book_id, chapter_index, chunk_id, list_filter(range(1, 401), lambda i: abs(x[i]) > 0.01) AS v FROM s)
+        SELECT book_id, chapter_index, chunk_id, CASE WHEN len(v) = 0 THEN 5 ELSE len(v) + least(v[1] - 1, 5) + least(400 - v[-1], 5) + coalesce(list_sum(list_transform(range(1, len(v)), lambda i: least(v[i + 1] - v[i] - 1, 10))), 0) END::BIGINT AS kept FROM v""",
+    "voice_checks": f"""WITH s AS (SELECT book_id || '/' || chapter_index || '/' || chunk_id AS name, x FROM ({_SIGNALS})), m AS (SELECT name, len(x) / 40 AS secs, list_max(list_transform(x, lambda v: abs(v))) AS peak, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)) AS rms FROM s)
+        SELECT name, secs >= 5 AND rms >= 1e-3 AS ok, array_to_string(list_filter([CASE WHEN secs < 5 THEN 'too_short' END, CASE WHEN rms < 1e-3 THEN 'silent' END], lambda e: e IS NOT NULL), ',') AS problems,
+        array_to_string(list_filter([CASE WHEN secs >= 5 AND (secs < 10 OR secs > 20) THEN 'length' END, 'rate', CASE WHEN peak >= 0.99 THEN 'clipping' END], lambda e: e IS NOT NULL), ',') AS warnings FROM m""",
+}
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

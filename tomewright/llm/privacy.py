@@ -24,6 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import filled
+from ..session import cut_lineage
+
 _S = r"[ \u00A0\u2007\u202F]?\n?[ ]?"  # at most one gap, a line break included
 _G = r"(?:[ \u00A0\u202F]*\n[ ]*|[ \u00A0\u2007\u202F])"
 
@@ -175,12 +178,13 @@ def find_entities(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([docs.schema["key"], *SPAN.fields])
-    spans = docs.mapInPandas(_spans, schema)
+    # five uses below: the texts are searched once
+    spans = cut_lineage(docs.mapInPandas(filled(_spans), schema))
     sure = spans.filter("kind != 'name'").select("key", "start", "stop", "kind", "found", "first", "last", "gender")
     names = spans.filter("kind = 'name'")
     # tokens that stand in small letters elsewhere, and first names and surnames met beside a cue
     tokens = names.select(F.explode(F.array("first", "last")).alias("token")).filter("token != ''").distinct().withColumn("low", F.lower("token"))
-    small = docs.mapInPandas(_small, T.StructType([T.StructField("token", T.StringType()), T.StructField("small", T.LongType())])).groupBy(F.col("token").alias("low")).agg(F.sum("small").alias("small"))
+    small = docs.mapInPandas(filled(_small), T.StructType([T.StructField("token", T.StringType()), T.StructField("small", T.LongType())])).groupBy(F.col("token").alias("low")).agg(F.sum("small").alias("small"))
     cued = names.filter("proof = 'cue' AND first NOT RLIKE '^.[.]$'")
     firsts = cued.groupBy(F.col("first").alias("token")).agg(F.count(F.lit(1)).alias("firsts"))
     lasts = names.filter("proof IN ('cue', 'title')").groupBy(F.col("last").alias("token")).agg(F.count(F.lit(1)).alias("lasts"))
@@ -323,8 +327,8 @@ def replace_entities(df: DataFrame, key: str, text: str, secret: str = "tomewrig
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = find_entities(docs, "key", "text")
-    coded = found.mapInPandas(_coder(secret), T.StructType([*found.schema.fields, T.StructField("value", T.StringType()), T.StructField("code", T.StringType())]))
+    coded = found.mapInPandas(filled(_coder(secret)), T.StructType([*found.schema.fields, T.StructField("value", T.StringType()), T.StructField("code", T.StringType())]))
     shared = coded.select("kind", "value", "code").distinct().groupBy("kind", "code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "code", F.lit(True).alias("shared"))
     marked = coded.join(shared, ["kind", "code"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
     spans = marked.groupBy("key").agg(F.collect_list(F.struct("start", "stop", "kind", "found", "first", "last", "gender", "value", "shared")).alias("spans"))
-    return docs.join(spans, "key", "left").mapInPandas(_replacer(secret, style), docs.schema).withColumnsRenamed({"key": key})
+    return docs.join(spans, "key", "left").mapInPandas(filled(_replacer(secret, style)), docs.schema).withColumnsRenamed({"key": key})

@@ -22,12 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import filled
+
 #: Items of one pass. An item's windows take some kilobytes, so a block stays within tens of megabytes.
 BLOCK_ITEMS = 5000
 #: Words of a window, and characters of one in scripts without spaces.
 WINDOW_WORDS, WINDOW_SIGNS = 4, 8
 #: Windows of an item that must be met before it is aligned.
-LEAST_SEEDS = 3
+LEAST_SEEDS = 2
+#: Items that may share a window for it to count as a seed.
+SHARED_BY = 3
 CURSORS = 4096
 #: Score of an equal word and of one changed, added or left out: a passage may lose two words in five, not more.
 MATCH, EDIT = 2, -3
@@ -118,6 +122,14 @@ class Items:
             size = max(1, min(size, len(w) // 2))
             for i in range(len(w) - size + 1):
                 windows[" " + " ".join(w[i : i + size]) + " "].append((item, i))
+        # windows that many items share tell little; an item that has mostly such windows keeps them all
+        own_items = {p: len({item for item, _ in places}) for p, places in windows.items()}
+        rare, total = Counter(), Counter()
+        for p, places in windows.items():
+            for item, _ in places:
+                total[item] += 1
+                rare[item] += own_items[p] <= SHARED_BY
+        windows = {p: kept for p, places in windows.items() if (kept := [(item, i) for item, i in places if own_items[p] <= SHARED_BY or rare[item] < 0.5 * total[item]])}
         self.patterns = sorted(windows)
         self.places = [windows[p] for p in self.patterns]
         self.search = WuManber(self.patterns)
@@ -228,6 +240,6 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     for b in range(blocks):
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == b)
         got = Items(sorted((r[0], r[1]) for r in part.toLocalIterator()))
-        found = base.mapInPandas(_search(got, least), schema)
+        found = base.mapInPandas(filled(_search(got, least)), schema)
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "share")

@@ -49,7 +49,7 @@ class Tables:
 
     def __init__(self) -> None:
         n = sys.maxunicode + 1
-        self.script, self.mark = np.zeros(n, np.uint8), np.zeros(n, bool)
+        self.script, self.mark, self.order = np.zeros(n, np.uint8), np.zeros(n, bool), np.zeros(n, np.uint8)
         self.hidden, self.space, self.lower = np.zeros(n, bool), np.zeros(n, bool), np.arange(n, dtype=np.uint32)
         self.latin, self.cyrillic = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
         self.exp_len, self.exp_at = np.ones(n, np.uint8), np.zeros(n, np.int64)
@@ -72,6 +72,7 @@ class Tables:
                     self.lower[cp] = ord(low)
             elif cat[0] == "M":
                 self.mark[cp] = True
+                self.order[cp] = unicodedata.combining(c)
             elif cat == "Cf":
                 self.hidden[cp] = cp < 0xE0000 and not 0x600 <= cp <= 0x605 and cp not in (0x6DD, 0x70F, 0x8E2)
             elif cat == "Zs" and cp != 0x20:
@@ -211,6 +212,12 @@ class Folded:
         self.changed[at] |= l_at | c_at
 
     def _compose(self, t: Tables) -> None:
+        """Marks in canonical order, then each joined to the letter right before it; a letter that is composed already is not taken apart."""
+        rank = t.order[self.points].astype(np.int64)
+        key = np.cumsum(rank == 0) * 256 + rank
+        if (key[1:] < key[:-1]).any():
+            by = np.argsort(key, kind="stable")
+            self.points, self.changed = self.points[by], self.changed[by]
         while len(self.points) > 1:
             a, b = self.points[:-1].astype(np.int64), self.points[1:].astype(np.int64)
             can = np.flatnonzero(t.mark[self.points[1:]])

@@ -140,8 +140,8 @@ class Judge:
                 return True
             if plain > 2 * dots and dots:
                 return False
-        if len(token) == 1 and token.isupper():
-            return True
+        if re.fullmatch(r"(?:[^\W\d_]\.)*[^\W\d_]", token) and token.isupper():
+            return True  # initials
         return token.lower() in NEVER_FINAL or token.lower() in MAY_END
 
     def may_end(self, token: str) -> bool:

@@ -431,8 +431,9 @@ def correct_words(suspects: DataFrame, counts: DataFrame, words: dict[str, float
     near = bad.withColumn("g_size", F.explode(F.sequence(F.greatest(F.lit(3), F.col("size") - 2), F.col("size") + 2)))
     pairs = near.join(good, ["gram", "g_size"]).groupBy("bad", "good").agg(F.count(F.lit(1)).alias("shared"), F.first("n_bad").alias("n_bad"), F.first("n").alias("n_good"), F.first("n_grams").alias("n_grams"))
     pairs = cut_lineage(pairs.filter((F.col("shared") * 3 >= F.col("n_grams")) & (F.levenshtein("bad", "good") <= 3)).drop("n_grams"))
-    # confusions: what differs where a suspect has one close candidate only
-    close = pairs.filter(F.levenshtein("bad", "good") <= 2).groupBy("bad").agg(F.count(F.lit(1)).alias("k"), F.max_by("good", "n_good").alias("good")).filter("k = 1")
+    # confusions: what differs where a suspect has a single closest candidate
+    close = pairs.withColumn("d", F.levenshtein("bad", "good")).filter("d <= 2").groupBy("bad", "d").agg(F.count(F.lit(1)).alias("k"), F.max("good").alias("good"))
+    close = close.groupBy("bad").agg(F.min(F.struct("d", "k", "good")).alias("c")).filter("c.k = 1").select("bad", F.col("c.good").alias("good"))
     edit = F.udf(lambda a, b: list(edit_of(a, b)), T.ArrayType(T.StringType()))
     table = close.select(edit("bad", "good").alias("e")).filter((F.length(F.col("e")[0]) <= 2) & (F.length(F.col("e")[1]) <= 2)).groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").orderBy(F.desc("n"), "e").limit(MOST_CONFUSIONS)
     confusions = {(r["e"][0], r["e"][1]): float(r["n"]) for r in table.collect()}

@@ -202,6 +202,9 @@ def judge_cuts(df: DataFrame, key: str, source: str, text: str, state: str, plac
         .filter((F.col("places") >= 2) & (F.col("mean") < 0.3)).select("kind", "tail", F.lit(True).alias("natural"))
     )
     thai = base.select("text").mapInPandas(filled(_thai_ends), T.StructType([T.StructField("suffix", T.StringType()), T.StructField("seen", T.LongType())])).groupBy("suffix").agg(F.sum("seen").alias("seen"))
+    # rows that ask for nothing get a key of their own, so that they don't meet in one task
+    alone = F.concat(F.lit("#"), F.col("key").cast("string"))
+    rows = rows.withColumns({"tail": F.when(F.col("kind").isin("no_end", "dots"), F.col("tail")).otherwise(alone), "suffix": F.when(F.col("kind") == "thai", F.col("suffix")).otherwise(alone)})
     rows = rows.join(tails, ["kind", "tail"], "left").join(thai, "suffix", "left")
     kind = F.when(F.col("natural"), "closing").when((F.col("kind") == "thai") & (F.coalesce("seen", F.lit(0)) < 2), "thai_odd").otherwise(F.col("kind"))
     weight = F.coalesce(*(F.when(kind == k, F.lit(w)) for k, w in WEIGHTS.items()), F.lit(-9.0))

@@ -35,7 +35,7 @@ _RULE = re.compile(r"(?m)^[^\S\n]*(?:---+|\*\*\*+)[^\S\n]*$")
 _BEAT = re.compile(r"\[\[beat\]\]")
 _MARKUP = re.compile(r"</?[A-Za-z]|\$\$|```|\||#{1,6}\s|!\[")
 _MARK = re.compile(r"[.!?…‽⁇⁈⁉]+|[。！？｡]+|[।॥؟۔።]+")
-_TOKEN = re.compile(r"(?:(?<![^\W_])(?:[^\W\d_]|[A-ZА-Я]{2})\.\s?){1,4}[^\W\d_]{1,2}$|[^\W_](?:[^\W_]|[\-’'][^\W_]|[̀-ःऺ-्ัิ-ฺ็-๎ॊ-ॏ])*$")
+_TOKEN = re.compile(r"(?<![\w.])(?:(?:(?:[^\W\d_]|[A-ZА-Я]{2})\.){1,4}|(?:(?:[^\W\d_]|[A-ZА-Я]{2})\.\s){1,4})[^\W\d_]{1,2}$|[^\W_](?:[^\W_]|[\-’'][^\W_]|[̀-ःऺ-्ัิ-ฺ็-๎ॊ-ॏ])*$")
 _WORD = re.compile(r"[^\W\d_][^\W\d_'’\-]*")
 _PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "《": "》", "»": "«"}
 _CLOSERS = "\"”“’»)]）」』】》*_'«"
@@ -345,7 +345,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 
 #: In Java's terms, the tokens a document may have to ask about: what stands before a stop, and the word after it.
-_ASKED = r"(?U)((?:\b(?:\p{L}|\p{Lu}{2})\.\s?){1,4}\p{L}{1,2}|\b\p{L}[\p{L}\p{M}\-]{0,7})\.(?=[\"”“’»)\]]*\s+(?:[—–\-¿¡\"“«„]\s*)*(\p{Lu}?[\p{L}\p{M}]*))"
+_ASKED = r"(?U)((?<![\p{L}\p{N}.])(?:(?:(?:\p{L}|\p{Lu}{2})\.){1,4}|(?:(?:\p{L}|\p{Lu}{2})\.\s){1,4})\p{L}{1,2}|\b\p{L}[\p{L}\p{M}\-]{0,7})\.(?=[\"”“’»)\]]*\s+(?:[—–\-¿¡\"“«„]\s*)*(\p{Lu}?[\p{L}\p{M}]*))"
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

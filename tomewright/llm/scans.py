@@ -44,6 +44,8 @@ _TERMINAL = re.compile(r"[.!?:;…。！？।»”\"“’)\]」』]+\Z")
 #: Scripts that end sentences without a mark; their lines tell nothing.
 _UNMARKED = re.compile(r"[฀-๿຀-໿ក-៿]{4}")
 _TAG = re.compile(r"<[/!?]?[A-Za-z][^>]*>")
+#: Signs without width, which would part a word; at a line's end a soft hyphen means something.
+_HIDDEN = re.compile(r"[\u200b-\u200f\u2060-\u2064\ufeff]|\xad(?!\Z)")
 _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
 _PAGE = re.compile(
     r"[\[({|<~*·•—–\-\s.]*(?:(?:page|pg\.?|p\.|seite|s\.|página|pág\.?|pagina|стр\.?|страница|blatt|folio|f\.|第)\s*)?(\d{1,5}|[ivxlcdm]{1,9})(?:\s*(?:of|von|de|sur|di|из|/)\s*(?:\d{1,5}))?\s*(?:頁|页|ページ)?[\])}|>~*·•—–\-\s]*",
@@ -79,7 +81,7 @@ def lines_of(markup: str) -> list[Line]:
             kind = "heading"
         elif 'class="math"' in low or "<math" in low:
             kind = "skip"
-        text = htmllib.unescape(_TAG.sub("", raw)).strip(" \t\r\n\xa0")
+        text = _HIDDEN.sub("", htmllib.unescape(_TAG.sub("", raw)).strip(" \t\r\n\xa0"))
         out.append(Line(no, text, raw, kind if text or kind != "text" else "blank"))
     return out
 
@@ -99,6 +101,8 @@ def is_page_number(text: str) -> bool:
 
 
 def _folded(text: str) -> str:
+    """The letters of ``text``, digits read as the letters they look like; a number at either end is a page's."""
+    text = re.sub(r"\A\W*\d+\s+|\s+\d+\W*\Z", "", text)
     return "".join(c for c in text.lower().translate(_LOOKS) if c.isalpha())
 
 
@@ -107,7 +111,7 @@ def _grams(s: str) -> set[str]:
     return {s[i : i + 3] for i in range(len(s) - 2)} if len(s) > 4 else set()
 
 
-LINE_FEATURES = 12
+LINE_FEATURES = 14
 
 
 def line_features(lines: list[Line], titles: list[str]) -> tuple[list[int], np.ndarray]:
@@ -134,7 +138,7 @@ def line_features(lines: list[Line], titles: list[str]) -> tuple[list[int], np.n
         rows.append([
             cover, back, sum(c.isupper() for c in caps) / max(1, len(caps)), sum(w[:1].isupper() or not w[:1].isalpha() for w in words) / len(words),
             bool(_TERMINAL.search(s)), s[:1].isdigit() or s[-1:].isdigit(), not _TERMINAL.search(before), after[:1].islower(), len(s) / median, min(3, keys[letters]),
-            "<p" in lines[i].raw and "</p>" in lines[i].raw, more,
+            "<p" in lines[i].raw and "</p>" in lines[i].raw, more, bool(re.search(r"[.!?;]\s", s)), s[:1].islower(),
         ])
     return at, np.array(rows, float).reshape(len(rows), LINE_FEATURES)
 
@@ -161,15 +165,28 @@ def train_lines(sample: list[tuple[str, str, str]]) -> Boosted | None:
             if spelled:
                 xs.append(f)
                 ys.append(1)
-                for _ in range(2):
+                for how in range(4):
                     kept = lines[i].text
-                    worse = _misread(rng, kept) if rng.random() < 0.7 else f"{rng.choice(('Draft of', 'Review copy,', 'Part one'))} {kept}"
+                    worse = _misread(rng, kept) if how != 1 else kept
+                    if how % 2:
+                        worse = f"{rng.choice(('Draft of', 'Review copy,', 'Part one'))} {worse}"
                     lines[i].text = worse
                     got, again = line_features(lines, titles)
                     lines[i].text = kept
                     if i in got:
                         xs.append(again[got.index(i)])
                         ys.append(1)
+                # text that happens to have a title's words in it
+                kept, near = lines[i].text, next((lines[j].text.split() for j in at if j > i + 1 and len(lines[j].text.split()) > 5), ["and", "so", "on"])
+                title = max(titles, key=len).strip()
+                if title:
+                    for mark in (".", ","):
+                        lines[i].text = f"{title[:1].lower()}{title[1:]}{mark} {' '.join(near[:3])}"
+                        got, again = line_features(lines, titles)
+                        lines[i].text = kept
+                        if i in got:
+                            xs.append(again[got.index(i)])
+                            ys.append(0)
             elif f[4] or max(f[0], f[1]) < 0.5 or f[1] < 0.4 or f[11] > 20:
                 xs.append(f)
                 ys.append(0)

@@ -193,3 +193,11 @@ def test_settings(tmp_path):
     with pytest.raises(ValueError):
         S.chunk_settings({"chunk": {"other": 1}})
     assert S.output_path(None, "", "out", "x") == "out/x.m4b"
+
+
+def test_latest_rows(spark):
+    rows = [("a", 1, 1, "old"), ("a", 1, 2, "new"), (None, 1, 5, "x"), (None, 1, 4, "y"), ("b", None, None, "only")]
+    df = spark.createDataFrame(rows, "k string, n int, o int, v string")
+    assert {r.v for r in A.latest(df, ["k", "n"], ["o"]).collect()} == {"new", "x", "only"}
+    assert {r.v for r in A.latest(df, ["k", "n"], ["o", "v"]).collect()} == {"new", "x", "only"}
+    assert A.latest(df.limit(0), ["k"], ["o"]).count() == 0

@@ -133,9 +133,14 @@ def run_summary(accepted: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key in ``order``: repeated deliveries settled, as a ledger is read. Aggregated before the shuffle."""
-    rest = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
-    return best.select(*keys, "r.*")
-
+    """The last row of each key in ``order``, which tells the rows of a key apart: repeated deliveries settled, as a ledger is read.
 
+    Only keys and order are aggregated, before the shuffle; the wide columns are met once, by a semi-join that is a
+    broadcast where the keys are few. A null key is a key of its own.
+    """
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    last = rows.groupBy(*keys).agg(F.max(place).alias("_last")).select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), "_last")
+    same = place.eqNullSafe(F.col("_last"))
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return rows.join(last, same, "left_semi")

@@ -66,14 +66,44 @@ _PUNCT = "replace(translate(t, '“”‘’–—' || chr(160), '\"\"''''-- '),
 _SPLIT = r"string_split(regexp_replace(regexp_replace(t, '\r\n|[\r\x{0B}\x{0C}\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '\n$', ''), chr(10))"
 _NOTE = rf"^{W}*\[\^?[0-9]+\]:?{W}+[^\s]"
 _BODY = f"array_to_string(list_filter(ls, lambda l: NOT regexp_matches(l, '{_NOTE}')), chr(10))"
-_ARTIFACTS = f"""
-    WITH d AS (SELECT doc_id, {_SPLIT} AS ls FROM ({_DOCS})),
+
+
+def _artifacts_sql(source: str) -> str:
+    return f"""
+    WITH d AS (SELECT doc_id, {_SPLIT} AS ls FROM ({source})),
     l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
     n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, {_strip('line')}) AS k FROM l),
     kept AS (SELECT doc_id, i, line FROM n WHERE NOT regexp_matches(line, '^{W}*[0-9]{{1,4}}{W}*$')
              AND NOT (k >= 3 AND {_strip('line')} <> '' AND NOT starts_with({_strip('line')}, '#') AND length({_strip('line')}) < 60))
     SELECT d.doc_id, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS c FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
-"""
+    """
+
+
+def _endnotes_sql(source: str) -> str:
+    return f"""SELECT doc_id, {_BODY} || CASE WHEN len(ns) > 0 THEN E'\\n\\n---\\n\\n## Notes\\n\\n' || array_to_string(ns, chr(10)) ELSE '' END AS c
+        FROM (SELECT doc_id, ls, list_transform(list_filter(ls, lambda l: regexp_matches(l, '{_NOTE}')), lambda l: {_strip('l')}) AS ns FROM (SELECT doc_id, {_SPLIT} AS ls FROM ({source})))"""
+
+
+def _headings_sql(source: str) -> str:
+    return f"""SELECT doc_id, array_to_string(list_transform(ls, lambda l: CASE WHEN NOT regexp_matches(l, '{_HEAD}') THEN l
+        WHEN length({_INNER}) > 70 OR regexp_matches({_INNER}, '{_CODE}') THEN {_INNER} ELSE regexp_extract(l, '^(#{{1,6}})', 1) || ' ' || {_INNER} END), chr(10)) AS c FROM (SELECT doc_id, {_SPLIT} AS ls FROM ({source}))"""
+
+
+def _digest_sql(source: str) -> str:
+    return f"SELECT doc_id, md5(c) AS digest, length(c) AS chars FROM ({source})"
+
+
+_SPACES = _strip(r"regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '[\t\r \x{0B}\x{0C}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+(\n|$)', '\1', 'g'), '\n{3,}', E'\n\n', 'g')")
+_IMAGES = r"regexp_replace(t, '(?s)==>.*?<==', '', 'g')"
+_ENDS = r"regexp_replace(t, '\r\n?', chr(10), 'g')"
+
+
+def _pipeline_sql() -> str:
+    """All cleaners in order, each over the one before."""
+    step = lambda x, source: f"SELECT doc_id, {x} AS t FROM ({source})"
+    named = lambda source: f"SELECT doc_id, c AS t FROM ({source})"
+    first = step(_PUNCT, step(_IMAGES, step(_ENDS, _DOCS)))
+    return _digest_sql(f"SELECT doc_id, {_SPACES} AS c FROM ({named(_headings_sql(named(_endnotes_sql(named(_artifacts_sql(first))))))})")
 _WORDS = lambda x: f"CASE WHEN {_strip(x)} = '' THEN 0 ELSE len(string_split_regex({_strip(x)}, '{W}+')) END"
 
 
@@ -398,7 +428,7 @@ _LAST_RAW = "(SELECT book_id, chapter_index, html FROM chapters_raw QUALIFY row_
 _LAST_ADAPTED = "(SELECT book_id, chapter_index, payload, row_id, adapter FROM adapted QUALIFY row_number() OVER (PARTITION BY book_id, chapter_index ORDER BY row_id DESC) = 1)"
 _GATE = rf"""
     WITH a AS (SELECT *, json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT' AS whole FROM {_LAST_ADAPTED}),
-    p AS (SELECT book_id, chapter_index, payload, coalesce(whole, false) AS whole, CASE WHEN whole THEN payload::JSON END AS j FROM a),
+    p AS (SELECT book_id, chapter_index, row_id, payload, coalesce(whole, false) AS whole, CASE WHEN whole THEN payload::JSON END AS j FROM a),
     s AS (SELECT *, json_extract_string(j, '$.adapted_text') AS text,
         coalesce(json_type(j, '$.adapted_text') = 'VARCHAR' AND json_extract_string(j, '$.adapted_text') <> '', false)
         AND coalesce(json_type(j, '$.notes') = 'VARCHAR', true) AND coalesce(json_type(j, '$.pronunciation_hints') = 'ARRAY', true)
@@ -415,6 +445,14 @@ _GATE = rf"""
     g AS (SELECT *, CASE WHEN payload IS NULL THEN 'missing_file' WHEN NOT whole THEN 'json_parse_error' WHEN NOT schema_ok THEN 'schema_error'
           WHEN bad IS NOT NULL THEN 'markdown_artifact' WHEN ratio < 0.30 OR ratio > 1.10 THEN 'length_anomaly' END AS error_kind FROM c)
 """
+_HINTS = _GATE.split("r AS (SELECT r.book_id")[0].replace(_LAST_ADAPTED, "adapted") + """
+    l AS (SELECT book_id, chapter_index, row_id, json_extract(j, '$.pronunciation_hints[*]') AS hs FROM s WHERE whole AND schema_ok AND json_type(j, '$.pronunciation_hints') = 'ARRAY'),
+    h AS (SELECT book_id, chapter_index, row_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS pos FROM l),
+    x AS (SELECT *, json_extract_string(h, '$.term') AS term, json_extract_string(h, '$.spoken_as') AS say, coalesce(json_extract_string(h, '$.reason'), '') AS why FROM h),
+    m AS (SELECT book_id, term, list(say ORDER BY chapter_index, row_id, pos)[1] AS spoken_as, list(why ORDER BY chapter_index, row_id, pos)[1] AS reason, list_sort(list_distinct(list(say))) AS s FROM x GROUP BY 1, 2),
+    o AS (SELECT *, list_filter(s, lambda v: v <> spoken_as) AS others FROM m)
+    SELECT book_id, term, spoken_as, CASE WHEN len(others) = 0 THEN reason ELSE CASE WHEN reason = '' THEN '' ELSE reason || ' ' END || '[conflict with: ' || array_to_string(others, ', ') || ']' END AS reason FROM o
+"""
 _BEST_PROBE = "(SELECT book_id, chapter_index, chunk_id, coalesce(readable, false) AS readable, coalesce(frames, 0) AS frames, coalesce(sample_rate, 0) AS sample_rate FROM wav_probe QUALIFY row_number() OVER (PARTITION BY book_id, chapter_index, chunk_id ORDER BY coalesce(readable, false) DESC, coalesce(frames, 0) DESC, coalesce(sample_rate, 0) DESC) = 1)"
 _DURATIONS = "SELECT book_id, chapter_index, count(*) AS chunks, sum(floor(frames * 1000 / sample_rate))::BIGINT AS duration_ms FROM wav_probe WHERE readable AND frames > 0 AND sample_rate > 0 GROUP BY ALL"
 _TIMELINE = f"SELECT book_id, chapter_index, (sum(duration_ms) OVER w - duration_ms)::BIGINT AS start_ms, (sum(duration_ms) OVER w)::BIGINT AS end_ms FROM ({_DURATIONS}) WINDOW w AS (PARTITION BY book_id ORDER BY chapter_index)"
@@ -424,18 +462,29 @@ _INNER = _strip("regexp_replace(" + _strip(f"regexp_replace(l, '^#+{W}+', '')")
 _CODE = r"[=(){}\[\];]|>>>|\$\s|::|\bprint\(|\bimport\s|\bdef\s|\bclass\s|\bnp\.|\bplt\.|\bself\."
 
 ORACLE = {
-    "clean_line_ends": _cleaned_sql(r"regexp_replace(t, '\r\n?', chr(10), 'g')"),
-    "clean_image_marks": _cleaned_sql(r"regexp_replace(t, '(?s)==>.*?<==', '', 'g')"),
+    "clean_line_ends": _cleaned_sql(_ENDS),
+    "clean_image_marks": _cleaned_sql(_IMAGES),
     "clean_punctuation": _cleaned_sql(_PUNCT),
-    "clean_space": _cleaned_sql(_strip(r"regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '[\t\r \x{0B}\x{0C}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+(\n|$)', '\1', 'g'), '\n{3,}', E'\n\n', 'g')")),
-    "clean_page_artifacts": f"SELECT doc_id, md5(c) AS digest, length(c) AS chars FROM ({_ARTIFACTS})",
-    "clean_footnotes_skip": f"SELECT doc_id, md5(c) AS digest, length(c) AS chars FROM (SELECT doc_id, {_BODY} AS c FROM (SELECT doc_id, {_SPLIT} AS ls FROM ({_DOCS})))",
-    "clean_footnotes_endnote": f"""SELECT doc_id, md5(c) AS digest, length(c) AS chars FROM (SELECT doc_id, {_BODY} || CASE WHEN len(ns) > 0 THEN E'\\n\\n---\\n\\n## Notes\\n\\n' || array_to_string(ns, chr(10)) ELSE '' END AS c
-        FROM (SELECT doc_id, ls, list_transform(list_filter(ls, lambda l: regexp_matches(l, '{_NOTE}')), lambda l: {_strip('l')}) AS ns FROM (SELECT doc_id, {_SPLIT} AS ls FROM ({_DOCS}))))""",
+    "clean_space": _cleaned_sql(_SPACES),
+    "clean_page_artifacts": _digest_sql(_artifacts_sql(_DOCS)),
+    "clean_footnotes_skip": _digest_sql(f"SELECT doc_id, {_BODY} AS c FROM (SELECT doc_id, {_SPLIT} AS ls FROM ({_DOCS}))"),
+    "clean_footnotes_endnote": _digest_sql(_endnotes_sql(_DOCS)),
     "clean_footnotes_inline": _cleaned_sql("t"),
-    "clean_code_headings": f"""SELECT doc_id, md5(c) AS digest, length(c) AS chars FROM (SELECT doc_id, array_to_string(list_transform(ls, lambda l: CASE WHEN NOT regexp_matches(l, '{_HEAD}') THEN l
-        WHEN length({_INNER}) > 70 OR regexp_matches({_INNER}, '{_CODE}') THEN {_INNER} ELSE regexp_extract(l, '^(#{{1,6}})', 1) || ' ' || {_INNER} END), chr(10)) AS c FROM (SELECT doc_id, {_SPLIT} AS ls FROM ({_DOCS})))""",
+    "clean_code_headings": _digest_sql(_headings_sql(_DOCS)),
+    "clean_pipeline": _pipeline_sql(),
+    "clean_dehyphenate": rf"""WITH d AS ({_DOCS}),
+        v AS (SELECT w FROM (SELECT DISTINCT doc_id, lower(unnest(string_split_regex(t, '[^A-Za-z\-]+'))) AS w FROM d) WHERE regexp_matches(w, '^[a-z]{{2,}}$') GROUP BY w HAVING count(*) >= 3),
+        p AS (SELECT doc_id, string_split_regex(t, '[A-Za-z]+-\n[A-Za-z]+') AS outs, regexp_extract_all(t, '[A-Za-z]+-\n[A-Za-z]+') AS hits FROM d),
+        h AS (SELECT doc_id, unnest(hits) AS x, generate_subscripts(hits, 1) AS i FROM p),
+        f AS (SELECT doc_id, i, replace(x, E'-\n', CASE WHEN v.w IS NULL THEN '-' ELSE '' END) AS y FROM h LEFT JOIN v ON v.w = lower(replace(x, E'-\n', ''))),
+        g AS (SELECT doc_id, list(y ORDER BY i) AS ys FROM f GROUP BY 1),
+        r AS (SELECT p.doc_id, array_to_string(list_transform(list_zip(outs, coalesce(ys, [])), lambda z: z[1] || coalesce(z[2], '')), '') AS c FROM p LEFT JOIN g USING (doc_id))
+        SELECT doc_id, md5(c) AS digest, length(c) AS chars FROM r""",
     "apply_lexicon": r"""SELECT row_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bengine\b', 'en gin', 'g'), '(?i)\ben gin\b', 'motor', 'g'), '\bThe\b', 'thee', 'g')) AS digest FROM chunks WHERE text IS NOT NULL""",
+    "merge_orphans": f"""WITH r AS (SELECT doc_id, list_reduce(list_transform(list_filter(list_transform(string_split(text, ' '), lambda x: {_strip('x')}), lambda x: x <> ''), lambda x: {{'m': []::VARCHAR[], 'p': x}}),
+        lambda a, b: CASE WHEN length(concat_ws(' ', nullif(a.p, ''), b.p)) < 20 THEN {{'m': a.m, 'p': concat_ws(' ', nullif(a.p, ''), b.p)}} ELSE {{'m': list_append(a.m, concat_ws(' ', nullif(a.p, ''), b.p)), 'p': ''}} END, {{'m': []::VARCHAR[], 'p': ''}}) AS s FROM documents WHERE text IS NOT NULL),
+        f AS (SELECT doc_id, CASE WHEN s.p = '' THEN s.m WHEN len(s.m) > 0 THEN list_append(s.m[1:-2], s.m[-1] || ' ' || s.p) ELSE [s.p] END AS parts FROM r)
+        SELECT doc_id, i - 1 AS part_ix, md5(p) AS digest FROM (SELECT doc_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM f)""",
     "slugify": """SELECT row_id, CASE WHEN slug = '' THEN 'untitled' ELSE slug END AS slug FROM (SELECT row_id, CASE WHEN length(s) <= 24 THEN s
         WHEN trim(regexp_replace(s[1:24], '-[^-]*$', ''), '-') <> '' THEN trim(regexp_replace(s[1:24], '-[^-]*$', ''), '-') ELSE s[1:24] END AS slug
         FROM (SELECT row_id, trim(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM chapters_raw WHERE title IS NOT NULL))""",
@@ -470,6 +519,7 @@ ORACLE = {
         m AS (SELECT book_id, term, arg_min(spoken_as, hint_id) AS spoken_as, arg_min(reason, hint_id) AS reason, min(hint_id) AS first_hint_id, list_sort(list_distinct(list(spoken_as))) AS s FROM h GROUP BY 1, 2),
         o AS (SELECT *, list_filter(s, lambda x: x <> spoken_as) AS others FROM m)
         SELECT book_id, term, spoken_as, CASE WHEN len(others) = 0 THEN reason ELSE CASE WHEN reason = '' THEN '' ELSE reason || ' ' END || '[conflict with: ' || array_to_string(others, ', ') || ']' END AS reason, first_hint_id FROM o""",
+    "merge_payload_hints": _HINTS,
     "context_budget": "SELECT book_id, greatest(1, floor(n / 4))::BIGINT AS tokens, n > 0 AND greatest(1, floor(n / 4)) <= 12000 AS included FROM (SELECT book_id, sum(length(coalesce(text, ''))) AS n FROM chunks GROUP BY 1)",
     "latest_adapted": f"SELECT book_id, chapter_index, row_id, adapter FROM {_LAST_ADAPTED}",
     "sanitize_hints": f"""WITH s AS (SELECT hint_id, term, {_strip("regexp_replace(regexp_replace(CASE WHEN regexp_matches(spoken_as, '\\p{Lu}') AND regexp_matches(spoken_as, '\\p{Ll}') THEN lower(spoken_as) ELSE spoken_as END, '[-_]+', ' ', 'g'), '" + W + "+', ' ', 'g')")} AS spoken FROM lexicon WHERE spoken_as IS NOT NULL AND term IS NOT NULL)

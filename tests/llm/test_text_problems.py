@@ -276,6 +276,14 @@ def test_surrogates_keep_kind_and_format(spark):
     assert privacy.surrogate("k", "name", "Brack, Paul", "Paul", "Brack", "m").split(", ")[::-1] == privacy.surrogate("k", "name", "Paul Brack", "Paul", "Brack", "m").split(" ")
 
 
+def test_surrogates_stay_distinct(spark):
+    names = [f"{f} {s}" for s in ("Oakhurst", "Elmwood", "Birchall") for f in ("Anna", "Clara", "Rosa", "Julia", "Marta", "Nadia", "Sofia", "Lucia", "Greta", "Maya", "Hana", "Emma", "Elena", "Leila", "Priya", "Aisha", "Fatima", "Diana", "Laura", "Paula", "Carla", "Vera", "Nora", "Ida", "Ada")]
+    got = [r.text for r in privacy.replace_entities(docs(spark, [f"According to {n}, it is so." for n in names]), "k", "t", style="surrogate").orderBy("k").collect()]
+    assert len(set(got)) == len(names) and not any(n in t for n, t in zip(names, got))
+    women = set(privacy.GIVEN["f"])
+    assert all(re.match(r"According to (\w+)", t)[1] in women for t in got)
+
+
 # ---- 2
 
 

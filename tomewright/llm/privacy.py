@@ -267,15 +267,16 @@ def surrogate(secret: str, kind: str, found: str, first: str, last: str, gender:
         if kind == "email":
             return f"user-{code(secret, kind, value, size).lower()}@example.invalid"
         return _digits(secret, kind, value + "+" * (size - 12), found)
-    new_last = _surname(secret, last.lower(), last, size)
+    new_last = _surname(secret, last.lower(), last, 12 if first else size)
     if not first:
         return found.replace(last, new_last)
     if first.endswith("."):
         return found.replace(last, new_last).replace(first, f"{code(secret, 'initial', first + last.lower())[0]}.", 1)
-    pool = GIVEN[gender if gender in GIVEN else _gender(first)]
+    pool = GIVEN[_gender(first)]
     new_first = pool[int(hmac.new(secret.encode(), first.lower().encode(), hashlib.sha256).hexdigest(), 16) % len(pool)]
-    a, b = found.find(first), found.find(last)
-    parts = sorted([(a, first, new_first), (b, last, new_last)], reverse=True)
+    if size > 12:  # its plain form is taken by another person
+        new_first += f" {'. '.join(c for c in code(secret, 'name', f'{last}|{first}'.lower()) if c.isalpha())[:4]}"
+    parts = sorted([(found.find(first), first, new_first), (found.find(last), last, new_last)], reverse=True)
     for at, old, new in parts:
         found = found[:at] + new + found[at + len(old) :]
     return found
@@ -288,11 +289,16 @@ def _gender(first: str) -> str:
     return "f" if regex.search(r"(?:a|ia|ine|elle|ette)\Z|[ая]\Z", first.lower()) else ""
 
 
-def _coder(secret: str):
+def _coder(secret: str, style: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            value = [f"{l.lower()}|{f.lower()}" if k == "name" else norm_entity(k, x) for k, x, f, l in zip(pdf["kind"], pdf["found"], pdf["first"], pdf["last"])]
-            yield pdf.assign(value=value, code=[code(secret, k, v) for k, v in zip(pdf["kind"], value)])
+            parts = list(zip(pdf["kind"], pdf["found"], pdf["first"], pdf["last"], pdf["gender"]))
+            value = [f"{l.lower()}|{f.lower()}" if k == "name" else norm_entity(k, x) for k, x, f, l, _ in parts]
+            if style == "placeholder":
+                codes = [code(secret, p[0], v) for p, v in zip(parts, value)]
+            else:  # one order and form of a name, so that its ways of writing don't count as persons
+                codes = [surrogate(secret, k, f"{f} {l}".strip() if k == "name" else x, f, l, g) for k, x, f, l, g in parts]
+            yield pdf.assign(value=value, code=codes)
 
     return run
 
@@ -327,8 +333,9 @@ def replace_entities(df: DataFrame, key: str, text: str, secret: str = "tomewrig
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = find_entities(docs, "key", "text")
-    coded = found.mapInPandas(filled(_coder(secret)), T.StructType([*found.schema.fields, T.StructField("value", T.StringType()), T.StructField("code", T.StringType())]))
-    shared = coded.select("kind", "value", "code").distinct().groupBy("kind", "code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "code", F.lit(True).alias("shared"))
+    coded = found.mapInPandas(filled(_coder(secret, style)), T.StructType([*found.schema.fields, T.StructField("value", T.StringType()), T.StructField("code", T.StringType())]))
+    # codes that stand for more than one entity of the corpus
+    shared = coded.groupBy("kind", "code").agg(F.min("value").alias("a"), F.max("value").alias("b")).filter("a != b").select("kind", "code", F.lit(True).alias("shared"))
     marked = coded.join(shared, ["kind", "code"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
     spans = marked.groupBy("key").agg(F.collect_list(F.struct("start", "stop", "kind", "found", "first", "last", "gender", "value", "shared")).alias("spans"))
     return docs.join(spans, "key", "left").mapInPandas(filled(_replacer(secret, style)), docs.schema).withColumnsRenamed({"key": key})

@@ -35,6 +35,8 @@ SHARED_BY = 3
 CURSORS = 4096
 #: Score of an equal word and of one changed, added or left out: a passage may lose two words in five, not more.
 MATCH, EDIT = 2, -3
+#: Part of the share wanted that must stand in unbroken runs of three words.
+RUNS = 0.5
 
 _WORD = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿]|(?:(?![぀-ヿ㐀-鿿豈-﫿฀-๿])[^\W_])+(?:[̀-ͯऀ-ःऺ-ॏ]+(?:(?![฀-๿])[^\W_])*)*")
 _SIGN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿]")
@@ -139,19 +141,22 @@ def align(item: list[str], doc: list[str]) -> tuple[int, int, int, int]:
     """Best local alignment of two word lists: (item from, item to, document from, document to); all 0 without any."""
     best, at = 0, (0, 0)
     rows = [[0] * (len(doc) + 1)]
-    for i, a in enumerate(item):
-        up, row, left = rows[-1], [0], 0
-        for j, b in enumerate(doc):
-            v = up[j] + (MATCH if a == b else EDIT)
-            if up[j + 1] + EDIT > v:
-                v = up[j + 1] + EDIT
-            if left + EDIT > v:
-                v = left + EDIT
-            left = v if v > 0 else 0
-            row.append(left)
-            if left > best:
-                best, at = left, (i + 1, j + 1)
+    for i, a in enumerate(item, 1):
+        last, row, left = rows[-1], [0], 0
+        add = row.append
+        for b, diagonal, up in zip(doc, last, last[1:]):
+            v = diagonal + (MATCH if a == b else EDIT)
+            if up + EDIT > v:
+                v = up + EDIT
+            left += EDIT
+            left = v if v > left else left
+            if left < 0:
+                left = 0
+            add(left)
         rows.append(row)
+        top = max(row)
+        if top > best:
+            best, at = top, (i, row.index(top))
     i, j = at
     while i and j and rows[i][j] > 0:
         v = rows[i][j]
@@ -164,6 +169,16 @@ def align(item: list[str], doc: list[str]) -> tuple[int, int, int, int]:
     return i, at[0], j, at[1]
 
 
+def in_runs(item: list[str], runs: set[tuple[str, str, str]]) -> float:
+    """Share of the item's words that stand in runs of three words which the document has too."""
+    n, reach, got = len(item), 0, 0
+    for i in range(n - 2):
+        if (item[i], item[i + 1], item[i + 2]) in runs:
+            got += i + 3 - max(i, reach)
+            reach = i + 3
+    return got / max(1, n)
+
+
 def coverage(item: list[str], doc: list[str], seeds: list[tuple[int, int]]) -> float:
     """Share of the item's words that lie in the one or two best passages; ``seeds`` are (item, document) word positions."""
     # passages: seeds that follow each other in both texts
@@ -208,10 +223,16 @@ def _search(items: Items, least: float):
                 for item, i in items.places[p]:
                     hits[d, item].append((i, at))
             marks: dict[int, np.ndarray] = {}
+            runs: dict[int, set] = {}
             for (d, item), got in hits.items():
                 words = items.words[item]
                 if len({i for i, _ in got}) < min(LEAST_SEEDS, max(1, len(words) // 8)):
                     continue
+                if d not in runs:
+                    runs[d] = set(zip(docs[d], docs[d][1:], docs[d][2:]))
+                # passages with a word changed here and there consist of runs; what lacks even half of them is not aligned
+                if len(words) > 8 and in_runs(words, runs[d]) < RUNS * least:
+                    continue
                 if d not in marks:
                     marks[d] = np.flatnonzero(np.frombuffer(parts[d].encode("utf-32-le"), np.uint32) == 32)
                 seeds = [(i, int(np.searchsorted(marks[d], at - starts[d]))) for i, at in got]

@@ -201,3 +201,11 @@ def test_latest_rows(spark):
     assert {r.v for r in A.latest(df, ["k", "n"], ["o"]).collect()} == {"new", "x", "only"}
     assert {r.v for r in A.latest(df, ["k", "n"], ["o", "v"]).collect()} == {"new", "x", "only"}
     assert A.latest(df.limit(0), ["k"], ["o"]).count() == 0
+
+
+def test_duration_faults(spark):
+    chunks = spark.createDataFrame([("a", "x" * 100), ("b", "x" * 100), ("c", "x" * 100), ("d", None), ("e", "x")], "k string, text string")
+    probes = spark.createDataFrame([("a", True, 5000, 1000), ("b", True, 400, 1000), ("c", True, 11000, 1000), ("d", True, 1000, 1000), ("e", False, 0, 1000)], "k string, readable boolean, frames long, sample_rate int")
+    assert {(r.k, r.fault) for r in U.duration_faults(chunks, probes, ["k"]).collect()} == {("b", "too_short"), ("c", "too_long"), ("d", "too_long")}
+    levels = spark.createDataFrame([([0.0, 0.001, 0.5, -0.5],), ([],)], "x array<double>")
+    assert [r[0] for r in levels.select(U.silence_ratio(F.col("x"))).collect()] == [0.5, None]

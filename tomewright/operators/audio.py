@@ -29,6 +29,25 @@ def render_gate(chunks: DataFrame, probes: DataFrame, keys: list[str]) -> DataFr
     return rows.select(*keys, F.col("error_kind").isNull().alias("ok"), "error_kind", F.when(F.col("error_kind").isNull(), F.col("p.frames") / F.col("p.sample_rate")).alias("duration_s"))
 
 
+def duration_faults(chunks: DataFrame, probes: DataFrame, keys: list[str], least_s: float = 0.5, chars_a_second: float = 10.0) -> DataFrame:
+    """``keys``, ``fault`` (too_short, too_long), ``duration_s``: an extension of the gate for chunks that pass it.
+
+    A chunk is too long if it takes more seconds than its characters at ``chars_a_second``. ``chunks`` also has ``text``;
+    of repeated chunks the longest text counts, a null text has no characters.
+    """
+    sizes = chunks.groupBy(*keys).agg(F.max(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    rows = render_gate(chunks, probes, keys).filter("ok").join(sizes, keys)
+    fault = F.when(F.col("duration_s") < least_s, "too_short").when(F.col("duration_s") > F.col("chars") / chars_a_second, "too_long")
+    return rows.select(*keys, fault.alias("fault"), "duration_s").filter("fault IS NOT NULL")
+
+
+def silence_ratio(samples: Column, below_db: float = -50.0) -> Column:
+    """Share of samples under a level; null for no samples. Beside :func:`duration_faults` the other check of the extension."""
+    limit = 10 ** (below_db / 20)
+    quiet = F.size(F.filter(samples, lambda x: F.abs(x) < limit))
+    return F.when(F.size(samples) > 0, quiet / F.size(samples))
+
+
 def chapter_durations(probes: DataFrame, keys: list[str]) -> DataFrame:
     """``keys``, ``chunks``, ``duration_ms``: of the readable probes, each in whole milliseconds so that the sum has no order."""
     ok = F.coalesce(F.col("readable"), F.lit(False)) & (F.col("frames") > 0) & (F.col("sample_rate") > 0)

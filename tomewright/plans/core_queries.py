@@ -316,6 +316,16 @@ def _render_gate(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("duration_s", F.round("duration_s", 6))
 
 
+def _duration_faults(spark: SparkSession, d: str) -> DataFrame:
+    got = U.duration_faults(table(spark, d, "chunks", *_CHUNK, "text"), table(spark, d, "wav_probe"), _CHUNK)
+    return got.withColumn("duration_s", F.round("duration_s", 6))
+
+
+def _quiet(spark: SparkSession, d: str) -> DataFrame:
+    rows = _signals(spark, d)
+    return rows.select(*_CHUNK, F.round(U.silence_ratio(F.col("samples")), 6).alias("quiet"))
+
+
 def _durations(spark: SparkSession, d: str) -> DataFrame:
     return U.chapter_durations(table(spark, d, "wav_probe"), _KEYS)
 
@@ -413,6 +423,8 @@ QUERIES = {
     "chunk_faults": _faults,
     "render_gate": _render_gate,
     "render_missing": _rendered,
+    "duration_faults": _duration_faults,
+    "silence_ratio": _quiet,
     "chapter_durations": _durations,
     "chapter_timeline": _timeline,
     "ffmetadata": _metadata,
@@ -529,6 +541,10 @@ ORACLE = {
         SELECT book_id, chapter_index, chunk_id, unnest(list_filter([CASE WHEN n > 1 THEN 'repeated_id' END, CASE WHEN NOT coalesce(regexp_matches(chunk_id, '^[0-9]{4}$'), false) THEN 'bad_id' END, CASE WHEN e THEN 'empty_text' END, CASE WHEN m > 400 THEN 'long_text' END, CASE WHEN s THEN 'bad_silence' END], lambda x: x IS NOT NULL)) AS fault FROM g""",
     "render_gate": f"""WITH c AS (SELECT DISTINCT book_id, chapter_index, chunk_id FROM chunks), g AS (SELECT c.*, p.frames, p.sample_rate, CASE WHEN p.readable IS NULL THEN 'missing' WHEN NOT p.readable THEN 'unreadable' WHEN p.frames <= 0 OR p.sample_rate <= 0 THEN 'zero_duration' END AS error_kind
         FROM c LEFT JOIN {_BEST_PROBE} p USING (book_id, chapter_index, chunk_id)) SELECT book_id, chapter_index, chunk_id, error_kind IS NULL AS ok, error_kind, round(CASE WHEN error_kind IS NULL THEN frames / sample_rate END, 6) AS duration_s FROM g""",
+    "duration_faults": f"""WITH c AS (SELECT book_id, chapter_index, chunk_id, max(length(coalesce(text, ''))) AS n FROM chunks GROUP BY ALL),
+        r AS (SELECT c.*, p.frames / p.sample_rate AS s FROM c JOIN {_BEST_PROBE} p USING (book_id, chapter_index, chunk_id) WHERE p.readable AND p.frames > 0 AND p.sample_rate > 0)
+        SELECT book_id, chapter_index, chunk_id, CASE WHEN s < 0.5 THEN 'too_short' ELSE 'too_long' END AS fault, round(s, 6) AS duration_s FROM r WHERE s < 0.5 OR s > n / 10.0""",
+    "silence_ratio": f"SELECT book_id, chapter_index, chunk_id, round(len(list_filter(x, lambda v: abs(v) < 0.0031622776601683795)) / len(x), 6) AS quiet FROM ({_SIGNALS})",
     "chapter_durations": _DURATIONS,
     "chapter_timeline": _TIMELINE,
     "ffmetadata": f"""WITH t AS ({_TIMELINE}), n AS (SELECT book_id, chapter_index, min(title) AS title FROM chapters_raw GROUP BY ALL),

@@ -497,6 +497,13 @@ ORACLE = {
         lambda a, b: CASE WHEN length(concat_ws(' ', nullif(a.p, ''), b.p)) < 20 THEN {{'m': a.m, 'p': concat_ws(' ', nullif(a.p, ''), b.p)}} ELSE {{'m': list_append(a.m, concat_ws(' ', nullif(a.p, ''), b.p)), 'p': ''}} END, {{'m': []::VARCHAR[], 'p': ''}}) AS s FROM documents WHERE text IS NOT NULL),
         f AS (SELECT doc_id, CASE WHEN s.p = '' THEN s.m WHEN len(s.m) > 0 THEN list_append(s.m[1:-2], s.m[-1] || ' ' || s.p) ELSE [s.p] END AS parts FROM r)
         SELECT doc_id, i - 1 AS part_ix, md5(p) AS digest FROM (SELECT doc_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM f)""",
+    "split_long": rf"""WITH s AS (SELECT row_id, {_strip('text')} AS s FROM chunks WHERE text IS NOT NULL),
+        k AS (SELECT row_id, s, list_reduce(list_transform(string_split(regexp_replace(s, '([,;:]){W}+', '\1' || chr(31), 'g'), chr(31)), lambda x: {{'m': []::VARCHAR[], 'p': x}}),
+            lambda a, b: CASE WHEN length(a.p) + 1 + length(b.p) > 120 THEN {{'m': list_append(a.m, a.p), 'p': b.p}} ELSE {{'m': a.m, 'p': a.p || ' ' || b.p}} END) AS r FROM s WHERE length(s) > 120),
+        q AS (SELECT row_id, list_append(r.m, r.p) AS ps FROM k),
+        c AS (SELECT row_id, list_filter(flatten(list_transform(ps, lambda p: CASE WHEN length(p) <= 120 THEN [p] ELSE list_transform(regexp_extract_all(p, '(?s){W}*(.{{1,120}}$|.{{1,119}} |.{{120}})', 1), lambda x: regexp_replace(x, '{W}+$', '')) END)), lambda p: p <> '') AS ps FROM q
+            UNION ALL SELECT row_id, [s] FROM s WHERE length(s) <= 120)
+        SELECT row_id, i - 1 AS piece_ix, piece FROM (SELECT row_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM c)""",
     "slugify": """SELECT row_id, CASE WHEN slug = '' THEN 'untitled' ELSE slug END AS slug FROM (SELECT row_id, CASE WHEN length(s) <= 24 THEN s
         WHEN trim(regexp_replace(s[1:24], '-[^-]*$', ''), '-') <> '' THEN trim(regexp_replace(s[1:24], '-[^-]*$', ''), '-') ELSE s[1:24] END AS slug
         FROM (SELECT row_id, trim(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM chapters_raw WHERE title IS NOT NULL))""",

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch. Chapters reach tens of thousands of characters, so batches are kept short.
+#: Rows of one Arrow batch. Chapters reach tens of thousands of characters, so batches are kept short; Spark also ends one at 64 MB.
 ARROW_ROWS = 512
 
 

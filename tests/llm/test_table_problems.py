@@ -5,6 +5,7 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,32 @@ def test_signs_without_spaces(spark):
     assert [(r.d, r.i) for r in leaks.find_leaks(docs, "d", "t", items, "i", "t").collect()] == [(1, 1)]
 
 
+
+def test_leaks_of_wordings_that_many_items_share(spark):
+    shared = " ".join(f"common{i}" for i in range(20))
+    items = spark.createDataFrame([(k, f"{shared} " + " ".join(f"own{k}x{i}" for i in range(20))) for k in range(5)], "i long, t string")
+    # the shared half; 4 words unbroken, then a word changed behind every second; a passage of one item alone, too short
+    broken = " ".join(["own1x0 own1x1 own1x2 own1x3 own1x4 own1x5", *(f"x own1x{i} own1x{i + 1}" for i in range(7, 19, 3)), "own1x19"])
+    docs = spark.createDataFrame([(1, f"before {shared} behind"), (2, f"before common17 common18 common19 {broken} behind"), (3, " ".join(f"own2x{i}" for i in range(15)))], "d long, t string")
+    assert {(r.d, r.i) for r in leaks.find_leaks(docs, "d", "t", items, "i", "t").collect()} == {(1, k) for k in range(5)} | {(2, 1)}
+
+
+def test_batch_alignment_is_exact():
+    def score(a, b):
+        rows = [[0] * (len(b) + 1)]
+        for x in a:
+            rows.append([0])
+            for j, y in enumerate(b):
+                rows[-1].append(max(0, rows[-2][j] + (leaks.MATCH if x == y else leaks.EDIT), rows[-2][j + 1] + leaks.EDIT, rows[-1][j] + leaks.EDIT))
+        return max(map(max, rows))
+
+    rng = random.Random(3)
+    pairs = [([rng.randrange(6) for _ in range(rng.randrange(1, 40))], [rng.choice([-2, 0, 1, 2, 3, 4, 5]) for _ in range(rng.randrange(1, 60))]) for _ in range(60)]
+    got = leaks.align([np.array(a, np.int32) for a, _ in pairs], [np.array(b, np.int32) for _, b in pairs])
+    for (a, b), (i, i1, j, j1) in zip(pairs, got.tolist()):
+        assert score(a[i:i1], b[j:j1]) == score(a, b) if i1 else score(a, b) == 0
+
+
 # ---- 8
 
 

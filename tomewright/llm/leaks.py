@@ -3,8 +3,9 @@
 The items are cut into windows of a few words, and these windows are searched in all documents at once by the
 multi-pattern method of Wu and Manber: a table tells for each block of three characters how far the search may jump, the
 blocks that end a window lead to its bucket by hash, and a direct comparison confirms it. The search runs over a whole
-batch of documents as one array, with thousands of cursors that jump side by side. Items of which enough windows were
-met in a document are aligned with it word by word, so that words changed, added or left out do not matter.
+batch of documents as one array, with thousands of cursors that jump side by side. Items of which a window was met in a
+document are aligned with it word by word, all pairs of a batch side by side, so that words changed, added or left out do
+not matter. Only pairs that provably cannot reach the share wanted are not aligned.
 
 The items are held by every task, in blocks of :data:`BLOCK_ITEMS`; more items make more passes over the documents, none
 makes the broadcast larger. The documents are read where they lie: there is no shuffle.
@@ -28,15 +29,11 @@ from ..functions.batches import filled
 BLOCK_ITEMS = 5000
 #: Words of a window, and characters of one in scripts without spaces.
 WINDOW_WORDS, WINDOW_SIGNS = 4, 8
-#: Windows of an item that must be met before it is aligned.
-LEAST_SEEDS = 2
-#: Items that may share a window for it to count as a seed.
-SHARED_BY = 3
 CURSORS = 4096
 #: Score of an equal word and of one changed, added or left out: a passage may lose two words in five, not more.
 MATCH, EDIT = 2, -3
-#: Part of the share wanted that must stand in unbroken runs of three words.
-RUNS = 0.5
+#: Cells of the tables that are filled at once.
+CELLS = 1 << 22
 
 _WORD = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿]|(?:(?![぀-ヿ㐀-鿿豈-﫿฀-๿])[^\W_])+(?:[̀-ͯऀ-ःऺ-ॏ]+(?:(?![฀-๿])[^\W_])*)*")
 _SIGN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿]")
@@ -124,64 +121,75 @@ class Items:
             size = max(1, min(size, len(w) // 2))
             for i in range(len(w) - size + 1):
                 windows[" " + " ".join(w[i : i + size]) + " "].append((item, i))
-        # windows that many items share tell little; an item that has mostly such windows keeps them all
-        own_items = {p: len({item for item, _ in places}) for p, places in windows.items()}
-        rare, total = Counter(), Counter()
-        for p, places in windows.items():
-            for item, _ in places:
-                total[item] += 1
-                rare[item] += own_items[p] <= SHARED_BY
-        windows = {p: kept for p, places in windows.items() if (kept := [(item, i) for item, i in places if own_items[p] <= SHARED_BY or rare[item] < 0.5 * total[item]])}
         self.patterns = sorted(windows)
         self.places = [windows[p] for p in self.patterns]
         self.search = WuManber(self.patterns)
+        self.ids: dict[str, int] = {}
+        self.coded = {item: np.array([self.ids.setdefault(x, len(self.ids)) for x in w], np.int32) for item, w in self.words.items()}
 
 
-def align(item: list[str], doc: list[str]) -> tuple[int, int, int, int]:
-    """Best local alignment of two word lists: (item from, item to, document from, document to); all 0 without any."""
-    best, at = 0, (0, 0)
-    rows = [[0] * (len(doc) + 1)]
-    for i, a in enumerate(item, 1):
-        last, row, left = rows[-1], [0], 0
-        add = row.append
-        for b, diagonal, up in zip(doc, last, last[1:]):
-            v = diagonal + (MATCH if a == b else EDIT)
-            if up + EDIT > v:
-                v = up + EDIT
-            left += EDIT
-            left = v if v > left else left
-            if left < 0:
-                left = 0
-            add(left)
-        rows.append(row)
-        top = max(row)
-        if top > best:
-            best, at = top, (i, row.index(top))
-    i, j = at
-    while i and j and rows[i][j] > 0:
-        v = rows[i][j]
-        if v == rows[i - 1][j - 1] + (MATCH if item[i - 1] == doc[j - 1] else EDIT):
-            i, j = i - 1, j - 1
-        elif v == rows[i - 1][j] + EDIT:
-            i -= 1
-        else:
-            j -= 1
-    return i, at[0], j, at[1]
-
-
-def in_runs(item: list[str], runs: set[tuple[str, str, str]]) -> float:
-    """Share of the item's words that stand in runs of three words which the document has too."""
-    n, reach, got = len(item), 0, 0
-    for i in range(n - 2):
-        if (item[i], item[i + 1], item[i + 2]) in runs:
-            got += i + 3 - max(i, reach)
-            reach = i + 3
-    return got / max(1, n)
+def align(items: list[np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
+    """Best local alignment of each two lists of word codes: item from, item to, document from, document to; 0 without any.
 
-
-def coverage(item: list[str], doc: list[str], seeds: list[tuple[int, int]]) -> float:
-    """Share of the item's words that lie in the one or two best passages; ``seeds`` are (item, document) word positions."""
-    # passages: seeds that follow each other in both texts
+    Codes are 0 or more; a document has -2 for words of no item. Pairs of like size are filled in side by side.
+    """
+    out = np.zeros((len(items), 4), np.int64)
+    order = sorted(range(len(items)), key=lambda k: (len(docs[k]), len(items[k])))
+    at = 0
+    while at < len(order):
+        stop, rows = at, 0
+        while stop < len(order):
+            rows = max(rows, len(items[order[stop]]))
+            if stop > at and (rows + 1) * (len(docs[order[stop]]) + 1) * (stop + 1 - at) > CELLS:
+                break
+            stop += 1
+        some = order[at:stop]
+        out[some] = _align([items[k] for k in some], [docs[k] for k in some])
+        at = stop
+    return out
+
+
+def _align(items: list[np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
+    n, rows, cols = len(items), max(map(len, items)), max(map(len, docs))
+    a, b = np.full((rows, n), -1, np.int32), np.full((n, cols), -2, np.int32)
+    for k, (x, y) in enumerate(zip(items, docs)):
+        a[: len(x), k], b[k, : len(y)] = x, y
+    kind = np.int16 if MATCH * rows - EDIT * (cols + 1) < 32000 else np.int32
+    table = np.zeros((rows + 1, n, cols + 1), kind)
+    ramp = (-EDIT * np.arange(cols)).astype(kind)
+    best, end_i, end_j = np.zeros(n, kind), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(1, rows + 1):
+        last = table[i - 1]
+        v = (b == a[i - 1][:, None]).astype(kind)
+        v *= kind(MATCH - EDIT)
+        v += kind(EDIT)
+        v += last[:, :-1]
+        np.maximum(v, last[:, 1:] + kind(EDIT), out=v)
+        np.maximum(v, kind(0), out=v)
+        # the best way from the left: a running maximum of what a gap from there would leave
+        v += ramp
+        np.maximum.accumulate(v, axis=1, out=v)
+        v -= ramp
+        table[i, :, 1:] = v
+        top = v.max(axis=1)
+        more = np.flatnonzero(top > best)
+        if len(more):
+            best[more], end_i[more], end_j[more] = top[more], i, v[more].argmax(axis=1) + 1
+    i, j, live = end_i.copy(), end_j.copy(), np.flatnonzero(best > 0)
+    while len(live):
+        x, y = i[live], j[live]
+        v = table[x, live, y]
+        diagonal = v == table[x - 1, live, y - 1] + np.where(a[x - 1, live] == b[live, y - 1], MATCH, EDIT)
+        up = ~diagonal & (v == table[x - 1, live, y] + EDIT)
+        i[live] -= diagonal | up
+        j[live] -= ~up
+        live = live[(i[live] > 0) & (j[live] > 0)]
+        live = live[table[i[live], live, j[live]] > 0]
+    return np.stack([i, end_i, j, end_j], axis=1)
+
+
+def groups_of(seeds: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Seeds that follow each other in both texts; a seed is an (item, document) word position."""
     seeds = sorted(set(seeds), key=lambda s: (s[1], s[0]))
     groups: list[list[tuple[int, int]]] = []
     for s in seeds:
@@ -193,26 +201,43 @@ def coverage(item: list[str], doc: list[str], seeds: list[tuple[int, int]]) -> f
         else:
             groups.append([s])
     groups.sort(key=len, reverse=True)
-    spans: list[tuple[int, int, int, int]] = []
-    for g in groups[:6]:
+    return groups[:6]
+
+
+def regions(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], least: float, here: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Where to align: (item from, item to, document from, document to) for each group of seeds, or none if no two reach ``least``.
+
+    A passage of n item words with a score of 0 or more has at least n * -EDIT / (MATCH - EDIT) equal ones, so the item's
+    words that occur near the seeds at all bound what its two best passages can cover. ``here`` has a free mark for each code.
+    """
+    out, most = [], []
+    for g in groups_of(seeds):
         i0, i1 = max(0, g[0][0] - 30), min(len(item), g[-1][0] + 34)
         j0, j1 = max(0, g[0][1] - 34), min(len(doc), g[-1][1] + 38)
-        a, b, c, e = align(item[i0:i1], doc[j0:j1])
-        if b - a >= 4:
-            spans.append((i0 + a, i0 + b, j0 + c, j0 + e))
+        near = doc[j0:j1]
+        here[near] = True
+        equal = np.count_nonzero(here[item[i0:i1]])
+        here[near] = False
+        out.append((i0, i1, j0, j1))
+        most.append(min(i1 - i0, equal * (MATCH - EDIT) / -EDIT))
+    return out if sum(sorted(most)[-2:]) >= least * len(item) else []
+
+
+def coverage(n: int, spans: list[tuple[int, int, int, int]]) -> float:
+    """Share of an item of ``n`` words that lies in the one or two best of the passages ``spans``, as :func:`align` gives them."""
     best = 0
     for x in spans:
         best = max(best, x[1] - x[0])
         for y in spans:
             if x[0] < y[0] and x[3] <= y[2] + 2:
-                best = max(best, min(len(item), x[1] - x[0] + y[1] - max(y[0], x[1])))
-    return best / max(1, len(item))
+                best = max(best, min(n, x[1] - x[0] + y[1] - max(y[0], x[1])))
+    return best / max(1, n)
 
 
 def _search(items: Items, least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here = np.zeros(len(items.ids) + 2, bool)
         for pdf in batches:
-            keys, ids, shares = [], [], []
             docs = [words_of(t) if isinstance(t, str) else [] for t in pdf["text"]]
             parts = [" " + " ".join(w) + " " for w in docs]
             starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
@@ -223,25 +248,21 @@ def _search(items: Items, least: float):
                 for item, i in items.places[p]:
                     hits[d, item].append((i, at))
             marks: dict[int, np.ndarray] = {}
-            runs: dict[int, set] = {}
+            coded: dict[int, np.ndarray] = {}
+            todo: list[tuple[tuple[int, int], tuple[int, int, int, int]]] = []
             for (d, item), got in hits.items():
-                words = items.words[item]
-                if len({i for i, _ in got}) < min(LEAST_SEEDS, max(1, len(words) // 8)):
-                    continue
-                if d not in runs:
-                    runs[d] = set(zip(docs[d], docs[d][1:], docs[d][2:]))
-                # passages with a word changed here and there consist of runs; what lacks even half of them is not aligned
-                if len(words) > 8 and in_runs(words, runs[d]) < RUNS * least:
-                    continue
                 if d not in marks:
                     marks[d] = np.flatnonzero(np.frombuffer(parts[d].encode("utf-32-le"), np.uint32) == 32)
+                    coded[d] = np.array([items.ids.get(x, -2) for x in docs[d]], np.int32)
                 seeds = [(i, int(np.searchsorted(marks[d], at - starts[d]))) for i, at in got]
-                share = coverage(words, docs[d], seeds)
-                if share >= least:
-                    keys.append(pdf["key"].iloc[d])
-                    ids.append(item)
-                    shares.append(share)
-            yield pd.DataFrame({"key": keys, "item": ids, "share": shares})
+                todo += [((d, item), r) for r in regions(items.coded[item], coded[d], seeds, least, here)]
+            spans = align([items.coded[item][r[0] : r[1]] for (_, item), r in todo], [coded[d][r[2] : r[3]] for (d, _), r in todo])
+            passages: dict[tuple[int, int], list[tuple[int, int, int, int]]] = defaultdict(list)
+            for (pair, (i0, _, j0, _)), (a, b, c, e) in zip(todo, spans.tolist()):
+                if b - a >= 4:
+                    passages[pair].append((i0 + a, i0 + b, j0 + c, j0 + e))
+            rows = [(pdf["key"].iloc[d], item, share) for (d, item), x in passages.items() if (share := coverage(len(items.words[item]), x)) >= least]
+            yield pd.DataFrame(rows, columns=["key", "item", "share"])
 
     return run
 

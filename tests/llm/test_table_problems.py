@@ -174,6 +174,19 @@ def test_batch_alignment_is_exact():
         assert score(a[i:i1], b[j:j1]) == score(a, b) if i1 else score(a, b) == 0
 
 
+
+def test_leaks_of_repeated_passages(spark):
+    words = [f"w{i}" for i in range(60)]
+    items = [(1, " ".join(words)), (2, " ".join(x for i in range(9) for x in ("take", "one", "step", "back", f"v{i}a", f"v{i}b")))]
+    gap = lambda k: " ".join(f"f{k}x{i}" for i in range(40))
+    # 40 percent of the item seven times, 30 percent once behind them
+    text = " ".join(f"{' '.join(words[:24])} {gap(k)}" for k in range(7)) + " " + " ".join(words[30:48])
+    # the item whole: its phrase opens a diagonal for each of its places
+    docs = spark.createDataFrame([(1, text), (2, f"{gap(0)} {items[1][1]} {gap(1)}")], "d long, t string")
+    got = leaks.find_leaks(docs, "d", "t", spark.createDataFrame(items, "i long, t string"), "i", "t")
+    assert {(r.d, r.i): round(r.share, 2) for r in got.collect()} == {(1, 1): 0.7, (2, 2): 1.0}
+
+
 # ---- 8
 
 

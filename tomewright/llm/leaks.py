@@ -190,22 +190,23 @@ def _align(items: list[np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
 
 def groups_of(seeds: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """Seeds that follow each other in both texts; a seed is an (item, document) word position."""
-    seeds = sorted(set(seeds), key=lambda s: (s[1], s[0]))
     groups: list[list[tuple[int, int]]] = []
-    for s in seeds:
-        for g in reversed(groups[-6:]):
+    near: list[list[tuple[int, int]]] = []  # the groups that a seed may still join
+    for s in sorted(set(seeds), key=lambda s: (s[1], s[0])):
+        near = [g for g in near if s[1] - g[-1][1] <= 24]
+        for g in reversed(near):
             i, j = g[-1]
-            if 0 <= s[0] - i <= 24 and 0 < s[1] - j <= 24 and abs((s[0] - i) - (s[1] - j)) <= 8:
+            if 0 <= s[0] - i <= 24 and 0 < s[1] - j and abs((s[0] - i) - (s[1] - j)) <= 8:
                 g.append(s)
                 break
         else:
             groups.append([s])
-    groups.sort(key=len, reverse=True)
-    return groups[:6]
+            near.append(groups[-1])
+    return groups
 
 
 def regions(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], least: float, here: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Where to align: (item from, item to, document from, document to) for each group of seeds, or none if no two reach ``least``.
+    """Where to align: (item from, item to, document from, document to) for each group of seeds that may help to reach ``least``.
 
     A passage of n item words with a score of 0 or more has at least n * -EDIT / (MATCH - EDIT) equal ones, so the item's
     words that occur near the seeds at all bound what its two best passages can cover. ``here`` has a free mark for each code.
@@ -220,17 +221,25 @@ def regions(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], lea
         here[near] = False
         out.append((i0, i1, j0, j1))
         most.append(min(i1 - i0, equal * (MATCH - EDIT) / -EDIT))
-    return out if sum(sorted(most)[-2:]) >= least * len(item) else []
+    second, first = sorted([0, *most])[-2:]
+    with_best = [m + (second if k == most.index(first) else first) for k, m in enumerate(most)]
+    return [r for r, m in zip(out, with_best) if m >= least * len(item)]
 
 
 def coverage(n: int, spans: list[tuple[int, int, int, int]]) -> float:
     """Share of an item of ``n`` words that lies in the one or two best of the passages ``spans``, as :func:`align` gives them."""
+    # of all passages with the same words of the item, the one that ends first and the one that begins last
+    ends: dict[tuple[int, int], int] = {}
+    begins: dict[tuple[int, int], int] = {}
+    for a, b, c, e in spans:
+        ends[a, b] = min(e, ends.get((a, b), e))
+        begins[a, b] = max(c, begins.get((a, b), c))
     best = 0
-    for x in spans:
-        best = max(best, x[1] - x[0])
-        for y in spans:
-            if x[0] < y[0] and x[3] <= y[2] + 2:
-                best = max(best, min(n, x[1] - x[0] + y[1] - max(y[0], x[1])))
+    for (a, b), e in ends.items():
+        best = max(best, b - a)
+        for (x, y), c in begins.items():
+            if a < x and e <= c + 2:
+                best = max(best, min(n, b - a + y - max(x, b)))
     return best / max(1, n)
 
 

@@ -35,3 +35,16 @@ def test_entry(spark, sf_dir):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_chunks_use_the_lexicon_of_the_book(spark, tmp_path):
+    import json
+
+    said = lambda text, *hints: json.dumps({"adapted_text": text, "pronunciation_hints": [{"term": t, "spoken_as": s, "reason": ""} for t, s in hints]})
+    rows = [("a", 0, said("The nginx and the sql.", ("sql", "sequel")), 1), ("a", 1, said("More nginx, more sql.", ("nginx", "engine x"), ("sql", "squeal")), 2), ("b", 0, said("No nginx here."), 3)]
+    spark.createDataFrame(rows, "book_id string, chapter_index int, payload string, row_id long").write.parquet(f"{tmp_path}/adapted.parquet")
+    spark.createDataFrame([(*r[:2], "<p>x</p>", r[3]) for r in rows], "book_id string, chapter_index int, html string, row_id long").write.parquet(f"{tmp_path}/chapters_raw.parquet")
+    got = {(r.book_id, r.chapter_index): r.text for r in Q.QUERIES["chunks"](spark, str(tmp_path)).collect()}
+    assert got == {("a", 0): "The engine x and the sequel.", ("a", 1): "More engine x, more sequel.", ("b", 0): "No nginx here."}
+    hints = {(r.book_id, r.chapter_index): [h.term for h in r.hints] for r in Q._texts(spark, str(tmp_path)).collect()}
+    assert hints[("a", 0)] == ["sql", "nginx", "sql"]

@@ -48,3 +48,8 @@ def test_chunks_use_the_lexicon_of_the_book(spark, tmp_path):
     assert got == {("a", 0): "The engine x and the sequel.", ("a", 1): "More engine x, more sequel.", ("b", 0): "No nginx here."}
     hints = {(r.book_id, r.chapter_index): [h.term for h in r.hints] for r in Q._texts(spark, str(tmp_path)).collect()}
     assert hints[("a", 0)] == ["sql", "nginx", "sql"]
+
+
+def test_file_names_come_from_the_whole_text(spark, tmp_path):
+    spark.createDataFrame([(1, "a" * 90 + "?b\n c.. ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert Q.QUERIES["safe_filename_whole"](spark, str(tmp_path)).collect()[0].name == "a" * 90 + "b c"

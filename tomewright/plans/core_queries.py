@@ -104,6 +104,14 @@ def _pipeline_sql() -> str:
     named = lambda source: f"SELECT doc_id, c AS t FROM ({source})"
     first = step(_PUNCT, step(_IMAGES, step(_ENDS, _DOCS)))
     return _digest_sql(f"SELECT doc_id, {_SPACES} AS c FROM ({named(_headings_sql(named(_endnotes_sql(named(_artifacts_sql(first))))))})")
+
+
+
+def _filename_sql(x: str) -> str:
+    name = _strip("trim(" + _strip("regexp_replace(regexp_replace(" + x + ", '[\\\\/:*?\"<>|\\x00-\\x1f]', '', 'g'), '" + W + "+', ' ', 'g')") + ", '.')")
+    return f"coalesce(nullif({name}, ''), CASE WHEN {x} IS NOT NULL THEN 'book' END)"
+
+
 _WORDS = lambda x: f"CASE WHEN {_strip(x)} = '' THEN 0 ELSE len(string_split_regex({_strip(x)}, '{W}+')) END"
 
 
@@ -126,6 +134,15 @@ def _filename(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", X.safe_filename(F.substring("text", 1, 80)).alias("name"))
 
 
+def _filename_whole(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", X.safe_filename(F.col("text")).alias("name"))
+
+
+def _filename_titles(spark: SparkSession, d: str) -> DataFrame:
+    titles = table(spark, d, "books", "title").unionByName(table(spark, d, "chapters_raw", "title")).filter("title IS NOT NULL").distinct()
+    return titles.select("title", X.safe_filename(F.col("title")).alias("name"))
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """Documents as the pages of the book they are from."""
     return table(spark, d, "documents", "book_id", "text").filter("book_id IS NOT NULL")
@@ -410,6 +427,8 @@ QUERIES = {
     "clean_pipeline": _cleaned(lambda c: X.clean_markdown(c, "endnote")),
     "slugify": _slug,
     "safe_filename": _filename,
+    "safe_filename_whole": _filename_whole,
+    "safe_filename_titles": _filename_titles,
     "scan_guard": _guard,
     "quality_warnings": _quality,
     "outline_sections": _outline,
@@ -524,6 +543,8 @@ ORACLE = {
         WHEN trim(regexp_replace(s[1:24], '-[^-]*$', ''), '-') <> '' THEN trim(regexp_replace(s[1:24], '-[^-]*$', ''), '-') ELSE s[1:24] END AS slug
         FROM (SELECT row_id, trim(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM chapters_raw WHERE title IS NOT NULL))""",
     "safe_filename": f"""SELECT doc_id, CASE WHEN n = '' THEN 'book' ELSE n END AS name FROM (SELECT doc_id, {_strip("trim(" + _strip("regexp_replace(regexp_replace(text[1:80], '[\\\\/:*?\"<>|\\x00-\\x1f]', '', 'g'), '" + W + "+', ' ', 'g')") + ", '.')")} AS n FROM documents)""",
+    "safe_filename_whole": f"SELECT doc_id, {_filename_sql('text')} AS name FROM documents",
+    "safe_filename_titles": f"SELECT title, {_filename_sql('title')} AS name FROM (SELECT title FROM books UNION SELECT title FROM chapters_raw) WHERE title IS NOT NULL",
     "scan_guard": f"""SELECT book_id, pages, chars::BIGINT AS chars, CASE WHEN chars < 100 OR chars / pages < 600 THEN 'scanned' END AS error_kind
         FROM (SELECT book_id, count(*) AS pages, sum(length({_strip("coalesce(text, '')")})) AS chars FROM documents WHERE book_id IS NOT NULL GROUP BY 1)""",
     "quality_warnings": f"""WITH p AS (SELECT book_id, length({_strip("coalesce(text, '')")}) AS n, coalesce(regexp_matches(text, '(?m)^#{{1,6}} +[^\\s]'), false) AS h FROM documents WHERE book_id IS NOT NULL),

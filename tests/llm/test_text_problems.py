@@ -284,6 +284,23 @@ def test_surrogates_stay_distinct(spark):
     assert all(re.match(r"According to (\w+)", t)[1] in women for t in got)
 
 
+
+def test_surrogates_replace_letters_of_every_script():
+    for like in ("ул. Садовая, д. 12, Тверь", "Große Straße 5, Köln", "朝日通り１２", "Οδός Ερμού 7"):
+        got = privacy.surrogate("k", "address", like, "", "", "")
+        assert len(got) == len(like) and not any(w in got for w in re.findall(r"[^\W\d_]{2,}", like))
+        for a, b in zip(like, got):
+            assert unicodedata.category(a) == unicodedata.category(b) and (not a.isalpha() or unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0])
+
+
+def test_surrogates_keep_gender_and_script(spark):
+    texts = ["We met Mr Andrea Brack there.", "According to Andrea Brack, it is so.", "We met Mr Holger Brack there.", "According to Holger Elmwood, it is so."]
+    got = [r.text for r in privacy.replace_entities(docs(spark, texts), "k", "t", style="surrogate").orderBy("k").collect()]
+    first = [re.search(r"(?:Mr|to) (\w+)", t)[1] for t in got]
+    assert set(first) <= set(privacy.GIVEN["m"]) and first[0] == first[1] and first[2] == first[3]
+    assert re.fullmatch(r"[а-яё]+ [а-яё]+", privacy.surrogate("k", "name", "Иван Петров", "Иван", "Петров", "m").lower())
+
+
 # ---- 2
 
 

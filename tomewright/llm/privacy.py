@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -216,7 +218,20 @@ GIVEN = {
     "m": ["Albert", "Bruno", "Carl", "Dirk", "Emil", "Frank", "Georg", "Henrik", "Igor", "Jakob", "Karl", "Lars", "Marek", "Nils", "Otto", "Pavel", "Rolf", "Stefan", "Theo", "Viktor"],
     "": ["Alex", "Bo", "Charlie", "Dominique", "Eden", "Frankie", "Gale", "Harper", "Indigo", "Jules", "Kim", "Luca", "Morgan", "Nico", "Quinn", "Robin", "Sasha", "Toni", "Val", "Yael"],
 }
-_SYLLABLES = {"latin": ["ba", "den", "fo", "gar", "hol", "ke", "lin", "mor", "na", "pel", "ros", "sta", "tur", "ven", "wal", "zim"], "cyrillic": ["ба", "ден", "фо", "гар", "хол", "ке", "лин", "мор", "на", "пел", "рос", "ста", "тур", "вен", "вал", "зим"]}
+# The same for names in other scripts.
+GIVEN_IN = {
+    "cyrillic": {
+        "f": ["Алла", "Белла", "Вера", "Галина", "Дарья", "Ева", "Жанна", "Зоя", "Инна", "Кира", "Лариса", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Тамара", "Ульяна", "Фаина", "Яна"],
+        "m": ["Антон", "Борис", "Вадим", "Глеб", "Денис", "Егор", "Захар", "Игорь", "Кирилл", "Лев", "Макар", "Назар", "Олег", "Павел", "Роман", "Степан", "Тимур", "Фёдор", "Эдуард", "Юрий"],
+        "": ["Саша", "Женя", "Валя", "Шура", "Слава", "Паша", "Тоня", "Вася", "Миша", "Сима"],
+    },
+    "greek": {
+        "f": ["Άννα", "Δήμητρα", "Ελένη", "Ζωή", "Ιωάννα", "Κατερίνα", "Μαρία", "Νίκη", "Σοφία", "Φωτεινή"],
+        "m": ["Ανδρέας", "Γιώργος", "Δημήτρης", "Ηλίας", "Κώστας", "Λευτέρης", "Μιχάλης", "Νίκος", "Πέτρος", "Στέφανος"],
+        "": ["Αλέξ", "Βαλ", "Γκαμπριέλ", "Κιμ", "Νικό", "Ρόμπιν", "Σάσα", "Τζο"],
+    },
+}
+_SYLLABLES = {"latin": ["ba", "den", "fo", "gar", "hol", "ke", "lin", "mor", "na", "pel", "ros", "sta", "tur", "ven", "wal", "zim"], "cyrillic": ["ба", "ден", "фо", "гар", "хол", "ке", "лин", "мор", "на", "пел", "рос", "ста", "тур", "вен", "вал", "зим"], "greek": ["βα", "δεν", "φο", "γαρ", "χολ", "κε", "λιν", "μορ", "να", "πελ", "ρος", "στα", "τουρ", "βεν", "βαλ", "ζιμ"]}
 _B32 = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
 
 
@@ -238,15 +253,30 @@ def code(secret: str, kind: str, value: str, size: int = 10) -> str:
     return "".join(_B32[(n >> (5 * i)) & 31] for i in range(size))
 
 
+@lru_cache(maxsize=None)
+def _pool(c: str) -> str:
+    """The letters that may stand for a letter: those near it of its script and case."""
+    script, case = unicodedata.name(c, "").split(" ")[0], unicodedata.category(c)
+    if script == "LATIN" and case in ("Lu", "Ll"):
+        return "abcdefghijklmnopqrstuvwxyz".upper() if case == "Lu" else "abcdefghijklmnopqrstuvwxyz"
+    if script == "CYRILLIC" and case in ("Lu", "Ll"):
+        return "абвгдежзийклмнопрстуфхцчшщъыьэюя".upper() if case == "Lu" else "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    block = [chr(x) for x in range(ord(c) & ~127, (ord(c) & ~127) + 128)]
+    return "".join(x for x in block if unicodedata.category(x) == case and unicodedata.name(x, "").split(" ")[0] == script)
+
+
 def _digits(secret: str, kind: str, value: str, like: str) -> str:
-    """``like`` with its letters and digits replaced, its signs kept."""
+    """``like`` with its letters and digits replaced by others of their script and case, its signs kept."""
     h = hmac.new(secret.encode(), f"form\x1f{kind}\x1f{value}".encode(), hashlib.sha512).digest() * (1 + len(like) // 32)
     out, n = [], 0
     for c in like:
-        if c.isdigit():
+        if c.isdecimal():
+            out.append(chr(ord(c) - unicodedata.decimal(c) + h[n] % 10))
+        elif c.isdigit():
             out.append(str(h[n] % 10))
-        elif c.isalpha() and c.isascii():
-            out.append(chr((65 if c.isupper() else 97) + h[n] % 26))
+        elif c.isalpha():
+            pool = _pool(c)
+            out.append(pool[h[n] % len(pool)])
         else:
             out.append(c)
             continue
@@ -254,8 +284,14 @@ def _digits(secret: str, kind: str, value: str, like: str) -> str:
     return "".join(out)
 
 
+def _script(like: str) -> str:
+    return next((k for k in ("cyrillic", "greek", "latin") if regex.search(rf"\p{{{k}}}", like)), "")
+
+
 def _surname(secret: str, value: str, like: str, size: int) -> str:
-    kind = "cyrillic" if regex.search(r"\p{Cyrillic}", like) else "latin"
+    kind = _script(like)
+    if not kind:
+        return _digits(secret, "surname", value + "+" * (size - 12), like)
     c = code(secret, "surname", value, size)
     return "".join(_SYLLABLES[kind][_B32.index(x) % 16] for x in c[: max(4, size // 3)]).capitalize()
 
@@ -272,8 +308,11 @@ def surrogate(secret: str, kind: str, found: str, first: str, last: str, gender:
         return found.replace(last, new_last)
     if first.endswith("."):
         return found.replace(last, new_last).replace(first, f"{code(secret, 'initial', first + last.lower())[0]}.", 1)
-    pool = GIVEN[_gender(first)]
-    new_first = pool[int(hmac.new(secret.encode(), first.lower().encode(), hashlib.sha256).hexdigest(), 16) % len(pool)]
+    if script := _script(first):
+        pool = GIVEN_IN.get(script, GIVEN)[gender or _gender(first)]
+        new_first = pool[int(hmac.new(secret.encode(), first.lower().encode(), hashlib.sha256).hexdigest(), 16) % len(pool)]
+    else:
+        new_first = _digits(secret, "given", first.lower(), first)
     if size > 12:  # its plain form is taken by another person
         new_first += f" {'. '.join(c for c in code(secret, 'name', f'{last}|{first}'.lower()) if c.isalpha())[:4]}"
     parts = sorted([(found.find(first), first, new_first), (found.find(last), last, new_last)], reverse=True)
@@ -283,12 +322,25 @@ def surrogate(secret: str, kind: str, found: str, first: str, last: str, gender:
 
 
 def _gender(first: str) -> str:
-    for g in ("f", "m"):
-        if first in GIVEN[g]:
-            return g
+    """The gender of a first name that never stands behind a title that tells it."""
+    for given in (GIVEN, *GIVEN_IN.values()):
+        for g in ("f", "m"):
+            if first in given[g]:
+                return g
     return "f" if regex.search(r"(?:a|ia|ine|elle|ette)\Z|[ая]\Z", first.lower()) else ""
 
 
+def _with_genders(found: DataFrame) -> DataFrame:
+    """``found`` with the gender that titles give a person, else a first name, most often in the corpus: one for a person."""
+    person, name = [F.lower("first").alias("_first"), F.lower("last").alias("_last")], [F.lower("first").alias("_first")]
+    votes = F.count_if(F.col("gender") == "f") - F.count_if(F.col("gender") == "m")
+    told = found.filter("kind = 'name' AND first != '' AND gender IN ('f', 'm')")
+    out = found.withColumns({"_first": F.lower("first"), "_last": F.lower("last")})
+    out = out.join(told.groupBy(*person).agg(votes.alias("_person")), ["_first", "_last"], "left").join(told.groupBy(*name).agg(votes.alias("_name")), "_first", "left")
+    n = F.when(F.coalesce("_person", F.lit(0)) != 0, F.col("_person")).otherwise(F.coalesce("_name", F.lit(0)))
+    return out.withColumn("gender", F.when(n > 0, "f").when(n < 0, "m").otherwise("")).select(*found.columns)
+
+
 def _coder(secret: str, style: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -333,6 +385,8 @@ def replace_entities(df: DataFrame, key: str, text: str, secret: str = "tomewrig
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = find_entities(docs, "key", "text")
+    if style == "surrogate":
+        found = _with_genders(cut_lineage(found))
     coded = found.mapInPandas(filled(_coder(secret, style)), T.StructType([*found.schema.fields, T.StructField("value", T.StringType()), T.StructField("code", T.StringType())]))
     # codes that stand for more than one entity of the corpus
     shared = coded.groupBy("kind", "code").agg(F.min("value").alias("a"), F.max("value").alias("b")).filter("a != b").select("kind", "code", F.lit(True).alias("shared"))

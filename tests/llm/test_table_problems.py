@@ -187,6 +187,16 @@ def test_leaks_of_repeated_passages(spark):
     assert {(r.d, r.i): round(r.share, 2) for r in got.collect()} == {(1, 1): 0.7, (2, 2): 1.0}
 
 
+
+def test_lines_shared_across_blocks(spark, monkeypatch):
+    own = lambda k: " ".join(f"{w}{k}" for w in ("alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"))
+    note = lambda k: " ".join(f"say{k // 2}x{i}" for i in range(12))
+    items = spark.createDataFrame([(k, f"{own(k)}\n{note(k)}") for k in range(12)], "i long, t string")
+    docs = spark.createDataFrame([(k, own(k)) for k in range(12)] + [(100 + k, note(k)) for k in range(12)], "d long, t string")
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 1)
+    assert {(r.d, r.i) for r in leaks.find_leaks(docs, "d", "t", items, "i", "t").collect()} == {(k, k) for k in range(12)}
+
+
 # ---- 8
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.batches import filled
+from ..session import cut_lineage
 
 #: Items of one pass. An item's windows take some kilobytes, so a block stays within tens of megabytes.
 BLOCK_ITEMS = 5000
@@ -44,6 +45,15 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
+def lines_of(text: str) -> set[str]:
+    return {" ".join(words_of(x)) for x in text.splitlines()}
+
+
+def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame([(b, x) for b, t in zip(pdf["block"], pdf["text"]) for x in lines_of(t)], columns=["block", "line"])
+
+
 class WuManber:
     """Search of many strings of code points at once in an array of code points."""
 
@@ -106,15 +116,18 @@ class WuManber:
 class Items:
     """The windows of a block of items, ready to be searched."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
-        lines = Counter()
-        for _, text in rows:
-            lines.update({" ".join(words_of(x)) for x in text.splitlines()})
+    def __init__(self, rows: list[tuple[int, str]], shared: set[str] | None = None) -> None:
+        """``shared``: the lines of these items that several items of all blocks have; without, they are counted in ``rows``."""
+        if shared is None:
+            lines = Counter()
+            for _, text in rows:
+                lines.update(lines_of(text))
+            shared = {x for x, n in lines.items() if n > 1}
         self.words: dict[int, list[str]] = {}
         windows: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item, text in rows:
             # a line that several items share is an instruction, not the item
-            own = [x for x in text.splitlines() if lines[" ".join(words_of(x))] < 2]
+            own = [x for x in text.splitlines() if " ".join(words_of(x)) not in shared]
             w = words_of("\n".join(own)) or words_of(text)
             self.words[item] = w
             size = WINDOW_SIGNS if sum(bool(_SIGN.match(x)) for x in w) > len(w) / 2 else WINDOW_WORDS
@@ -287,10 +300,14 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("key", base.schema["key"].dataType), T.StructField("item", T.LongType()), T.StructField("share", T.DoubleType())])
+    if blocks > 1:  # lines that several items share, wherever these are; each block gets its own of them
+        lines = rows.select(F.pmod(F.xxhash64(item_key), F.lit(blocks)).alias("block"), F.col(item_text).alias("text")).mapInPandas(filled(_lines), "block long, line string")
+        places = cut_lineage(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.collect_set("block").alias("in")).filter("n > 1"))
     out = None
     for b in range(blocks):
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == b)
-        got = Items(sorted((r[0], r[1]) for r in part.toLocalIterator()))
+        shared = None if blocks == 1 else {r[0] for r in places.filter(F.array_contains("in", F.lit(b).cast("long"))).select("line").toLocalIterator()}
+        got = Items(sorted((r[0], r[1]) for r in part.toLocalIterator()), shared)
         found = base.mapInPandas(filled(_search(got, least)), schema)
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "share")

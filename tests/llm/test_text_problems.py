@@ -1,11 +1,13 @@
 """Problems 1, 2, 4, 5, 6, 9: cases, edges, and brute force where there is one."""
 
 
+import math
 import random
 import re
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +213,42 @@ def test_cuts_at_a_limit(spark):
     assert cuts.judge_cuts(df.limit(0), "k", "s", "t", "st", ["p"]).count() == 0
 
 
+def test_one_ending_at_a_limit_and_away_from_it(spark):
+    rng = random.Random(6)
+    given = []
+    for _ in range(400):
+        full = " ".join("The quick fox ran over the hill again today." for _ in range(rng.randrange(1, 40)))
+        given.append(("s", full[:700], "object"))
+    stop = "It was shown to them all by the kind Dr."
+    given += [("s", ("The quick fox ran over the hill again today. " * 20)[: 700 - len(stop)] + stop, "object"), ("s", f"The quick fox ran. {stop}", "object")]
+    _, got = cut_rows(spark, given)
+    by = {r.k: r for r in got.collect()}
+    assert by[400].cut and not by[401].cut and by[400].posterior > 0.9 and by[401].posterior is None
+
+
+@pytest.mark.parametrize("scale", [1, 120])
+def test_limits_of_any_length(scale):
+    rng = np.random.default_rng(5)
+    n = np.minimum(rng.lognormal(math.log(600 * scale), 0.4, 4000), 700 * scale + 3).astype(int)
+    hist = pd.DataFrame({"n": n, "unended": (n == 700 * scale + 3).astype(int), "rows": 1}).groupby("n", as_index=False).sum()
+    got = cuts.limits_of(hist)
+    assert got["n"].tolist() == [700 * scale + 3] and got["posterior"][0] > 0.98
+
+
+def test_recurring_tails_of_any_length(spark):
+    tail = "This closing line is long and has no mark of its own though it stands in many of the chapters of one publisher who likes it"
+    _, got = cut_rows(spark, [("q", f"Some text {i}.\n \n{tail}", "object") for i in range(4)] + [("q", f"Some text.\n\n{tail[:60]}", "object")])
+    assert {r.k for r in got.collect() if r.cut} == {4}
+
+
+def test_learned_endings():
+    far = [(None, "ended", 9000), (None, "no_end", 200)]
+    kept = cuts.learn_endings([*far, (None, "open_quote", 300), (0.99, "no_end", 500)])
+    lost = cuts.learn_endings([*far, (0.99, "no_end", 500), (0.99, "open_quote", 60)])
+    assert kept["open_quote"] < 0 < lost["open_quote"]
+    assert cuts.learn_endings([])["thai"] == cuts.DOUBTFUL["thai"]
+
+
 # ---- 9
 
 TEXT = (

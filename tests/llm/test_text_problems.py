@@ -170,6 +170,27 @@ def test_document_decides_before_the_corpus(spark):
     assert [r.sentence for r in got.orderBy("sentence_no").collect()] == ["One.", "Two."]
 
 
+def test_counts_come_before_the_lists(spark):
+    seen = "He drew the fig.\n\nWe saw a fig.\n\nThey cut one fig.\n\nIt is in fig. 3 here."
+    got = sentences.sentence_texts(spark.createDataFrame([(i, seen) for i in range(300)] + [(900, "She ate the fig. Then she left.")], "k long, t string"), "k", "t")
+    assert [r.sentence for r in got.filter("k = 900").orderBy("sentence_no").collect()] == ["She ate the fig.", "Then she left."]
+    assert ends(spark, "She saw the fig. Then she left.")[0] == ["She saw the fig. Then she left."]  # only the list is left
+
+
+def test_a_name_behind_a_doubtful_stop(spark):
+    known = [(i, "They go with Ruvexa and then with Ruvexa. All of the then known and later ones go then.") for i in range(20)]
+    got = sentences.sentence_texts(spark.createDataFrame([*known, (900, "See the vol. Ruvexa wrote."), (901, "See the vol. Then go.")], "k long, t string"), "k", "t")
+    by = {k: [r.sentence for r in got.filter(f"k = {k}").orderBy("sentence_no").collect()] for k in (900, 901)}
+    assert by == {900: ["See the vol. Ruvexa wrote."], 901: ["See the vol.", "Then go."]}
+
+
+def test_long_abbreviations_and_long_words(spark):
+    seen = [(i, "Die Abteilungsl. der Firma und die Abteilungsl. des Hauses, dazu die Abteilungsl. am Ort.") for i in range(5)]
+    got = sentences.sentence_texts(spark.createDataFrame([*seen, (900, "Frag die Abteilungsl. Es ist gut."), (901, f"{'w' * 300}. Then more.")], "k long, t string"), "k", "t")
+    assert [r.sentence[-5:] for r in got.filter("k = 901").orderBy("sentence_no").collect()] == ["wwww.", "more."]
+    assert sentences.Judge(seen[0][1], lambda t: {}).abbreviation("Abteilungsl")
+
+
 # ---- 6
 
 

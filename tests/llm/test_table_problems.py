@@ -88,9 +88,37 @@ def test_currency_is_learned(spark):
 
 
 def test_precedence_without_cycles():
-    order = survivors.topological({("a", "b"): 5, ("b", "c"): 4, ("c", "a"): 1, ("b", "a"): 2})
-    assert order == ["a", "b", "c"]
-    assert survivors.topological({}) == []
+    later = survivors.precedences({("a", "b"): 5, ("b", "c"): 4, ("c", "a"): 1, ("b", "a"): 2})
+    assert later == {"a": {"b", "c"}, "b": {"c"}}
+    assert survivors.precedences({}) == {}
+    apart = survivors.precedences({("a", "b"): 5, ("x", "y"): 5})
+    assert apart == {"a": {"b"}, "x": {"y"}}
+
+
+def test_no_preference_without_a_precedence(spark):
+    name = lambda i: f"term{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    given = []
+    for i in range(40):
+        given += [("b", name(i), "alpha", None, None, 1), ("b", name(i), "beta", None, None, 5)]
+        given += [("c", name(i), "xi one", None, None, 1), ("c", name(i), "yps one", None, None, 5)]
+    # a and x are in no order: the row with a timestamp stays, and of two without one the larger key wins
+    given += [("b", "mixed", "xi one", None, None, 3), ("b", "mixed", "beta", None, None, None)]
+    given += [("b", "undated", "alpha", None, None, None), ("b", "undated", "beta", None, None, None), ("b", "undated", "alpha", None, None, None)]
+    given += [("b", "later", "alpha", None, None, 9), ("b", "later", "beta", None, None, None), ("b", "later", "alpha", None, None, None)]
+    got = {(r.book, r.root): r.say for r in survive(spark, given, "learned").collect()}
+    assert (got["b", "mixed"], got["b", "undated"], got["b", "later"]) == ("xi one", "beta", "beta")
+    assert {r.root: r.say for r in survive(spark, given).filter("root = 'later'").collect()} == {"later": "alpha"}
+
+
+def test_a_pair_of_values_decides_before_its_classes(spark):
+    name = lambda i: f"term{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    given = []
+    for i in range(300):  # most go from one word to two, one pair goes the other way
+        given += [("b", name(i), f"say{i}", None, None, 1), ("b", name(i), f"say {i}", None, None, 5)]
+    given += [("c", "w", "old two", None, None, 1), ("c", "w", "newone", None, None, 5)]
+    given += [("d", "w", "old two", None, None, 1), ("d", "w", "newone", None, None, None), ("e", "w", "other one", None, None, 1), ("e", "w", "single", None, None, None)]
+    got = {(r.book, r.root): r.say for r in survive(spark, given, "learned").collect()}
+    assert (got["d", "w"], got["e", "w"]) == ("newone", "other one")
 
 
 # ---- 7

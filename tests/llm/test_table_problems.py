@@ -292,3 +292,23 @@ def test_query_runs(spark, sf_dir, name):
         assert [f"{n}:{t}" for n, t in df.dtypes] == COLUMNS[name]
     n = df.count()
     assert n > 0 and (name not in COLUMNS or df.distinct().count() == n)
+
+
+def test_blocks_are_parted_however_many_there_are(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id"), F.lit("s").alias("source"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
+    want = 0.4 * mixing.mix_sources(docs, "id", "text", "source", targets).agg(F.sum("tokens")).first()[0]
+    for fanout, least in ((4, 8), (3, 2), (4096, 64)):
+        monkeypatch.setattr(mixing, "FANOUT", fanout)
+        monkeypatch.setattr(mixing, "BLOCK_DOCS", least)
+        got = mixing.mix_sources(docs, "id", "text", "source", targets, total=want).agg(F.sum("tokens"), F.max("repeats"), F.count("*"), F.countDistinct("id")).first()
+        assert want - 8 < got[0] <= want and got[1] == 1 and got[2] == got[3]
+
+
+def test_copies_and_the_size_there_is(spark):
+    docs = spark.createDataFrame([(1, "a", "one text"), (2, "a", "one  text"), (3, "b", "two text")], "id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    ids = lambda **how: {r.id for r in mixing.mix_sources(docs, "id", "text", "source", targets, **how).collect()}
+    assert ids() == {1, 3} and ids(copies="keep") == {1, 2, 3} and ids(total="there") == {1, 3}
+    with pytest.raises(ValueError):
+        ids(copies="drop")

@@ -119,6 +119,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return actual_shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture of as many tokens as there are: the exponent is bisected to the largest that the repetition limits allow."""
+    docs = spread(table(spark, d, "documents", "doc_id", "source", "text"))
+    return mix_sources(docs, "doc_id", "text", "source", table(spark, d, "mix_targets"), total="there")
+
+
+def p8_tempered_shares(spark: SparkSession, d: str) -> DataFrame:
+    return actual_shares(p8_tempered(spark, d), table(spark, d, "mix_targets"))
+
+
 def p9_masked(spark: SparkSession, d: str) -> DataFrame:
     """Every document with typed, keyed placeholders in place of personal information."""
     return replace_entities(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")

@@ -322,7 +322,7 @@ def test_no_forms(text):
 
 def test_replacement_keeps_the_rest(spark):
     texts = [TEXT, None, "", "plain", TEXT]
-    got = {r.k: r.text for r in privacy.replace_entities(docs(spark, texts), "k", "t").collect()}
+    got = {r.k: r.text for r in privacy.replace_entities(docs(spark, texts), "k", "t", "key").collect()}
     assert (got[1], got[2], got[3]) == (None, "", "plain") and got[0] == got[4]
     assert re.sub(r"\[[A-Z_]+:[A-Z2-9]+\]", "#", got[0]) == re.sub("|".join(re.escape(f) for _, f in sorted(WANT, key=lambda x: -len(x[1]))), "#", TEXT)
     codes = re.findall(r"\[NAME:(\w+)\]", got[0])
@@ -330,7 +330,7 @@ def test_replacement_keeps_the_rest(spark):
 
 
 def test_surrogates_keep_kind_and_format(spark):
-    got = {r.k: r.text for r in privacy.replace_entities(docs(spark, [TEXT]), "k", "t", style="surrogate").collect()}[0]
+    got = {r.k: r.text for r in privacy.replace_entities(docs(spark, [TEXT]), "k", "t", "key", style="surrogate").collect()}[0]
     assert not any(f in got for _, f in WANT)
     assert re.search(r"Regards,\n\w+ \w+\n\d{3}\.\d{3}\.\d{4} Write to user-\w+@example\.invalid", got)
     assert privacy.surrogate("k", "name", "Brack, Paul", "Paul", "Brack", "m").split(", ")[::-1] == privacy.surrogate("k", "name", "Paul Brack", "Paul", "Brack", "m").split(" ")
@@ -338,7 +338,7 @@ def test_surrogates_keep_kind_and_format(spark):
 
 def test_surrogates_stay_distinct(spark):
     names = [f"{f} {s}" for s in ("Oakhurst", "Elmwood", "Birchall") for f in ("Anna", "Clara", "Rosa", "Julia", "Marta", "Nadia", "Sofia", "Lucia", "Greta", "Maya", "Hana", "Emma", "Elena", "Leila", "Priya", "Aisha", "Fatima", "Diana", "Laura", "Paula", "Carla", "Vera", "Nora", "Ida", "Ada")]
-    got = [r.text for r in privacy.replace_entities(docs(spark, [f"According to {n}, it is so." for n in names]), "k", "t", style="surrogate").orderBy("k").collect()]
+    got = [r.text for r in privacy.replace_entities(docs(spark, [f"According to {n}, it is so." for n in names]), "k", "t", "key", style="surrogate").orderBy("k").collect()]
     assert len(set(got)) == len(names) and not any(n in t for n, t in zip(names, got))
     women = set(privacy.GIVEN["f"])
     assert all(re.match(r"According to (\w+)", t)[1] in women for t in got)
@@ -355,7 +355,7 @@ def test_surrogates_replace_letters_of_every_script():
 
 def test_surrogates_keep_gender_and_script(spark):
     texts = ["We met Mr Andrea Brack there.", "According to Andrea Brack, it is so.", "We met Mr Holger Brack there.", "According to Holger Elmwood, it is so."]
-    got = [r.text for r in privacy.replace_entities(docs(spark, texts), "k", "t", style="surrogate").orderBy("k").collect()]
+    got = [r.text for r in privacy.replace_entities(docs(spark, texts), "k", "t", "key", style="surrogate").orderBy("k").collect()]
     first = [re.search(r"(?:Mr|to) (\w+)", t)[1] for t in got]
     assert set(first) <= set(privacy.GIVEN["m"]) and first[0] == first[1] and first[2] == first[3]
     assert re.fullmatch(r"[а-яё]+ [а-яё]+", privacy.surrogate("k", "name", "Иван Петров", "Иван", "Петров", "m").lower())
@@ -437,3 +437,30 @@ def test_small_and_empty_corpora(spark):
     df = spark.createDataFrame([(1, "<p>one two thr­\nee four\nfive six.</p>", None, None)], "row_id long, html string, title string, book_title string")
     assert {(r.kind, r.fixed) for r in scans.find_faults(df, "row_id").collect()} == {("hyphen", "three")}
     assert scans.find_faults(df.limit(0), "row_id").count() == 0
+
+
+def test_names_in_capitals(spark):
+    texts = ["Dear Noor Brack,", "Dear Noor Brack,", "Signed by Paul Vossen", "Signed by Paul Vossen", "the reviewer, NOOR VOSSEN, WANTS A REFUND", "BRACK, PAUL", "WANTS A NEW HEADING"]
+    got = privacy.find_entities(docs(spark, texts), "k", "t").filter("kind = 'name'").select("k", "found", "first", "last")
+    assert {tuple(r) for r in got.collect() if r.k >= 4} == {(4, "NOOR VOSSEN", "Noor", "Vossen"), (5, "BRACK, PAUL", "Paul", "Brack")}
+    made = privacy.surrogate("k", "name", "NOOR VOSSEN", "Noor", "Vossen", "f")
+    assert made == privacy.surrogate("k", "name", "Noor Vossen", "Noor", "Vossen", "f").upper() and "VOSSEN" not in made
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("电话 138 0013 8000。", "138 0013 8000"), ("电话：13800138000", "13800138000"), ("我叫李明。", "李明"), ("王芳女士来了", "王芳"), ("田中さんは来た", "田中"), ("お客様は来た", None), ("名前は佐藤花子です", "佐藤花子"),
+        ("श्री राजेश कुमार आए", "राजेश कुमार"), ("คุณสมชาย ใจดี มาแล้ว", "สมชาย ใจดี"),
+    ],
+)
+def test_scripts_without_capitals(text, found):
+    assert [s[3] for s in privacy.detect(text)] == ([found] if found else [])
+
+
+def test_common_names_and_a_missing_key(spark):
+    texts = ["Dear Noor Brack,"] * 500 + ["Hello Ms Brack"] * 500
+    got = privacy.find_entities(docs(spark, texts), "k", "t").groupBy("found").count().collect()
+    assert {tuple(r) for r in got} == {("Noor Brack", 500), ("Brack", 500)}
+    with pytest.raises(ValueError):
+        privacy.replace_entities(docs(spark, texts), "k", "t", "")

@@ -3,7 +3,9 @@
 Detection runs on whole texts in Arrow batches and gives spans. Numbers, addresses and emails are told by their forms
 and the words beside them. Names need evidence: a title, a salutation or another cue; the first names and surnames met
 there, counted over the corpus, then carry over to names without a cue, and words that the corpus also writes in small
-letters are no names. That evidence is joined on the token; it is never collected.
+letters are no names. Names in capitals are judged by the same evidence. It is joined on the token, repeated :data:`SALT`
+times for the sake of common names; it is never collected. In scripts without capitals only names with a title or another
+cue can be found.
 
 Replacement is by keyed surrogates: each entity, or each part of a name, gets a code from a keyed hash, the same
 wherever it occurs and however it is written (``Last, First`` like ``First Last``). Codes are checked for collisions over
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +32,11 @@ from pyspark.sql import types as T
 from ..functions.batches import filled
 from ..session import cut_lineage
 
+#: Copies of the evidence in the join with the names.
+SALT = 16
+#: Characters of the longest cue that may stand before a name, and of a line before a number in which a telephone cue counts.
+CUE_REACH, PHONE_REACH = 40, 80
+
 _S = r"[ \u00A0\u2007\u202F]?\n?[ ]?"  # at most one gap, a line break included
 _G = r"(?:[ \u00A0\u202F]*\n[ ]*|[ \u00A0\u2007\u202F])"
 
@@ -42,6 +50,8 @@ EMAIL = regex.compile(
     rf"|[ ](?:at|AT)[ ]{_LABEL}(?:[ ](?:dot|DOT)[ ]{_LABEL})+)(?![\w@])"
 )
 
+MAYBE_EMAIL = re.compile(r"[@＠]|[ (\[{<](?:at|AT)[ )\]}>]")  # without one there is none
+
 # ---- identity numbers: forms that tell by themselves, and anything number-like behind a label
 
 ID_FORMS = regex.compile(
@@ -56,16 +66,22 @@ _ID_CUE = (
 )
 ID_LABELLED = regex.compile(rf"(?i:{_ID_CUE})(?:[ ](?:is|ist|lautet|es|est|porte le num[ée]ro|no\.?|number|nr\.?|n[°º.]+))*[ :#]*[ ]?((?-i:\p{{Lu}}{{0,3}})[ ]?\d(?:[ \-./]?[\dA-Z]){{5,25}})(?![\w])")
 
+MAYBE_LABELLED = re.compile(r"\d(?:[ \-./]?[\dA-Z]){5}")
+
 # ---- telephone numbers
 
+MAYBE_PHONE = re.compile(r"\d(?:\W*\d){6}")
+
 _SEP = rf"(?:[.\-/]|{_G})"
 PHONE_FORMS = regex.compile(
     rf"(?<![\w.\-/+@#$€£])(?:(?:\+|00)\d{{1,3}}{_SEP}?(?:\(0?\d{{0,4}}\){_SEP}?)?\d(?:{_SEP}?\d){{5,12}}"
+    rf"|1[3-9]\d{_SEP}?\d{{4}}{_SEP}?\d{{4}}"
     rf"|(?:1{_SEP})?\(?[2-9]\d{{2}}\)?{_SEP}\d{{3}}{_SEP}\d{{4}}"
     rf"|\(0\d{{1,4}}\){_SEP}?\d(?:{_SEP}?\d){{4,9}}"
     rf"|0\d{{1,4}}(?:{_SEP}\d{{2,8}}){{1,4}}"
     rf"|[6-9]\d{{2}}(?:{_SEP}\d{{2}}){{3}}|[6-9]\d{{2}}{_SEP}\d{{3}}{_SEP}\d{{3}})(?![\w\-]|[.,]\d|[ ]?%)"
 )
+PHONE_STRONG = regex.compile(rf"1[3-9]\d{_SEP}\d{{4}}{_SEP}\d{{4}}|(?:1{_SEP})?[2-9]\d\d{_SEP}\d{{3}}{_SEP}\d{{4}}|0\d{{1,4}}(?:{_SEP}\d{{2,8}}){{1,4}}")
 PHONE_CUE = regex.compile(r"(?i)(?:tel(?:ephone|efon|éfono|\.)?|phone|call|mobile|cell|fax|number is|reach me|numéro|teléfono|erreichbar|telefonisch|телефон|тел\.|電話(?:番号)?|电话|फ़ोन|फोन|โทร|contact)[^\n]{0,60}\Z")
 
 # ---- addresses
@@ -95,6 +111,17 @@ NAME = regex.compile(
     rf"(?:(?P<title>{_TITLE}{_G})+)?(?<![\w\-’'@./])(?:(?P<l1>{_W}),{_G}(?P<f1>{_W}|\p{{Lu}}\.)(?:{_G}\p{{Lu}}\.)?(?![\w@\-])"
     rf"|(?P<f2>{_W}|\p{{Lu}}\.)(?P<mid>(?:{_G}\p{{Lu}}\.){{0,2}}){_G}(?P<l2>{_W})(?![\w@\-])|(?P<l3>{_W})(?![\w@\-]))",
 )
+# a name in capitals, in either order
+NAME_CAPS = regex.compile(
+    rf"(?<![\w\-'’@./])(?:(?P<l1>\p{{Lu}}{{2,}}(?:['’\-]\p{{Lu}}+)*),{_G}(?P<f1>\p{{Lu}}{{2,}}(?:-\p{{Lu}}+)*|\p{{Lu}}\.)|(?P<f2>\p{{Lu}}{{2,}}(?:-\p{{Lu}}+)*|\p{{Lu}}\.)(?:{_G}\p{{Lu}}\.){{0,2}}{_G}(?P<l2>\p{{Lu}}{{2,}}(?:['’\-]\p{{Lu}}+)*))(?![\w@\-])"
+)
+# Titles and cues beside names in scripts without capitals, and words that stand there without being names.
+NAME_CUED = regex.compile(
+    r"(?:我叫|我的名字是|名字[是:：]|姓名[是为:：]|联系人[是为:：]?)[ ]?(?P<a>\p{Han}{2,4}(?:·\p{Han}{1,6})*)(?=[，。,.；;、！？\s]|$)|(?<![\p{Han}])(?P<b>\p{Han}{1,4})(?=先生|女士|小姐)"
+    r"|(?:名前は|氏名[は:：]|担当者?[は:：])[ ]?(?P<c>[\p{Han}\p{Hiragana}\p{Katakana}ー・]{2,10}?)(?=です|と申|といい|[。、\s]|$)|(?<![\p{Han}\p{Katakana}ー])(?P<d>\p{Han}{1,4}|[\p{Katakana}ー]{2,8})(?=さん|様(?![子々式])|氏(?![名族]))"
+    r"|(?:श्रीमती|श्री|सुश्री|कुमारी|डॉ\.?|मेरा नाम)[ ](?P<e>[\p{Devanagari}]+(?:[ ](?!(?:है|ने|को|से|का|की|के|हैं|और)\b)[\p{Devanagari}]+)?)|(?:คุณ|นางสาว|นาย|นาง|ชื่อ)[ ]?(?P<f>[ก-๎]{2,20}(?:[ ][ก-๎]{2,20})?)(?=[\s,.]|$)"
+)
+NO_NAMES = {"お客", "皆", "奥", "神", "王", "客", "各位", "同", "両", "彼", "某", "一", "女", "老"}
 CUE = regex.compile(
     r"(?:(?:According to|Narrator|Narrated by|Read by|Bill(?:ed)? (?:it )?to|[Nn]ame on it is|[Mm]y name is|[Nn]ame:|[Ss]igned(?:,| by)?|[Dd]ear|Attn:?|[Cc]/o|Contact:|Sprecher(?:in)?:|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|Меня зовут)[ ]"
     r"|^(?:From|To|Cc|Bcc|Reply-To|Von|An|De|À|Para|От|Кому):[ ]|(?<=[\s>])(?:From|Von|De|От):[ ]"
@@ -116,30 +143,34 @@ def detect(text: str) -> list[tuple]:
             taken.append((a, b))
             out.append((a, b, kind, text[a:b], proof, first, last, gender))
 
-    for m in EMAIL.finditer(text):
-        put(m.start(), m.end(), "email")
+    if MAYBE_EMAIL.search(text):
+        for m in EMAIL.finditer(text):
+            put(m.start(), m.end(), "email")
     for m in ADDRESS.finditer(text):
         put(m.start(), m.end(), "address")
     for m in ID_FORMS.finditer(text):
         digits = sum(c.isdigit() for c in m[0])
         if digits >= 6:
             put(m.start(), m.end(), "id_number")
-    for m in PHONE_FORMS.finditer(text):
+    for m in PHONE_FORMS.finditer(text) if MAYBE_PHONE.search(text) else ():
         digits = sum(c.isdigit() for c in m[0])
         if not 7 <= digits <= 15 or regex.match(r"\d{4}-\d\d-\d\d(?!\d)", m[0]):
             continue
-        strong = m[0][0] in "+(" or m[0].startswith("00") or regex.fullmatch(rf"(?:1{_SEP})?[2-9]\d\d{_SEP}\d{{3}}{_SEP}\d{{4}}|0\d{{1,4}}(?:{_SEP}\d{{2,8}}){{1,4}}", m[0])
-        if (strong and digits >= 8) or PHONE_CUE.search(text[max(0, m.start() - 80) : m.start()]):
+        strong = m[0][0] in "+(" or m[0].startswith("00") or PHONE_STRONG.fullmatch(m[0])
+        if (strong and digits >= 8) or PHONE_CUE.search(text[max(0, m.start() - PHONE_REACH) : m.start()]):
             a, b = m.span()
             if m[0].count(")") > m[0].count("(") and text[b - 1] == ")":
                 b -= 1
             put(a, b, "phone")
-    for m in ID_LABELLED.finditer(text):
+    for m in ID_LABELLED.finditer(text) if MAYBE_LABELLED.search(text) else ():
         put(m.start(1), m.end(1), "id_number")
     at = 0
     while m := NAME.search(text, at):
+        if not m["title"] and m["l3"]:
+            at = m.end("l3")
+            continue
         title = regex.sub(r"[\s.]", "", m["title"]).lower() if m["title"] else ""
-        cue = bool(CUE.search(text[max(0, m.start() - 40) : m.start()])) or bool(regex.match(r"[ ]<[^\s>]+@", text[m.end() : m.end() + 60]))
+        cue = bool(CUE.search(text[max(0, m.start() - CUE_REACH) : m.start()])) or bool(regex.match(r"[ ]<[^\s>]+@", text[m.end() : m.end() + 60]))
         if m["l1"]:
             a, b, first, last = m.start("l1"), m.end(), m["f1"], m["l1"]
         elif m["f2"]:
@@ -152,23 +183,46 @@ def detect(text: str) -> list[tuple]:
                 out.append((a, b, "name", text[a:b], proof, first, last, TITLES.get(title, "")))
         # without a cue the next word may begin a name of its own
         at = b if title or cue and first else m.end("l1") if m["l1"] else m.end("f2") if m["f2"] else b
+    at = 0
+    while m := NAME_CAPS.search(text, at):
+        f, l = ("f1", "l1") if m["l1"] else ("f2", "l2")
+        cue = bool(CUE.search(text[max(0, m.start() - CUE_REACH) : m.start()]))
+        if all(m.end() <= x or m.start() >= y for x, y in taken):
+            out.append((m.start(), m.end(), "name", m[0], "cue" if cue else "none", m[f].title(), m[l].title(), ""))
+        at = m.end() if cue else min(m.end(f), m.end(l))
+    for m in NAME_CUED.finditer(text):
+        kind = m.lastgroup
+        if m[kind] not in NO_NAMES and all(m.end(kind) <= x or m.start(kind) >= y for x, y in taken):
+            out.append((*m.span(kind), "name", m[kind], "title", "", m[kind], ""))
     return sorted(out)
 
 
+#: Kind of the rows that count words in small letters.
+_SMALL = "#small"
+
+
 def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The spans of every text, and the words in small letters with their number in the batch."""
     names = [f.name for f in SPAN.fields]
     for pdf in batches:
         rows = [(k, *s) for k, t in zip(pdf["key"], pdf["text"]) if isinstance(t, str) for s in detect(t)]
         yield pd.DataFrame(rows, columns=["key", *names])
-
-
-def _small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
         seen: Counter = Counter()
         for t in pdf["text"]:
             if isinstance(t, str):
-                seen.update(WORD.findall(EMAIL.sub(" ", t)))
-        yield pd.DataFrame({"token": list(seen), "small": pd.Series(list(seen.values()), dtype="int64")})
+                seen.update(WORD.findall(EMAIL.sub(" ", t) if MAYBE_EMAIL.search(t) else t))
+        if seen:
+            rows = {"key": [None] * len(seen), "start": list(seen.values()), "stop": 0, "kind": _SMALL, "found": list(seen), **{n: "" for n in names[4:]}}
+            yield pd.DataFrame(rows)
+
+
+def _beside(left: DataFrame, right: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """``left`` joined to ``right``, unique on ``on``, which is repeated so that a hot key of ``left`` is spread by ``by``; "" asks for nothing."""
+    keys = [f"_{c}" for c in on]
+    # rows that ask for nothing get keys of their own, so that they don't meet in one task
+    asking = left.withColumns({"_salt": F.pmod(F.xxhash64(*by), F.lit(SALT)), **{k: F.when(F.col(c) != "", F.col(c)).otherwise(F.concat(F.lit("#"), F.xxhash64(*by).cast("string"))) for k, c in zip(keys, on)}})
+    there = right.withColumnsRenamed(dict(zip(on, keys))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<long>")))
+    return asking.join(there, [*keys, "_salt"], "left").drop(*keys, "_salt")
 
 
 def find_entities(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -180,20 +234,22 @@ def find_entities(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([docs.schema["key"], *SPAN.fields])
-    # five uses below: the texts are searched once
-    spans = cut_lineage(docs.mapInPandas(filled(_spans), schema))
+    # used many times below: the texts are searched once
+    read = cut_lineage(docs.mapInPandas(filled(_spans), schema))
+    spans = read.filter(F.col("kind") != _SMALL)
     sure = spans.filter("kind != 'name'").select("key", "start", "stop", "kind", "found", "first", "last", "gender")
     names = spans.filter("kind = 'name'")
     # tokens that stand in small letters elsewhere, and first names and surnames met beside a cue
     tokens = names.select(F.explode(F.array("first", "last")).alias("token")).filter("token != ''").distinct().withColumn("low", F.lower("token"))
-    small = docs.mapInPandas(filled(_small), T.StructType([T.StructField("token", T.StringType()), T.StructField("small", T.LongType())])).groupBy(F.col("token").alias("low")).agg(F.sum("small").alias("small"))
+    small = read.filter(F.col("kind") == _SMALL).groupBy(F.col("found").alias("low")).agg(F.sum(F.col("start").cast("long")).alias("small"))
     cued = names.filter("proof = 'cue' AND first NOT RLIKE '^.[.]$'")
     firsts = cued.groupBy(F.col("first").alias("token")).agg(F.count(F.lit(1)).alias("firsts"))
     lasts = names.filter("proof IN ('cue', 'title')").groupBy(F.col("last").alias("token")).agg(F.count(F.lit(1)).alias("lasts"))
     proof = tokens.join(small, "low", "left").join(firsts, "token", "left").join(lasts, "token", "left").select("token", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("small", "firsts", "lasts")))
+    proof = cut_lineage(proof)
     of_first = proof.select(F.col("token").alias("first"), F.col("small").alias("f_small"), F.col("firsts").alias("f_first"))
     of_last = proof.select(F.col("token").alias("last"), F.col("small").alias("l_small"), F.col("lasts").alias("l_last"), F.col("firsts").alias("l_first"))
-    judged = names.join(of_first, "first", "left").join(of_last, "last", "left").na.fill(0, ["f_small", "f_first", "l_small", "l_last", "l_first"])
+    judged = _beside(_beside(names, of_first, ["first"], ["key", "start"]), of_last, ["last"], ["key", "start"]).na.fill(0, ["f_small", "f_first", "l_small", "l_last", "l_first"])
     initial = F.col("first").rlike(r"^.\.$")
     known = (F.col("l_last") >= 2) & ((F.col("f_first") >= 2) | initial)
     good = (
@@ -298,6 +354,8 @@ def _surname(secret: str, value: str, like: str, size: int) -> str:
 
 def surrogate(secret: str, kind: str, found: str, first: str, last: str, gender: str, size: int = 12) -> str:
     """A made-up value for an entity in its format; equal entities get equal ones."""
+    if kind == "name" and last not in found and last.upper() in found:  # written in capitals
+        return surrogate(secret, kind, found.replace(last.upper(), last).replace(first.upper(), first), first, last, gender, size).upper()
     if kind != "name":
         value = norm_entity(kind, found)
         if kind == "email":
@@ -336,7 +394,8 @@ def _with_genders(found: DataFrame) -> DataFrame:
     votes = F.count_if(F.col("gender") == "f") - F.count_if(F.col("gender") == "m")
     told = found.filter("kind = 'name' AND first != '' AND gender IN ('f', 'm')")
     out = found.withColumns({"_first": F.lower("first"), "_last": F.lower("last")})
-    out = out.join(told.groupBy(*person).agg(votes.alias("_person")), ["_first", "_last"], "left").join(told.groupBy(*name).agg(votes.alias("_name")), "_first", "left")
+    out = _beside(out, told.groupBy(*person).agg(votes.alias("_person")), ["_first", "_last"], ["key", "start"])
+    out = _beside(out, told.groupBy(*name).agg(votes.alias("_name")), ["_first"], ["key", "start"])
     n = F.when(F.coalesce("_person", F.lit(0)) != 0, F.col("_person")).otherwise(F.coalesce("_name", F.lit(0)))
     return out.withColumn("gender", F.when(n > 0, "f").when(n < 0, "m").otherwise("")).select(*found.columns)
 
@@ -377,12 +436,16 @@ def _replacer(secret: str, style: str):
     return run
 
 
-def replace_entities(df: DataFrame, key: str, text: str, secret: str = "tomewright", style: str = "placeholder") -> DataFrame:
+def replace_entities(df: DataFrame, key: str, text: str, secret: str, style: str = "placeholder") -> DataFrame:
     """``key``, ``text``: every text with its entities replaced and everything else unchanged.
 
+    ``secret`` is the key of the codes; who has it can tell by trial which value a code stands for, so there is no default.
+
     ``style="placeholder"`` writes ``[KIND:CODE]``, ``"surrogate"`` a made-up value. ``key`` must be unique. Null and
     empty texts come out as they are. Entities whose codes collide anywhere in the corpus get codes of twice the length.
     """
+    if not secret:
+        raise ValueError("a key is needed")
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = find_entities(docs, "key", "text")
     if style == "surrogate":

@@ -129,14 +129,18 @@ def p8_tempered_shares(spark: SparkSession, d: str) -> DataFrame:
     return actual_shares(p8_tempered(spark, d), table(spark, d, "mix_targets"))
 
 
+#: The key of the registered queries; a real run has its own.
+PII_KEY = "key of the registered queries"
+
+
 def p9_masked(spark: SparkSession, d: str) -> DataFrame:
     """Every document with typed, keyed placeholders in place of personal information."""
-    return replace_entities(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")
+    return replace_entities(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text", PII_KEY)
 
 
 def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
     """Every document with made-up values of the same kind and format instead."""
-    return replace_entities(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text", style="surrogate")
+    return replace_entities(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text", PII_KEY, style="surrogate")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

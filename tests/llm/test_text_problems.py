@@ -464,3 +464,36 @@ def test_common_names_and_a_missing_key(spark):
     assert {tuple(r) for r in got} == {("Noor Brack", 500), ("Brack", 500)}
     with pytest.raises(ValueError):
         privacy.replace_entities(docs(spark, texts), "k", "t", "")
+
+
+# ---- 2, candidates and edits
+
+
+def test_edits_in_one_and_in_two():
+    assert scans.edits_of("tlme", "time") == ("l>i", [])
+    assert scans.edits_of("rnodem", "modern")[0] == "rnodem>modern"
+    whole, ways = scans.edits_of("tlmc", "time")
+    assert whole == "lmc>ime" and ways == [("l>i", "c>e")]
+    assert ("rn>m", "1>l") in scans.edits_of("rn1x", "mlx")[1]
+
+
+def test_candidates_like_brute_force(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    words = sorted({"".join(rng.choice("abcdei") for _ in range(rng.randrange(3, 9))) for _ in range(250)} | {long})
+    bad = sorted(({"".join(rng.choice("abcdei1") for _ in range(rng.randrange(3, 9))) for _ in range(80)} | {f"{long[:30]}1{long[31:]}"}) - set(words))
+    suspects, counts = spark.createDataFrame([(b, 1.0) for b in bad], "bad string, n_bad double"), spark.createDataFrame([(w, 9.0) for w in words], "good string, n double")
+    got = {(r.bad, r.good) for r in scans.candidates(suspects, counts).collect()}
+
+    def grams(w):
+        s = f"##{w.translate(scans._LOOKS)}##"
+        return {s[i : i + 3] for i in range(len(s) - 2)}
+
+    want = {(b, w) for b in bad for w in words if abs(len(b) - len(w)) <= 2 and scans._levenshtein(b, w) <= 3 and 3 * len(grams(b) & grams(w)) >= len(b) + 2}
+    assert got == want and any(len(b) > 40 for b, _ in got)
+
+
+def test_a_page_in_a_script_without_stops():
+    page = "<p>ถ้าบรรณาธิการเงียบย่อหน้าก็จะอ่านผู้<br/>\nอ่านเพราะเหตุใดเสียงจึงแก้ไขผู้อ่านถ้า<br/>\nผู้แปลยาวผู้อ่านก็จะแก้ไขผู้แปล</p>"
+    clean = "<p>ถ้าบรรณาธิการเงียบย่อหน้าก็จะอ่านผู้</p>\n<p>อ่านเพราะเหตุใดเสียงจึงแก้ไขผู้อ่านถ้า</p>"
+    assert scans.is_scanned(scans.lines_of(page)) and not scans.is_scanned(scans.lines_of(clean))

@@ -3,8 +3,8 @@
 Detection runs on whole texts in Arrow batches and gives spans. Numbers, addresses and emails are told by their forms
 and the words beside them. Names need evidence: a title, a salutation or another cue; the first names and surnames met
 there, counted over the corpus, then carry over to names without a cue, and words that the corpus also writes in small
-letters are no names. Names in capitals are judged by the same evidence. It is joined on the token, repeated :data:`SALT`
-times for the sake of common names; it is never collected. In scripts without capitals only names with a title or another
+letters are no names. Names in capitals are judged by the same evidence. It is joined on the token, repeated
+for the sake of common names; it is never collected. In scripts without capitals only names with a title or another
 cue can be found.
 
 Replacement is by keyed surrogates: each entity, or each part of a name, gets a code from a keyed hash, the same
@@ -31,9 +31,8 @@ from pyspark.sql import types as T
 
 from ..functions.batches import filled
 from ..session import cut_lineage
+from .joins import beside
 
-#: Copies of the evidence in the join with the names.
-SALT = 16
 #: Characters of the longest cue that may stand before a name, and of a line before a number in which a telephone cue counts.
 CUE_REACH, PHONE_REACH = 40, 80
 
@@ -216,15 +215,6 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows)
 
 
-def _beside(left: DataFrame, right: DataFrame, on: list[str], by: list[str]) -> DataFrame:
-    """``left`` joined to ``right``, unique on ``on``, which is repeated so that a hot key of ``left`` is spread by ``by``; "" asks for nothing."""
-    keys = [f"_{c}" for c in on]
-    # rows that ask for nothing get keys of their own, so that they don't meet in one task
-    asking = left.withColumns({"_salt": F.pmod(F.xxhash64(*by), F.lit(SALT)), **{k: F.when(F.col(c) != "", F.col(c)).otherwise(F.concat(F.lit("#"), F.xxhash64(*by).cast("string"))) for k, c in zip(keys, on)}})
-    there = right.withColumnsRenamed(dict(zip(on, keys))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<long>")))
-    return asking.join(there, [*keys, "_salt"], "left").drop(*keys, "_salt")
-
-
 def find_entities(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``start``, ``stop``, ``kind``, ``found``, ``first``, ``last``, ``gender``: every entity of every text.
 
@@ -249,7 +239,7 @@ def find_entities(df: DataFrame, key: str, text: str) -> DataFrame:
     proof = cut_lineage(proof)
     of_first = proof.select(F.col("token").alias("first"), F.col("small").alias("f_small"), F.col("firsts").alias("f_first"))
     of_last = proof.select(F.col("token").alias("last"), F.col("small").alias("l_small"), F.col("lasts").alias("l_last"), F.col("firsts").alias("l_first"))
-    judged = _beside(_beside(names, of_first, ["first"], ["key", "start"]), of_last, ["last"], ["key", "start"]).na.fill(0, ["f_small", "f_first", "l_small", "l_last", "l_first"])
+    judged = beside(beside(names, of_first, ["first"], ["key", "start"]), of_last, ["last"], ["key", "start"]).na.fill(0, ["f_small", "f_first", "l_small", "l_last", "l_first"])
     initial = F.col("first").rlike(r"^.\.$")
     known = (F.col("l_last") >= 2) & ((F.col("f_first") >= 2) | initial)
     good = (
@@ -394,8 +384,8 @@ def _with_genders(found: DataFrame) -> DataFrame:
     votes = F.count_if(F.col("gender") == "f") - F.count_if(F.col("gender") == "m")
     told = found.filter("kind = 'name' AND first != '' AND gender IN ('f', 'm')")
     out = found.withColumns({"_first": F.lower("first"), "_last": F.lower("last")})
-    out = _beside(out, told.groupBy(*person).agg(votes.alias("_person")), ["_first", "_last"], ["key", "start"])
-    out = _beside(out, told.groupBy(*name).agg(votes.alias("_name")), ["_first"], ["key", "start"])
+    out = beside(out, told.groupBy(*person).agg(votes.alias("_person")), ["_first", "_last"], ["key", "start"])
+    out = beside(out, told.groupBy(*name).agg(votes.alias("_name")), ["_first"], ["key", "start"])
     n = F.when(F.coalesce("_person", F.lit(0)) != 0, F.col("_person")).otherwise(F.coalesce("_name", F.lit(0)))
     return out.withColumn("gender", F.when(n > 0, "f").when(n < 0, "m").otherwise("")).select(*found.columns)
 

@@ -3,12 +3,13 @@
 Lines: a classifier over pairs of neighbouring lines tells running heads from text; page numbers have a form of their
 own. Joins: another classifier decides for the end of a line and the next line of text whether a broken word goes on,
 and whether its hyphen stays. Letters: words that the corpus does not trust fetch candidates through an inverted join on
-character q-grams, and gradient-boosted trees rank the candidates.
+character q-grams, each on its rarest ones only, as many as cannot all be missing, and gradient-boosted trees rank the
+candidates by what all rows tell of the edits between them.
 
-All three models are trained here, on bounded samples (:data:`SAMPLE_ROWS`, :data:`SAMPLE_WORDS`) that label themselves:
-lines that equal a title, words broken on purpose, words misread on purpose by the confusions counted in the corpus.
-Word counts, confusions, candidates and decisions cover all rows. Words are joined by shuffle and on distinct words only;
-what is brought to the driver is the samples and the table of confusions, cut to its :data:`MOST_CONFUSIONS` commonest.
+All three models are trained here, on bounded samples (:data:`SAMPLE_ROWS`, :data:`SAMPLE_WORDS`, :data:`SAMPLE_EDITS`)
+that label themselves: lines that equal a title, words broken on purpose, words misread on purpose by edits seen in the
+corpus. Word counts, edit counts, candidates and decisions cover all rows. Words are joined by shuffle and on distinct
+words only; what is brought to the driver is the samples.
 """
 
 from __future__ import annotations
@@ -19,18 +20,22 @@ import random
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.batches import filled
 from ..session import cut_lineage
 from .gbm import Boosted
+from .joins import beside
 
-SAMPLE_ROWS, SAMPLE_WORDS, MOST_CONFUSIONS = 600, 6000, 400
+SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_EDITS = 600, 6000, 400
+#: Letters from which on a word is examined for misreading; shorter ones are alike by chance.
+LEAST_LETTERS = 3
 #: Share of a row's lines that stop within a sentence from which on it counts as scanned, and their least number.
 WRAPPED_SHARE, WRAPPED_LEAST = 0.25, 2
 #: How many times as common as the suspect a candidate must be, unless clean text is silent about the suspect.
@@ -41,7 +46,7 @@ HYPHENS = "-‐‑¬\xad"
 ALWAYS_SOFT = "¬\xad"
 CONJUNCTIONS = {"and", "or", "to", "nor", "und", "oder", "bis", "bzw", "sowie", "et", "ou", "y", "e", "o", "u", "и", "или"}
 _TERMINAL = re.compile(r"[.!?:;…。！？।»”\"“’)\]」』]+\Z")
-#: Scripts that end sentences without a mark; their lines tell nothing.
+#: Scripts that end sentences without a mark.
 _UNMARKED = re.compile(r"[฀-๿຀-໿ក-៿]{4}")
 _TAG = re.compile(r"<[/!?]?[A-Za-z][^>]*>")
 #: Signs without width, which would part a word; at a line's end a soft hyphen means something.
@@ -88,8 +93,9 @@ def lines_of(markup: str) -> list[Line]:
 
 def is_scanned(lines: list[Line]) -> bool:
     """Whether the lines are those of a page: many of them stop within a sentence."""
-    text = [x for x in lines if x.kind == "text" and not _UNMARKED.search(x.text)]
-    wrapped = sum(not _TERMINAL.search(x.text) for x in text)
+    text = [x for x in lines if x.kind == "text"]
+    # where sentences end without a mark, a line that leaves its element open tells
+    wrapped = sum("</" not in x.raw and any("</" in y.raw for y in lines) if _UNMARKED.search(x.text) else not _TERMINAL.search(x.text) for x in text)
     return wrapped >= WRAPPED_LEAST and wrapped >= WRAPPED_SHARE * len(text)
 
 
@@ -126,7 +132,7 @@ def line_features(lines: list[Line], titles: list[str]) -> tuple[list[int], np.n
     for n, i in enumerate(text):
         s = lines[i].text
         letters = _folded(s)
-        if len(s) > 100 or len(letters) < 3:
+        if len(letters) < 3:
             continue
         own = _grams(letters)
         cover, back, more = max(((len(own & g) / len(g), len(own & g) / max(1, len(own)), len(letters) - n) for g, n in names), default=(0.0, 0.0, 0))
@@ -337,7 +343,28 @@ def edit_of(bad: str, good: str) -> tuple[str, str]:
     return bad[i : len(bad) - j], good[i : len(good) - j]
 
 
-def _distance(a: str, b: str) -> int:
+def edits_of(bad: str, good: str) -> tuple[str, list[tuple[str, str]]]:
+    """The edit that turns ``good`` into ``bad``, and all ways to see it as two, each as ``bad>good``."""
+    a, b = edit_of(bad, good)
+    whole = f"{a}>{b}"
+    if len(a) <= 1 and len(b) <= 1:
+        return whole, []
+    m = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
+    if m.size:
+        ways = [((a[: m.a], b[: m.b]), (a[m.a + m.size :], b[m.b + m.size :]))]
+    else:
+        ways = [((a[:i], b[:j]), (a[i:], b[j:])) for i in range(len(a) + 1) for j in range(len(b) + 1)]
+    return whole, [(f"{x[0]}>{x[1]}", f"{y[0]}>{y[1]}") for x, y in ways if any(x) and any(y)]
+
+
+def rank_features(bad: str, good: str, shared: int, n_bad: float, n_good: float, d: int, once: float, twice: float) -> list[float]:
+    """``once`` and ``twice``: how often the corpus has the edit, and the rarer one of the best two edits it may be made of."""
+    a, b = edit_of(bad, good)
+    grams = len(bad) + len(good) + 4 - shared
+    return [d, len(a), len(b), math.log1p(once or twice), 1 if once else 2, shared / max(1, grams), math.log1p(n_good), math.log1p(n_good) - math.log1p(n_bad), any(c.isdigit() for c in bad), len(good)]
+
+
+def _levenshtein(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -346,47 +373,22 @@ def _distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def explain(bad: str, good: str, confusions: dict[tuple[str, str], float]) -> tuple[float, int]:
-    """(weight of the best single or double confusion that turns ``good`` into ``bad``, number of confusions)."""
-    a, b = edit_of(bad, good)
-    w = confusions.get((a, b), 0.0)
-    if w:
-        return w, 1
-    best = 0.0
-    for (x, y), p in confusions.items():
-        if y and y in good:
-            at = good.find(y)
-            while at >= 0:
-                once = good[:at] + x + good[at + len(y) :]
-                if once[: at + len(x)] == bad[: at + len(x)] or once[at:] == bad[at - len(good) + len(bad) if at - len(good) + len(bad) > 0 else 0 :]:
-                    p2 = confusions.get(edit_of(bad, once), 0.0)
-                    best = max(best, min(p, p2))
-                at = good.find(y, at + 1)
-    return best, 2
-
-
-_RANK_FEATURES = 10
-
-
-def rank_features(bad: str, good: str, shared: int, n_bad: float, n_good: float, confusions: dict[tuple[str, str], float]) -> list[float]:
-    a, b = edit_of(bad, good)
-    w, n = explain(bad, good, confusions)
-    grams = len(bad) + len(good) + 4 - shared
-    return [_distance(bad, good), len(a), len(b), math.log1p(w), n, shared / max(1, grams), math.log1p(n_good), math.log1p(n_good) - math.log1p(n_bad), any(c.isdigit() for c in bad), len(good)]
+Candidate = tuple[str, str, int, float, float]
 
 
-def train_ranker(words: dict[str, float], confusions: dict[tuple[str, str], float]) -> Boosted | None:
-    """The ranking model, from words misread on purpose and words left as they are, against candidates from the sample."""
+def misread_on_purpose(words: dict[str, float], edits: dict[tuple[str, str], float]) -> list[tuple[Candidate, bool]]:
+    """Candidates (bad, good, shared grams, counts of both) with whether they are right: words of the sample misread by
+    ``edits``, and words left as they are."""
     rng = random.Random(11)
-    plain = sorted(w for w in words if w.isalpha() and len(w) >= 3)
-    if len(plain) < 60 or len(confusions) < 3:
-        return None
+    plain = sorted(w for w in words if w.isalpha() and len(w) >= LEAST_LETTERS)
+    if len(plain) < 60 or len(edits) < 3:
+        return []
     index: dict[str, list[str]] = {}
     for w in plain:
         for g in _grams(w):
             index.setdefault(g, []).append(w)
-    kinds, weights = zip(*sorted(confusions.items()))
-    xs, ys = [], []
+    kinds, weights = zip(*sorted(edits.items()))
+    out: list[tuple[Candidate, bool]] = []
 
     def near(w: str) -> list[tuple[str, int]]:
         got = Counter(v for g in _grams(w) for v in index.get(g, ()))
@@ -403,60 +405,97 @@ def train_ranker(words: dict[str, float], confusions: dict[tuple[str, str], floa
                     at = rng.choice(spots)
                     bad = bad[:at] + x + bad[at + len(y) :]
             if bad != w and bad not in words:
-                for v, n in near(bad):
-                    xs.append(rank_features(bad, v, n, rng.choice((1, 1, 1, 2, 4)), words[v], confusions))
-                    ys.append(v == w)
-        for v, n in near(w)[:4]:  # a rare word of its own
-            xs.append(rank_features(w, v, n, rng.choice((1, 1, 2, 3)), words[v], confusions))
-            ys.append(False)
-    if sum(ys) < 20:
+                out += [((bad, v, n, rng.choice((1, 1, 1, 2, 4)), words[v]), v == w) for v, n in near(bad)]
+        out += [((w, v, n, rng.choice((1, 1, 2, 3)), words[v]), False) for v, n in near(w)[:4]]  # a rare word of its own
+    return out
+
+
+def train_ranker(made: list[tuple[Candidate, bool]], counts: dict[str, float]) -> Boosted | None:
+    """The ranking model, from candidates made on purpose and the ``counts`` of the edits between them."""
+    if sum(right for _, right in made) < 20:
         return None
+    xs, ys = [], []
+    for (bad, good, shared, n_bad, n_good), right in made:
+        whole, ways = edits_of(bad, good)
+        twice = max((min(counts.get(x, 0.0), counts.get(y, 0.0)) for x, y in ways), default=0.0)
+        xs.append(rank_features(bad, good, shared, n_bad, n_good, _levenshtein(bad, good), counts.get(whole, 0.0), twice))
+        ys.append(right)
     return Boosted(rounds=80, depth=4).fit(np.array(xs, float), np.array(ys, float))
 
 
-def _ranked(model: Boosted | None, confusions: dict[tuple[str, str], float]):
+def _ranked(model: Boosted | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             score = np.zeros(len(pdf))
             if model is not None and len(pdf):
-                x = np.array([rank_features(*r, confusions) for r in zip(pdf["bad"], pdf["good"], pdf["shared"], pdf["n_bad"], pdf["n_good"])], float)
+                x = np.array([rank_features(*r) for r in zip(*(pdf[c] for c in ("bad", "good", "shared", "n_bad", "n_good", "d", "once", "twice")))], float)
                 score = model.score(x)
             yield pdf[["bad", "good"]].assign(score=score)
 
     return run
 
 
+def _with_edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        got = [edits_of(a, b) for a, b in zip(pdf["bad"], pdf["good"])]
+        yield pdf.assign(whole=[w for w, _ in got], ways=[[list(x) for x in ways] for _, ways in got])
+
+
 GRAM = 3
 
 
-def _gram_table(df: DataFrame, word: str) -> DataFrame:
-    """``word`` exploded to its distinct padded trigrams, with its length."""
+def _grams_column(word: str) -> Column:
+    """The distinct padded trigrams of ``word``."""
     padded = F.concat(F.lit("##"), F.translate(F.col(word), "015689", "olsbbg"), F.lit("##"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(GRAM))))
-    return df.select("*", F.explode(grams).alias("gram"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(GRAM))))
+
+
+def candidates(suspects: DataFrame, counts: DataFrame) -> DataFrame:
+    """``bad``, ``good``, ``n_bad``, ``n_good``, ``d``, ``shared``: the words that each suspect may stand for.
+
+    Candidates share at least a third of the suspect's trigrams, differ in length by two at most, and by three letters at
+    most. A suspect of G distinct trigrams that must share T of them shares one of any G - T + 1, so that it is looked up
+    by its rarest ones.
+    """
+    good = counts.filter(F.length("good") >= LEAST_LETTERS).select("good", "n", F.length("good").alias("g_size"), F.explode(_grams_column("good")).alias("gram"))
+    common = good.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    bad = suspects.filter(F.length("bad") >= LEAST_LETTERS).select("bad", "n_bad", F.explode(_grams_column("bad")).alias("gram"))
+    rare = beside(bad, common, ["gram"], ["bad"]).groupBy("bad").agg(F.first("n_bad").alias("n_bad"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("gs"))
+    must = F.ceil((F.length("bad") + 2) / 3).cast("int")
+    rare = rare.select("bad", "n_bad", F.explode(F.slice("gs", 1, F.greatest(F.lit(0), F.size("gs") - must + 1))).alias("g")).filter("g.df > 0")
+    # keyed on the gram and the length, so that a common gram is spread over the lengths
+    size = F.length("bad")
+    near = rare.select("bad", "n_bad", F.col("g.gram").alias("gram"), F.explode(F.sequence(F.greatest(F.lit(LEAST_LETTERS), size - 2), size + 2)).alias("g_size"))
+    pairs = near.join(good, ["gram", "g_size"]).withColumn("d", F.levenshtein("bad", "good")).filter("d <= 3")
+    pairs = pairs.groupBy("bad", "good").agg(F.first("n_bad").alias("n_bad"), F.first("n").alias("n_good"), F.first("d").cast("int").alias("d"))
+    return pairs.withColumn("shared", F.size(F.array_intersect(_grams_column("bad"), _grams_column("good")))).filter(F.col("shared") >= must)
 
 
 def correct_words(suspects: DataFrame, counts: DataFrame, words: dict[str, float]) -> DataFrame:
-    """``bad``, ``good``, ``score``: the best correction of each suspect that the ranking accepts.
+    """``bad``, ``good``, ``score``: the best correction of each suspect that the ranking accepts; see :func:`candidates`.
 
-    ``suspects`` has ``bad`` and ``n_bad``; ``counts`` are the trusted words with their ``n``. Candidates share at least
-    a third of the suspect's trigrams and differ in length by two at most.
+    ``suspects`` has ``bad`` and ``n_bad``; ``counts`` are the trusted words with their ``n``, ``words`` a sample of them.
     """
-    bad = _gram_table(suspects.filter(F.length("bad").between(3, 40)).withColumn("size", F.length("bad")), "bad").withColumn("n_grams", F.length("bad") + 2)
-    good = _gram_table(counts.filter(F.length("good").between(3, 42)), "good").withColumn("g_size", F.length("good"))
-    # the join is keyed on the gram and the length, so that a common gram is spread over the lengths
-    near = bad.withColumn("g_size", F.explode(F.sequence(F.greatest(F.lit(3), F.col("size") - 2), F.col("size") + 2)))
-    pairs = near.join(good, ["gram", "g_size"]).groupBy("bad", "good").agg(F.count(F.lit(1)).alias("shared"), F.first("n_bad").alias("n_bad"), F.first("n").alias("n_good"), F.first("n_grams").alias("n_grams"))
-    pairs = cut_lineage(pairs.filter((F.col("shared") * 3 >= F.col("n_grams")) & (F.levenshtein("bad", "good") <= 3)).drop("n_grams"))
-    # confusions: what differs where a suspect has a single closest candidate
-    close = pairs.withColumn("d", F.levenshtein("bad", "good")).filter("d <= 2").groupBy("bad", "d").agg(F.count(F.lit(1)).alias("k"), F.max("good").alias("good"))
-    close = close.groupBy("bad").agg(F.min(F.struct("d", "k", "good")).alias("c")).filter("c.k = 1").select("bad", F.col("c.good").alias("good"))
-    edit = F.udf(lambda a, b: list(edit_of(a, b)), T.ArrayType(T.StringType()))
-    table = close.select(edit("bad", "good").alias("e")).filter((F.length(F.col("e")[0]) <= 2) & (F.length(F.col("e")[1]) <= 2)).groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").orderBy(F.desc("n"), "e").limit(MOST_CONFUSIONS)
-    confusions = {(r["e"][0], r["e"][1]): float(r["n"]) for r in table.collect()}
-    model = train_ranker(words, confusions)
+    spark = suspects.sparkSession
+    pairs = candidates(suspects, counts)
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in pairs.schema.fields), *_string("whole"), T.StructField("ways", T.ArrayType(T.ArrayType(T.StringType())))])
+    pairs = cut_lineage(pairs.mapInPandas(filled(_with_edits), schema))
+    # edits: what differs where a suspect has a single closest candidate
+    close = pairs.filter("d <= 2").groupBy("bad").agg(F.min("d").alias("d"))
+    close = pairs.join(close, ["bad", "d"]).groupBy("bad").agg(F.count(F.lit(1)).alias("k"), F.max("whole").alias("edit")).filter("k = 1")
+    edits = cut_lineage(close.groupBy("edit").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    # the model learns from the commonest short ones, and from what all rows tell of the edits it meets
+    short = edits.filter((F.length("edit") <= 5) & F.col("edit").rlike(r"^.{0,2}>.{0,2}$") & (F.col("n") >= 2)).orderBy(F.desc("n"), "edit").limit(SAMPLE_EDITS)
+    made = misread_on_purpose(words, {tuple(r["edit"].split(">")): r["n"] for r in short.toLocalIterator()})
+    met = sorted({e for (b, g, *_), _ in made for whole, ways in [edits_of(b, g)] for e in (whole, *(x for way in ways for x in way))})
+    told = spark.createDataFrame([(e,) for e in met], "edit string").join(edits, "edit")
+    model = train_ranker(made, {r["edit"]: r["n"] for r in told.toLocalIterator()})
+    # the edits of every pair, whole and in two, meet the counts
+    asked = pairs.select("bad", "good", F.explode(F.concat(F.array(F.array("whole")), "ways")).alias("way")).select("bad", "good", F.xxhash64("way").alias("h"), F.size("way").alias("parts"), F.explode("way").alias("edit"))
+    seen = beside(asked, edits, ["edit"], ["bad", "good"]).groupBy("bad", "good", "h", "parts").agg(F.min(F.coalesce("n", F.lit(0.0))).alias("n"))
+    weight = seen.groupBy("bad", "good").agg(F.coalesce(F.max(F.when(F.col("parts") == 1, F.col("n"))), F.lit(0.0)).alias("once"), F.coalesce(F.max(F.when(F.col("parts") == 2, F.col("n"))), F.lit(0.0)).alias("twice"))
     schema = T.StructType([*_string("bad", "good"), T.StructField("score", T.DoubleType())])
-    ranked = pairs.select("bad", "good", "shared", "n_bad", "n_good").mapInPandas(filled(_ranked(model, confusions)), schema)
+    ranked = pairs.drop("whole", "ways").join(weight, ["bad", "good"]).mapInPandas(filled(_ranked(model)), schema)
     return ranked.groupBy("bad").agg(F.max(F.struct("score", "good")).alias("b")).select("bad", F.col("b.good").alias("good"), F.col("b.score").alias("score")).filter("score > 0.5")
 
 
@@ -471,7 +510,7 @@ def _taken_apart(model: Boosted | None):
                 page = Page(markup, [chapter or "", book or ""], model)
                 rows += [(key, page.lines[i].no, kind, "", "", "") for i, kind in page.furniture.items()]
                 rows += [(key, page.lines[i].no, "hyphen", left, right, mark) for i, left, right, mark, _ in page.breaks]
-                rows += [(key, page.lines[i].no, "word", w, "", "") for i, w in sorted(set(page.words)) if len(w) >= 3 and _LETTER.search(w)]
+                rows += [(key, page.lines[i].no, "word", w, "", "") for i, w in sorted(set(page.words)) if len(w) >= LEAST_LETTERS and _LETTER.search(w)]
             yield pd.DataFrame(rows, columns=["key", "line_no", "kind", "a", "b", "mark"])
 
     return run

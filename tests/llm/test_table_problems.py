@@ -169,6 +169,29 @@ def test_more_items_than_a_block(spark, monkeypatch):
     assert {(r.d, r.i) for r in leaks.find_leaks(docs, "d", "t", items, "i", "t").collect()} == {(i, i) for i in range(30)}
 
 
+def test_blocks_change_nothing_and_planted_items_are_found(spark, monkeypatch):
+    rng = random.Random(17)
+    pool = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ro", "sa", "ti", "ve", "zu") for b in ("ban", "der", "fin", "gol", "hat", "jun")]
+    note = "Give a short reason for it please."
+    items = [(i, " ".join(_words(rng, 30, pool)) + (f"\n{note}" if i % 3 == 0 else "")) for i in range(60)] + [(90, "ab cd"), (91, "ab cd ef")]
+    docs, planted = [], set()
+    for i, t in items[:60]:
+        w = t.split("\n")[0].split()
+        for part in (w, w[:17], w[12:], w[3:12] + ["so"] + w[14:24]):
+            edited = [x if rng.random() > 0.08 else rng.choice(["other", ""]) for x in part]
+            docs.append((len(docs), f"{' '.join(_words(rng, 40, pool))} {' '.join(edited)} {note} {' '.join(_words(rng, 40, pool))}"))
+            planted.add((len(docs) - 1, i))
+    df, given = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i long, t string")
+    got = []
+    for n, signs in ((5000, 10_000_000), (9, 10_000_000), (5000, 900)):
+        monkeypatch.setattr(leaks, "BLOCK_ITEMS", n)
+        monkeypatch.setattr(leaks, "BLOCK_SIGNS", signs)
+        got.append({(r.d, r.i, round(r.share, 9)) for r in leaks.find_leaks(df, "d", "t", given, "i", "t").collect()})
+    assert got[0] == got[1] == got[2]
+    found = {(d, i) for d, i, _ in got[0]}
+    assert len(found & planted) >= 0.95 * len(planted) and not found - planted
+
+
 def test_signs_without_spaces(spark):
     text = "隐藏的话筒在周末拒绝读者因为目录是狭窄的档案打开文字"
     items = spark.createDataFrame([(1, text)], "i long, t string")

@@ -7,8 +7,9 @@ batch of documents as one array, with thousands of cursors that jump side by sid
 document are aligned with it word by word, all pairs of a batch side by side, so that words changed, added or left out do
 not matter. Only pairs that provably cannot reach the share wanted are not aligned.
 
-The items are held by every task, in blocks of :data:`BLOCK_ITEMS`; more items make more passes over the documents, none
-makes the broadcast larger. The documents are read where they lie: there is no shuffle.
+The items are held by every task, in blocks of about :data:`BLOCK_ITEMS` items and :data:`BLOCK_SIGNS` characters at most;
+more items make more passes over the documents, none makes the broadcast larger. What a line or a window is worth does not
+depend on the blocks. The documents are read where they lie: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import types as T
 from ..functions.batches import filled
 from ..session import cut_lineage
 
-#: Items of one pass. An item's windows take some kilobytes, so a block stays within tens of megabytes.
-BLOCK_ITEMS = 5000
+#: Items of one pass and their characters. An item's windows take some kilobytes, so a block stays within tens of megabytes.
+BLOCK_ITEMS, BLOCK_SIGNS = 5000, 10_000_000
+#: Windows under this length are searched by themselves, as the shortest window sets how far a search may jump.
+SHORT = 8
 #: Words of a window, and characters of one in scripts without spaces.
 WINDOW_WORDS, WINDOW_SIGNS = 4, 8
 CURSORS = 4096
@@ -136,10 +139,18 @@ class Items:
                 windows[" " + " ".join(w[i : i + size]) + " "].append((item, i))
         self.patterns = sorted(windows)
         self.places = [windows[p] for p in self.patterns]
-        self.search = WuManber(self.patterns)
+        short = [k for k, p in enumerate(self.patterns) if len(p) < SHORT]
+        long = [k for k, p in enumerate(self.patterns) if len(p) >= SHORT]
+        self.searches = [(ks, WuManber([self.patterns[k] for k in ks])) for ks in (short, long) if ks]
         self.ids: dict[str, int] = {}
         self.coded = {item: np.array([self.ids.setdefault(x, len(self.ids)) for x in w], np.int32) for item, w in self.words.items()}
 
+    def found(self, text: str) -> Iterator[tuple[int, int]]:
+        """(position, number of the window) of every occurrence of a window."""
+        for ks, search in self.searches:
+            for at, k in search.search(text):
+                yield at, ks[k]
+
 
 def align(items: list[np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
     """Best local alignment of each two lists of word codes: item from, item to, document from, document to; 0 without any.
@@ -265,7 +276,7 @@ def _search(items: Items, least: float):
             starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
             text = "\n".join(parts)
             hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-            for at, p in items.search.search(text):
+            for at, p in items.found(text):
                 d = int(np.searchsorted(starts, at, "right")) - 1
                 for item, i in items.places[p]:
                     hits[d, item].append((i, at))
@@ -297,7 +308,8 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     row; repeated documents and items give a row each. Other columns are not read.
     """
     rows = items.select(F.col(item_key).cast("long"), F.col(item_text)).filter(F.col(item_text).isNotNull() & F.col(item_key).isNotNull())
-    blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
+    there = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("signs")).first()
+    blocks = max(1, -(-there["n"] // BLOCK_ITEMS), -(-there["signs"] // BLOCK_SIGNS))
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("key", base.schema["key"].dataType), T.StructField("item", T.LongType()), T.StructField("share", T.DoubleType())])
     if blocks > 1:  # lines that several items share, wherever these are; each block gets its own of them

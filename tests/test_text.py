@@ -50,3 +50,15 @@ def test_features(spark):
 def test_policy_is_checked():
     with pytest.raises(ValueError, match="policy"):
         X.apply_footnotes(F.lit("x") if False else None, "other")
+
+
+@pytest.mark.parametrize(
+    ("markdown", "html"),
+    [
+        ("# A *b* #\n\ntwo\nlines", "<h1>A <em>b</em></h1>\n<p>two\nlines</p>"), ("```py\na < b\n```", '<pre><code class="language-py">a &lt; b\n</code></pre>'), ("| a | b |\n|---|:-:|\n| 1 | `x` |\n| 2 |", "<table>\n<thead>\n<tr><th>a</th><th>b</th></tr>\n</thead>\n<tbody>\n<tr><td>1</td><td><code>x</code></td></tr>\n<tr><td>2</td><td></td></tr>\n</tbody>\n</table>"),
+        ("- a\n- **b**\n  c", "<ul>\n<li>a</li>\n<li><strong>b</strong> c</li>\n</ul>"), ("1. a\n2. b", "<ol>\n<li>a</li>\n<li>b</li>\n</ol>"), ("> q\n> r", "<blockquote>\n<p>q\nr</p>\n</blockquote>"), ("---", "<hr />"), ("[t](u) & ![i](v)", '<p><a href="u">t</a> &amp; <img alt="i" src="v" /></p>'),
+        ("a_b_c 2 * 3 * 4", "<p>a_b_c 2 * 3 * 4</p>"), ("```\nopen", "<pre><code>open\n</code></pre>"), ("", ""), (None, None),
+    ],
+)
+def test_markdown_to_html(markdown, html):
+    assert X.markdown_html_of(markdown) == html

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as htmllib
+import re
 from collections.abc import Callable
 from html.parser import HTMLParser
 
@@ -72,6 +73,7 @@ def drop_page_artifacts(c: Column) -> Column:
     return let(split_lines(c), lambda lines: let(repeated(lines), lambda often: keep(lines, often)))
 
 
+#: Fixed value: the form of a note's line.
 _NOTE = r"(?U)^\s*\[\^?\d+\]:?\s+\S"
 
 
@@ -211,3 +213,92 @@ def html_markdown(c: Column) -> Column:
     c = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), r"(?i)</(?:p|div|table|ul|ol|section)>", "\n\n")
     c = F.regexp_replace(F.regexp_replace(c, r"(?i)<li\b[^>]*>", "\n- "), r"(?s)<[^>]+>", "")
     return strip(F.regexp_replace(unescape(c), r"(?U)\n\s*\n\s*\n*", "\n\n"))
+
+
+# ---- Markdown to HTML
+
+_FENCE = re.compile(r"^(```+|~~~+)\s*([\w+-]*)\s*$")
+_RULE_ROW = re.compile(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)+\|?\s*$|^\s*\|\s*:?-+:?\s*\|\s*$")
+_ITEM = re.compile(r"^\s{0,3}(?:([-*+])|(\d+)[.)])\s+(.*)$")
+
+
+def _inline(text: str) -> str:
+    """Code, links, images and emphasis of one run of text; everything else escaped."""
+    kept: list[str] = []
+
+    def code(m: re.Match) -> str:
+        kept.append(f"<code>{htmllib.escape(m[2].strip(), quote=False)}</code>")
+        return f"\x00{len(kept) - 1}\x00"
+
+    text = htmllib.escape(re.sub(r"(`+)(.+?)\1", code, text.replace("\x00", "")), quote=False)
+    text = re.sub(r"!\[([^\]]*)\]\(([^)\s]+)[^)]*\)", lambda m: f'<img alt="{htmllib.escape(m[1])}" src="{htmllib.escape(m[2])}" />', text)
+    text = re.sub(r"\[([^\]]+)\]\(([^)\s]+)[^)]*\)", lambda m: f'<a href="{htmllib.escape(m[2])}">{m[1]}</a>', text)
+    text = re.sub(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1", r"<strong>\2</strong>", text)
+    text = re.sub(r"(?<!\w)([*_])(?=\S)(.+?)(?<=\S)\1(?!\w)", r"<em>\2</em>", text)
+    return re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], text)
+
+
+def _cells(row: str) -> list[str]:
+    return [c.strip() for c in row.strip().strip("|").split("|")]
+
+
+def markdown_html_of(text: str | None) -> str | None:
+    """HTML of Markdown: headings, paragraphs, flat lists, quotations, rules, tables and fenced code; see :func:`_inline`."""
+    if text is None:
+        return None
+    lines, out, i = text.split("\n"), [], 0
+    while i < len(lines):
+        x = lines[i]
+        if not x.strip():
+            i += 1
+        elif m := _FENCE.match(x):
+            j = i + 1
+            while j < len(lines) and not lines[j].startswith(m[1]):
+                j += 1
+            body = "".join(f"{htmllib.escape(y, quote=False)}\n" for y in lines[i + 1 : j])
+            out.append(f"<pre><code{f' class=\"language-{m[2]}\"' if m[2] else ''}>{body}</code></pre>")
+            i = j + 1
+        elif m := re.match(r"^(#{1,6})\s+(.*?)\s*#*\s*$", x):
+            out.append(f"<h{len(m[1])}>{_inline(m[2])}</h{len(m[1])}>")
+            i += 1
+        elif re.match(r"^\s{0,3}(?:-\s*){3,}$|^\s{0,3}(?:\*\s*){3,}$", x):
+            out.append("<hr />")
+            i += 1
+        elif "|" in x and i + 1 < len(lines) and _RULE_ROW.match(lines[i + 1]):
+            head, j, rows = _cells(x), i + 2, []
+            while j < len(lines) and "|" in lines[j] and lines[j].strip():
+                rows.append((_cells(lines[j]) + [""] * len(head))[: len(head)])
+                j += 1
+            tr = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{_inline(c)}</{tag}>" for c in cells) + "</tr>"
+            out.append("<table>\n<thead>\n" + tr(head, "th") + "\n</thead>\n<tbody>\n" + "".join(tr(r, "td") + "\n" for r in rows) + "</tbody>\n</table>")
+            i = j
+        elif m := _ITEM.match(x):
+            tag, items = ("ul" if m[1] else "ol"), []
+            while i < len(lines) and lines[i].strip():
+                m = _ITEM.match(lines[i])
+                if m:
+                    items.append(m[3])
+                else:
+                    items[-1] += " " + lines[i].strip()
+                i += 1
+            out.append(f"<{tag}>\n" + "".join(f"<li>{_inline(y)}</li>\n" for y in items) + f"</{tag}>")
+        elif x.lstrip().startswith(">"):
+            part = []
+            while i < len(lines) and lines[i].lstrip().startswith(">"):
+                part.append(re.sub(r"^\s*> ?", "", lines[i]))
+                i += 1
+            out.append(f"<blockquote>\n{markdown_html_of(chr(10).join(part))}\n</blockquote>")
+        else:
+            part = [x.strip()]
+            i += 1
+            while i < len(lines) and lines[i].strip() and not re.match(r"^#{1,6}\s|^\s*>", lines[i]) and not _FENCE.match(lines[i]):
+                part.append(lines[i].strip())
+                i += 1
+            out.append(f"<p>{_inline(chr(10).join(part))}</p>")
+    return "\n".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def markdown_html(s: pd.Series) -> pd.Series:
+    """HTML of Markdown; Spark has no parser for it. Null stays null, blank text gives the empty string."""
+    return s.map(markdown_html_of, na_action="ignore")

@@ -38,6 +38,7 @@ def quality_warnings(pages: DataFrame, doc: str, text: str, long_doc: int = 20,
     return both.select(doc, "pages", "median_chars", "low_pages", ((F.col("pages") > long_doc) & ~F.col("head")).alias("no_headings"), uneven.alias("uneven"))
 
 
+#: Fixed value: a word broken at a line's end.
 _BROKEN = r"([A-Za-z]+)-\n([A-Za-z]+)"
 
 
@@ -83,31 +84,49 @@ def outline_sections(outline: DataFrame, pages: DataFrame, doc: str) -> DataFram
     return spans.select(doc, "section_ix", "title", F.explode(F.sequence(F.col("start_page"), F.col("until") - 1)).alias("page_ix"))
 
 
+#: Headings of the first and second level.
+_LEVELS = (r"(?m)^# +\S", r"(?m)^## +\S")
+
+
 def heading_level(text: Column, forced: Column | None = None) -> Column:
     """The heading level to split at: the one forced, else 1 or 2 if the text has such headings, else null."""
-    found = F.when(text.rlike(r"(?m)^# +\S"), 1).when(text.rlike(r"(?m)^## +\S"), 2)
+    found = F.when(text.rlike(_LEVELS[0]), 1).when(text.rlike(_LEVELS[1]), 2)
     return found if forced is None else F.coalesce(forced, found)
 
 
+def section_array(text: Column, level: Column, fallback_title: Column) -> Column:
+    """The sections of a text: array of ``title``, ``body`` in order; see :func:`split_sections`."""
+
+    def made(lines: Column) -> Column:
+        size = F.size(lines)
+        is_head = lambda x: level.isNotNull() & (F.length(F.regexp_extract(x, r"^(#+) +\S", 1)) == level)
+        heads = F.filter(F.sequence(F.lit(1), size), lambda i: F.coalesce(is_head(F.element_at(lines, i)), F.lit(False)))
+        # text before the first heading begins behind a heading at 0
+        starts = X.let(heads, lambda hs: F.concat(F.array(F.lit(0)), hs, F.array(size + 1)))
+
+        def one(starts: Column) -> Column:
+            def section(at: Column, k: Column) -> Column:
+                last = F.element_at(starts, k + 2)
+                title = X.strip(F.regexp_replace(F.regexp_replace(F.try_element_at(lines, F.greatest(at, F.lit(1))), r"^#+ +", ""), r"\s*#+\s*$", ""))
+                first = F.when(level.isNull(), fallback_title).otherwise(F.lit("Front Matter"))
+                return F.struct(F.when(at == 0, first).otherwise(title).alias("title"), X.strip(F.array_join(F.slice(lines, at + 1, last - at - 1), "\n")).alias("body"))
+
+            return F.filter(F.transform(F.slice(starts, 1, F.size(starts) - 1), section), lambda s: s["body"] != "")
+
+        return X.let(starts, one)
+
+    return X.let(F.split(text, "\n"), made)
+
+
 def split_sections(df: DataFrame, doc: str, text: str, level: str, fallback_title: str) -> DataFrame:
     """``doc``, ``section_ix``, ``title``, ``body``: the sections of every document, those without a body left out.
 
     ``level`` names a column; where it is null the document is one section titled by the column ``fallback_title``.
-    Text before the first heading is titled ``Front Matter``. A section's lines are gathered per document only.
+    Text before the first heading is titled ``Front Matter``. A document is cut inside its row: there is no shuffle. A
+    null text has no section.
     """
-    lines = df.select(doc, F.col(level).alias("lv"), F.col(fallback_title).alias("fb"), F.posexplode(F.split(F.col(text), "\n")).alias("i", "line"))
-    mark = F.regexp_extract("line", r"^(#+) +\S", 1)
-    lines = lines.withColumn("head", F.col("lv").isNotNull() & (F.length(mark) == F.col("lv")))
-    sid = F.sum(F.col("head").cast("int")).over(Window.partitionBy(doc).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    title = X.strip(F.regexp_replace(F.regexp_replace("line", r"^#+ +", ""), r"\s*#+\s*$", ""))
-    grouped = lines.withColumn("sid", sid).groupBy(doc, "sid").agg(
-        F.max(F.when(F.col("head"), title)).alias("t"), F.first("fb").alias("fb"), F.first("lv").alias("lv"),
-        F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("i", "line")))).alias("ls"),
-    )
-    body = X.strip(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
-    name = F.coalesce("t", F.when(F.col("lv").isNull(), F.col("fb")).otherwise(F.lit("Front Matter")))
-    kept = grouped.select(doc, "sid", name.alias("title"), body.alias("body")).filter(F.col("body") != "")
-    return kept.select(doc, (F.row_number().over(Window.partitionBy(doc).orderBy("sid")) - 1).alias("section_ix"), "title", "body")
+    sections = section_array(F.col(text), F.col(level), F.col(fallback_title))
+    return df.select(doc, F.posexplode(sections).alias("section_ix", "s")).select(doc, "section_ix", "s.title", "s.body")
 
 
 #: Titles of front and back matter.
@@ -118,14 +137,56 @@ def likely_skip(title: Column, text: Column) -> Column:
     return F.coalesce(title.rlike(SKIPPED_TITLES), F.lit(False)) | (F.coalesce(X.word_count(text), F.lit(0)) < 10)
 
 
-def number_chapters(sections: DataFrame, book: str, order: str, title: str, text: str) -> DataFrame:
-    """The sections that are kept, with ``chapter_index`` from 0 in their order; equal orders are settled by title."""
+def number_chapters(sections: DataFrame, book: str, order: str, title: str, text: str, key: str | None = None) -> DataFrame:
+    """The sections that are kept, with ``chapter_index`` from 0 in their order; equal orders are settled by title.
+
+    With ``key``, which names a unique column, only keys, orders and titles are sorted by book and the texts are met
+    again by the key; without, the whole rows are sorted.
+    """
     w = Window.partitionBy(book).orderBy(order, title)
-    return sections.filter(~likely_skip(F.col(title), F.col(text))).withColumn("chapter_index", F.row_number().over(w) - 1)
+    kept = sections.filter(~likely_skip(F.col(title), F.col(text)))
+    number = (F.row_number().over(w) - 1).alias("chapter_index")
+    if key is None:
+        return kept.select("*", number)
+    return kept.join(kept.select(book, order, title, key).select(F.col(key).alias("_key"), number), F.col(key) == F.col("_key")).drop("_key")
+
+
+def markdown_sections(docs: DataFrame, pages: DataFrame, outline: DataFrame, doc: str, title: str, text: str, page: str = "page_ix", footnotes: str = "inline", forced: int | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(chapters, refused) of extracted documents, from the guard to the numbered chapter.
+
+    ``docs`` has ``doc``, ``title`` and its whole Markdown ``text``; ``pages`` has ``doc``, ``page`` (from 1) and ``text``;
+    ``outline`` is that of :func:`outline_sections`. A document that the guard refuses is in ``refused`` (``doc``,
+    ``error_kind``), or with ``strict`` an error. A document with an outline is cut by its pages, any other by its
+    headings, at the ``forced`` level if given. Chapters have ``doc``, ``chapter_index``, ``title``, ``html``,
+    ``word_count_estimate``, ``has_code``, ``has_math``, ``has_tables``. A document without text gives none.
+    """
+    guard = scan_guard(pages, doc, text)
+    refused = guard.filter("error_kind IS NOT NULL").select(doc, "error_kind")
+    if strict:
+        guard = guard.withColumn("error_kind", F.when(F.col("error_kind").isNotNull(), F.raise_error(F.concat_ws(": ", F.col(doc).cast("string"), "error_kind"))))
+    fine = guard.filter("error_kind IS NULL").select(doc)
+    counts = pages.groupBy(doc).agg(F.max(page).alias("page_count"))
+    spans = outline_sections(outline, counts, doc).join(fine, doc, "left_semi")
+    # the pages of a section, in order: as many as a chapter has
+    parts = spans.withColumnRenamed("page_ix", page).join(pages.select(doc, page, text), [doc, page])
+    by_page = parts.groupBy(doc, "section_ix", "title").agg(F.array_sort(F.collect_list(F.struct(page, text))).alias("ps"))
+    by_page = by_page.select(doc, "section_ix", F.col("title").alias("_title"), F.array_join(F.transform("ps", lambda p: F.coalesce(p[text], F.lit(""))), "\n\n").alias("_body"))
+    rest = docs.join(fine, doc, "left_semi").join(spans.select(doc).distinct(), doc, "left_anti").select(doc, F.col(title).alias("_fb"), X.unify_line_ends(F.col(text)).alias("_t"))
+    rest = rest.withColumn("_lv", heading_level(F.col("_t"), F.lit(forced) if forced else None))
+    by_head = split_sections(rest, doc, "_t", "_lv", "_fb").select(doc, "section_ix", F.col("title").alias("_title"), F.col("body").alias("_body"))
+    sections = by_page.unionByName(by_head).withColumn("_body", X.clean_markdown(F.col("_body"), footnotes))
+    chapters = number_chapters(sections, doc, "section_ix", "_title", "_body").withColumn("html", X.markdown_html("_body"))
+    features = X.html_features(F.col("html"))
+    math = features["has_math"] | X.markdown_math(F.col("_body"))
+    return chapters.select(doc, "chapter_index", F.col("_title").alias("title"), "html", X.word_count(F.col("_body")).alias("word_count_estimate"), features["has_code"].alias("has_code"), math.alias("has_math"), features["has_tables"].alias("has_tables")), refused
+
+
+def text_parts(chapters: DataFrame, book: str, order: str, title: str, text: str) -> DataFrame:
+    """``book``, ``order``, ``part``: each chapter under its title, for books too large for one cell; a sink joins them in order."""
+    return chapters.select(book, order, F.concat(F.lit("# "), F.col(title), F.lit("\n\n"), F.col(text)).alias("part"))
 
 
 def full_text(chapters: DataFrame, book: str, order: str, title: str, text: str) -> DataFrame:
-    """``book``, ``full_text``: the chapters of a book in order, each under its title."""
-    part = F.concat(F.lit("# "), F.col(title), F.lit("\n\n"), F.col(text))
-    rows = chapters.groupBy(book).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p")))).alias("ps"))
+    """``book``, ``full_text``: the chapters of a book in order, each under its title; one cell a book, see :func:`text_parts`."""
+    rows = text_parts(chapters, book, order, title, text).groupBy(book).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("part").alias("p")))).alias("ps"))
     return rows.select(book, F.concat(F.array_join(F.transform("ps", lambda x: x["p"]), "\n\n"), F.lit("\n")).alias("full_text"))

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,17 +51,25 @@ def silence_ratio(samples: Column, below_db: float = -50.0) -> Column:
 
 
 def chapter_durations(probes: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, ``chunks``, ``duration_ms``: of the readable probes, each in whole milliseconds so that the sum has no order."""
+    """``keys``, ``chunks``, ``duration_ns``: of the readable probes.
+
+    Frames are summed by sample rate and only the sums are divided, to whole nanoseconds, so that nothing is lost by the
+    chunk and the result does not depend on an order.
+    """
     ok = F.coalesce(F.col("readable"), F.lit(False)) & (F.col("frames") > 0) & (F.col("sample_rate") > 0)
-    ms = F.floor(F.col("frames") * 1000 / F.col("sample_rate")).cast("long")
-    return probes.filter(ok).groupBy(*keys).agg(F.count(F.lit(1)).alias("chunks"), F.sum(ms).alias("duration_ms"))
+    by_rate = probes.filter(ok).groupBy(*keys, F.col("sample_rate").alias("_rate")).agg(F.count(F.lit(1)).alias("_chunks"), F.sum("frames").alias("_frames"))
+    ns = F.expr("cast(_frames as decimal(28,0)) * 1000000000 div _rate")
+    return by_rate.groupBy(*keys).agg(F.sum("_chunks").alias("chunks"), F.sum(ns).alias("duration_ns"))
+
 
+def timeline(durations: DataFrame, book: str, order: str, duration: str = "duration_ms", per_ms: int = 1) -> DataFrame:
+    """``book``, ``order``, ``start_ms``, ``end_ms``: chapters laid end to end, in numeric order.
 
-def timeline(durations: DataFrame, book: str, order: str) -> DataFrame:
-    """``book``, ``order``, ``start_ms``, ``end_ms``: chapters laid end to end, in numeric order."""
+    ``duration`` is in whole parts of which ``per_ms`` make a millisecond; only the marks are cut to milliseconds.
+    """
     w = Window.partitionBy(book).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum("duration_ms").over(w)
-    return durations.select(book, order, (end - F.col("duration_ms")).alias("start_ms"), end.alias("end_ms"))
+    ends = durations.select(book, order, F.col(duration).alias("_part"), F.sum(duration).over(w).alias("_end"))
+    return ends.select(book, order, F.expr(f"(_end - _part) div {per_ms}").alias("start_ms"), F.expr(f"_end div {per_ms}").alias("end_ms"))
 
 
 def _escaped(c: Column) -> Column:
@@ -100,13 +110,44 @@ def silence_compressed(x: np.ndarray, rate: int, threshold: float = 0.01, max_ga
     return x[keep]
 
 
-def compress_silence(df: DataFrame, samples: str, rate: str, **how) -> DataFrame:
-    """``df`` with ``samples`` (array of float) compressed; ``rate`` names its sample rate. Null stays null."""
+def _compressed(flat: np.ndarray, sizes: np.ndarray, rates: np.ndarray, threshold: float, max_gap_ms: int, edge_ms: int) -> np.ndarray:
+    """Which of the samples of many signals, laid end to end, :func:`silence_compressed` would keep."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    loud = np.flatnonzero(np.abs(flat) > threshold)
+    lo, hi = np.searchsorted(loud, starts), np.searchsorted(loud, ends)
+    has = hi > lo
+    edge, gap = (rates * edge_ms / 1000).astype(np.int64), (rates * max_gap_ms / 1000).astype(np.int64)
+    # a signal without a loud sample keeps its first edge
+    first = np.where(has, loud[np.minimum(lo, max(0, len(loud) - 1))] if len(loud) else 0, starts)
+    last = np.where(has, loud[np.maximum(hi - 1, 0)] if len(loud) else 0, starts - 1)
+    ix = np.arange(len(flat))
+    behind = np.full(len(flat), -1, np.int64)
+    behind[loud] = loud
+    np.maximum.accumulate(behind, out=behind)
+    spread = lambda x: np.repeat(x, sizes)
+    f, e = spread(first), spread(edge)
+    return np.where(ix <= f, ix >= np.where(spread(has), f - e, f), False) & spread(has) | (ix > f) & (ix < spread(last)) & (ix - behind <= spread(gap)) | (ix >= spread(last)) & (ix > np.where(spread(has), f, f - 1)) & (ix <= spread(last) + e)
+
+
+def compress_silence(df: DataFrame, samples: str, rate: str, threshold: float = 0.01, max_gap_ms: int = 600, edge_ms: int = 50) -> DataFrame:
+    """``df`` with ``samples`` (array of float) compressed; ``rate`` names its sample rate. Null and empty stay as they are.
+
+    The signals of a batch are worked on as one array; see :func:`silence_compressed` for what is kept.
+    """
+    if max_gap_ms <= 0:
+        return df
     kind = df.schema[samples].dataType
 
-    @F.pandas_udf(kind)
-    def run(x: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else silence_compressed(np.asarray(a), int(b), **how) for a, b in zip(x, r)])
+    @F.arrow_udf(kind)
+    def run(x: pa.Array, r: pa.Array) -> pa.Array:
+        valid = np.asarray(x.is_valid())
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(x), 0), np.int64)
+        flat = np.asarray(x.flatten())
+        keep = _compressed(flat, sizes, np.asarray(pc.fill_null(r, 0), np.float64), threshold, max_gap_ms, edge_ms)
+        kept = np.bincount(np.repeat(np.arange(len(sizes)), sizes), keep, len(sizes)).astype(np.int64)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32), mask=np.concatenate([~valid, [False]]))
+        return pa.ListArray.from_arrays(offsets, pa.array(flat[keep], x.type.value_type))
 
     return df.withColumn(samples, run(samples, rate))
 
@@ -163,6 +204,27 @@ def probe_wavs(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(filled(_probe), PROBE)
 
 
+def _samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for path, content in zip(pdf["path"], pdf["content"]):
+            try:
+                with wave.open(io.BytesIO(content)) as w:
+                    if w.getsampwidth() != 2:
+                        raise wave.Error("not 16-bit")
+                    x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32) / 32768
+                    rows.append((path, x, w.getframerate(), w.getnchannels()))
+            except (wave.Error, EOFError, TypeError, ValueError):
+                rows.append((path, None, None, None))
+        yield pd.DataFrame({"path": [r[0] for r in rows], "samples": [r[1] for r in rows], "sample_rate": pd.array([r[2] for r in rows], "Int32"), "channels": pd.array([r[3] for r in rows], "Int32")})
+
+
+def read_wavs(files: DataFrame) -> DataFrame:
+    """``path``, ``samples`` (-1 to 1, channels in turn), ``sample_rate``, ``channels`` of 16-bit files read as ``binaryFile``; null for others."""
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("samples", T.ArrayType(T.FloatType())), T.StructField("sample_rate", T.IntegerType()), T.StructField("channels", T.IntegerType())])
+    return files.select("path", "content").mapInPandas(filled(_samples), schema)
+
+
 Synth = Callable[[str], tuple[np.ndarray, int]]
 
 

@@ -78,20 +78,28 @@ def merge_lexicon(hints: DataFrame, book: str, order: list[str]) -> DataFrame:
 
 
 def token_estimate(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
+    return _tokens(F.length(text))
 
 
-def context_budget(books: DataFrame, book: str, text: str, window: int, share: float = 0.6) -> DataFrame:
-    """``book``, ``tokens``, ``included``: whether a whole book fits into the share of the context window; empty books do not."""
-    tokens = token_estimate(F.col(text))
-    return books.select(book, tokens.alias("tokens"), (F.col(text).isNotNull() & (F.col(text) != "") & (tokens <= int(window * share))).alias("included"))
+def _tokens(chars: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(chars / 4)).cast("long")
+
+
+def context_budget(parts: DataFrame, book: str, text: str, window: int, share: float = 0.6) -> DataFrame:
+    """``book``, ``tokens``, ``included``: whether a whole book fits into the share of the context window; empty books do not.
+
+    ``parts`` are the texts of each book in any number of rows; only their lengths are summed. A null text has none.
+    """
+    sizes = parts.groupBy(book).agg(F.sum(F.length(F.coalesce(F.col(text), F.lit("")))).alias("chars"))
+    tokens = _tokens(F.col("chars"))
+    return sizes.select(book, tokens.alias("tokens"), ((F.col("chars") > 0) & (tokens <= int(window * share))).alias("included"))
 
 
 def build_message(chapter_json: Column, context: Column, kind: Column, detail: Column) -> Column:
     """The request for one chapter: the chapter, the book if it is given, the last failure if there was one."""
-    failed = F.concat(F.lit("\nPrevious attempt failed validation with:\n  error_kind: "), kind, F.lit("\n  detail: "), F.coalesce(detail, F.lit("")), F.lit("\nPlease correct the issue and produce a valid response this time."))
-    book = F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("\nWhole-book context (markdown):\n"), context))
-    return F.concat_ws("\n", F.concat(F.lit("Chapter to adapt (JSON):\n"), chapter_json), book, F.when(kind.isNotNull(), failed))
+    failed = F.concat(F.lit("\nThe last answer was refused (error_kind "), kind, F.lit("): "), F.coalesce(detail, F.lit("no detail")), F.lit("\nAnswer again without this fault."))
+    book = F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("\nThe whole book, in Markdown:\n"), context))
+    return F.concat_ws("\n", F.concat(F.lit("The chapter, as JSON:\n"), chapter_json), book, F.when(kind.isNotNull(), failed))
 
 
 def pending(raw: DataFrame, passing: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,6 +140,33 @@ def run_summary(accepted: DataFrame, failed: DataFrame) -> DataFrame:
     return a.crossJoin(failed.agg(F.count(F.lit(1)).alias("failed")))  # one row each
 
 
+def report_json(gated: DataFrame, scope: str, *fields: str) -> DataFrame:
+    """``scope``, ``report``: the report of either gate as JSON, ``{"ok": ..., "results": [...]}``, results in the order of ``fields``.
+
+    ``gated`` has ``ok`` and ``fields``, the first of which tell the rows of a scope apart. One cell a scope: the results
+    are short and as many as a book has chapters or chunks.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(*fields, "ok")))
+    return gated.groupBy(scope).agg(F.to_json(F.struct(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"), rows.alias("results"))).alias("report"))
+
+
+#: The stages of a run, in order.
+STAGES = ("parse", "adapt", "chunk", "render", "assemble")
+
+
+def append_ledger(df: DataFrame, path: str) -> None:
+    """Adds ``df`` (``book_id``, ``stage``, ``detail``, ``at``) to the ledger at ``path``; what is there is never rewritten."""
+    unknown = ~F.coalesce(F.col("stage").isin(*STAGES), F.lit(False))
+    rows = df.select("book_id", F.when(unknown, F.raise_error(F.concat(F.lit("unknown stage "), F.coalesce("stage", F.lit("null"))))).otherwise(F.col("stage")).alias("stage"), "detail", "at")
+    rows.write.mode("append").parquet(path)
+
+
+def ledger_status(ledger: DataFrame) -> DataFrame:
+    """``book_id``, ``stage``, ``detail``, ``at``, ``entries``: the last entry of each stage of each book; an empty ledger has none."""
+    got = ledger.groupBy("book_id", "stage").agg(F.max(F.struct("at", "detail")).alias("l"), F.count(F.lit(1)).alias("entries"))
+    return got.select("book_id", "stage", "l.detail", "l.at", "entries")
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in ``order``, which tells the rows of a key apart: repeated deliveries settled, as a ledger is read.
 

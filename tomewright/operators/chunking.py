@@ -181,6 +181,21 @@ def chunk_chapters(chapters: DataFrame, keys: list[str], text: str, hints: str |
     return rows.select(*keys, F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number).alias("chunk_id"), "c.text", "c.trailing_silence_ms")
 
 
+def chunk_missing(raw: DataFrame, adapted: DataFrame, chunks: DataFrame, keys: list[str], text: str, valid: str, **how) -> DataFrame:
+    """Chunks of the chapters that have a raw row and an adapted one, and no chunk yet in ``chunks`` (``keys``).
+
+    ``adapted`` has ``keys``, ``text`` and ``valid``; a chapter that would be chunked and is not valid is an error. ``how``
+    goes to :func:`chunk_chapters`; its columns are those of ``adapted``. Repeated raw rows count once.
+    """
+    todo = adapted.join(raw.select(*keys).distinct(), keys, "left_semi").join(chunks.select(*keys).distinct(), keys, "left_anti")
+    good = F.coalesce(F.col(valid), F.lit(False))
+    made = chunk_chapters(todo.filter(good), keys, text, **how)
+    name = F.concat_ws("/", *(F.col(k).cast("string") for k in keys))
+    # a row of the other kind is an error when it is read
+    wrong = F.raise_error(F.concat(F.lit("adapted chapter is not valid: "), name)).cast("string")
+    return made.unionByName(todo.filter(~good).select(*keys, wrong.alias("chunk_id"), F.lit("").alias("text"), F.lit(0).alias("trailing_silence_ms")))
+
+
 def chunk_faults(chunks: DataFrame, keys: list[str], most: int = 400) -> DataFrame:
     """``keys``, ``chunk_id``, ``fault`` of chunks that break the schema: repeated_id, bad_id, empty_text, long_text, bad_silence."""
     rows = chunks.groupBy(*keys, "chunk_id").agg(

@@ -56,3 +56,11 @@ def chunk_settings(data: dict[str, Any]) -> ChunkSettings:
 def output_path(given: str | None, env: str | None, configured: str, title_file: str) -> str:
     """Where the finished book goes: a path given, else the environment's folder, else the configured one; empty counts as unset."""
     return given or str(Path(env or configured) / f"{title_file}.m4b")
+
+
+def check_adapt_mode(mode: str, model: str) -> None:
+    """Only ``api`` can run by itself, and only with a model; anything else is an error."""
+    if mode != "api":
+        raise ValueError(f"adapt mode {mode!r} is not run here; only 'api' is")
+    if not model:
+        raise ValueError("adapt mode 'api' needs a model")

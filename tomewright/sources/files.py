@@ -29,3 +29,24 @@ def voice_files(files: DataFrame, active: str | None = None) -> DataFrame:
     base = F.regexp_extract("path", r"([^/\\]+)\.wav$", 1)
     rows = files.select(base.alias("name"), "path").filter((F.col("name") != "") & ~F.col("name").endswith(".preview"))
     return rows.withColumn("active", F.coalesce(F.col("path") == F.lit(active), F.lit(False)))
+
+
+def resolve_voice(files: DataFrame, asked: str | None, configured: str | None, root: str = "") -> DataFrame:
+    """One row ``path``: the voice to use, from a listing of files (``path``).
+
+    The first that is given decides: the ``asked`` path (relative ones are under ``root``) or name, the ``configured``
+    name, ``voices/default.wav``, ``voice/reference.wav``. A voice that is asked for or configured and is not there is an
+    error, as is no voice at all; neither falls through. Empty counts as not given.
+    """
+    under = lambda p: f"{root.rstrip('/')}/{p}" if root and not p.startswith("/") else p
+    named = lambda n: under(f"voices/{n}.wav")
+    there = lambda p: F.coalesce(F.max(F.col("path") == F.lit(p)), F.lit(False))
+    if asked:
+        wanted = [under(asked)] if "/" in asked else [under(asked), named(asked)]
+        missing = f"voice {asked!r} is not there"
+    elif configured:
+        wanted, missing = [named(configured)], f"configured voice {configured!r} is not there"
+    else:
+        wanted, missing = [under("voices/default.wav"), under("voice/reference.wav")], "no voice is given and there is no default"
+    found = F.coalesce(*(F.when(there(p), F.lit(p)) for p in wanted), F.raise_error(F.lit(missing)))
+    return files.agg(found.alias("path"))

@@ -31,7 +31,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """The table ``name`` of ``folder``, with the named columns only (all, if none is named)."""
+    """The table ``name`` of ``folder``, with the named columns only (all, if none is named).
+
+    The session's Arrow batches are set to :data:`ARROW_ROWS` rows, as the functions over the tables' long texts need.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     df = spark.read.parquet(f"{folder}/{name}.parquet")
@@ -50,10 +53,14 @@ def spread(df: DataFrame) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``. Only a local session, as in tests, may do without: it gets a
+    temporary one. A cluster has no folder that all its machines see unless one is named, so there it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()

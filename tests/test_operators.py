@@ -82,7 +82,7 @@ def test_retries_end_after_three_rounds(spark):
 def test_message(spark):
     df = spark.createDataFrame([("{}", "book", "schema_error", None), ("{}", "", None, None)], "j string, c string, k string, d string")
     a, b = (r[0] for r in df.select(A.build_message(*(F.col(c) for c in "jckd"))).collect())
-    assert "Whole-book" in a and "error_kind: schema_error" in a and b == "Chapter to adapt (JSON):\n{}"
+    assert all(x in a for x in ("{}", "book", "schema_error")) and b.endswith("{}") and "refused" not in b and "whole book" not in b
 
 
 def test_context_budget(spark):
@@ -209,3 +209,128 @@ def test_duration_faults(spark):
     assert {(r.k, r.fault) for r in U.duration_faults(chunks, probes, ["k"]).collect()} == {("b", "too_short"), ("c", "too_long"), ("d", "too_long")}
     levels = spark.createDataFrame([([0.0, 0.001, 0.5, -0.5],), ([],)], "x array<double>")
     assert [r[0] for r in levels.select(U.silence_ratio(F.col("x"))).collect()] == [0.5, None]
+
+
+# ---- voices, modes, reports, ledger
+
+
+@pytest.mark.parametrize(
+    ("asked", "configured", "there", "want"),
+    [
+        ("/x/a.wav", None, ["/x/a.wav"], "/x/a.wav"), ("own/a.wav", "b", ["/r/own/a.wav"], "/r/own/a.wav"), ("a", None, ["/r/voices/a.wav", "/r/voices/default.wav"], "/r/voices/a.wav"), ("a.wav", None, ["/r/a.wav"], "/r/a.wav"),
+        ("", "b", ["/r/voices/b.wav", "/r/voices/default.wav"], "/r/voices/b.wav"), (None, None, ["/r/voices/default.wav", "/r/voice/reference.wav"], "/r/voices/default.wav"), (None, "", ["/r/voice/reference.wav"], "/r/voice/reference.wav"),
+        ("gone", None, ["/r/voices/default.wav"], None), (None, "gone", ["/r/voices/default.wav"], None), ("no/such.wav", "b", ["/r/voices/b.wav"], None), (None, None, ["/r/voices/other.wav"], None), (None, None, [], None),
+    ],
+)
+def test_voice_resolution(spark, asked, configured, there, want):
+    listing = spark.createDataFrame([(p,) for p in there], "path string")
+    got = files.resolve_voice(listing, asked, configured, "/r")
+    if want:
+        assert [r.path for r in got.collect()] == [want]
+    else:
+        with pytest.raises(Exception, match="voice"):
+            got.collect()
+
+
+def test_adapt_mode():
+    S.check_adapt_mode("api", "some-model")
+    for mode, model in (("agent", "m"), ("other", "m"), ("api", "")):
+        with pytest.raises(ValueError):
+            S.check_adapt_mode(mode, model)
+
+
+def test_report_json(spark):
+    df = spark.createDataFrame([("b", 2, "x", False), ("b", 1, None, True), ("c", 1, None, True)], "book string, n int, error_kind string, ok boolean")
+    got = {r.book: json.loads(r.report) for r in A.report_json(df, "book", "n", "error_kind").collect()}
+    assert got == {"b": {"ok": False, "results": [{"n": 1, "ok": True}, {"n": 2, "error_kind": "x", "ok": False}]}, "c": {"ok": True, "results": [{"n": 1, "ok": True}]}}
+
+
+def test_ledger(spark, tmp_path):
+    cols = "book_id string, stage string, detail string, at long"
+    path = str(tmp_path / "ledger")
+    A.append_ledger(spark.createDataFrame([("a", "parse", "one", 1), ("a", "adapt", "x", 2)], cols), path)
+    A.append_ledger(spark.createDataFrame([("a", "parse", "two", 3)], cols), path)
+    got = {tuple(r) for r in A.ledger_status(spark.read.parquet(path)).collect()}
+    assert got == {("a", "parse", "two", 3, 2), ("a", "adapt", "x", 2, 1)}
+    with pytest.raises(Exception, match="unknown stage"):
+        A.append_ledger(spark.createDataFrame([("a", "bake", "", 1)], cols), path)
+    assert A.ledger_status(spark.createDataFrame([], cols)).count() == 0
+
+
+# ---- audio
+
+
+def test_silence_of_many_signals_like_one_by_one(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(120):
+        x = np.where(rng.random(rng.integers(0, 90)) < rng.choice([0.0, 0.1, 0.5]), 0.5, 0.001)
+        rows.append((i, None if i == 7 else [float(v) for v in x], int(rng.choice([500, 1000]))))
+    df = spark.createDataFrame(rows, "i int, x array<double>, r int").repartition(3)
+    got = {r.i: r.x for r in U.compress_silence(df, "x", "r", max_gap_ms=6, edge_ms=4).collect()}
+    for i, x, r in rows:
+        assert got[i] == (None if x is None else U.silence_compressed(np.array(x), r, max_gap_ms=6, edge_ms=4).tolist()), i
+    assert U.compress_silence(df.limit(0), "x", "r").count() == 0
+    assert U.compress_silence(df, "x", "r", max_gap_ms=0).filter("i = 3").first().x == rows[3][1]
+
+
+def test_durations_lose_nothing_by_the_chunk(spark):
+    df = spark.createDataFrame([("b", 1, True, 24001, 24000)] * 10_000 + [("b", 2, True, 1, 3), ("b", 2, True, 2, 3), ("b", 2, True, 22050, 44100), ("b", 2, False, 9, 9), ("b", 2, True, None, 9)], "b string, n int, readable boolean, frames long, sample_rate int")
+    got = U.chapter_durations(df, ["b", "n"])
+    assert {(r.n, r.chunks, r.duration_ns) for r in got.collect()} == {(1, 10_000, 24001 * 10_000 * 10**9 // 24000), (2, 3, 15 * 10**8)}
+    marks = U.timeline(got, "b", "n", "duration_ns", 1_000_000).orderBy("n").collect()
+    assert [(r.start_ms, r.end_ms) for r in marks] == [(0, 10_000_416), (10_000_416, 10_001_916)]
+
+
+def test_wav_round_trip(spark):
+    x = np.array([0.0, 0.5, -0.5, 0.25])
+    df = spark.createDataFrame([("a", bytearray(U.wav_bytes(x, 8000, 1))), ("b", bytearray(b"junk"))], "path string, content binary")
+    got = {r.path: r for r in U.read_wavs(df).collect()}
+    assert (got["a"].sample_rate, got["a"].channels, len(got["a"].samples)) == (8000, 1, 4 + 8)
+    assert np.allclose(got["a"].samples[:4], x, atol=1e-4) and got["b"].samples is None
+
+
+# ---- documents
+
+
+def test_document_source(spark):
+    body = "word " * 60
+    docs = [(1, "One", f"# A\n\n{body}\n\n## Sub\n\n`x`\n\n# Index\n\n{body}\n\n# B\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n{body}"), (2, "Two", f"{body}"), (3, "Scan", "x"), (4, "Out", "unused"), (5, "Nul", None)]
+    pages = [(1, 1, docs[0][2]), (2, 1, docs[1][2]), (3, 1, "x"), (4, 1, f"front {body}"), (4, 2, f"first {body}"), (4, 3, f"second {body}"), (5, 1, None)]
+    outline = [(4, 0, 1, "P1", 2), (4, 1, 1, "P2", 3)]
+    args = [spark.createDataFrame(docs, "d int, name string, t string"), spark.createDataFrame(pages, "d int, page_ix int, t string"), spark.createDataFrame(outline, "d int, ix int, level int, title string, start_page int"), "d", "name", "t"]
+    chapters, refused = D.markdown_sections(*args)
+    got = {(r.d, r.chapter_index): r for r in chapters.collect()}
+    assert {k: r.title for k, r in got.items()} == {(1, 0): "A", (1, 1): "B", (2, 0): "Two", (4, 0): "P1", (4, 1): "P2"}
+    assert got[1, 0].has_code and not got[1, 0].has_tables and got[1, 1].has_tables and "<table>" in got[1, 1].html and got[4, 0].html.startswith("<p>first")
+    assert {(r.d, r.error_kind) for r in refused.collect()} == {(3, "scanned"), (5, "scanned")}
+    with pytest.raises(Exception, match="scanned"):
+        D.markdown_sections(*args, strict=True)[0].collect()
+
+
+def test_sections_at_a_forced_level_and_none(spark):
+    df = spark.createDataFrame([(1, "a\n## x #\nb\n## y\n\n## z\nc", 2), (2, "# q\nb", None), (3, None, 1), (4, "", 1), (5, "# only", 1)], "d int, t string, lv int").withColumn("fb", F.lit("F"))
+    got = [tuple(r) for r in D.split_sections(df, "d", "t", "lv", "fb").orderBy("d", "section_ix").collect()]
+    assert got == [(1, 0, "Front Matter", "a"), (1, 1, "x", "b"), (1, 2, "z", "c"), (2, 0, "F", "# q\nb")]
+
+
+def test_chapters_are_numbered_on_their_keys(spark):
+    df = spark.createDataFrame([("b", o, t, "w " * 20, i) for i, (o, t) in enumerate([(3, "x"), (1, "y"), (1, "a"), (2, "Index")])], "b string, o int, t string, body string, k int")
+    by_key = D.number_chapters(df, "b", "o", "t", "body", key="k")
+    assert by_key.columns == [*df.columns, "chapter_index"]
+    assert sorted(map(tuple, by_key.collect())) == sorted(map(tuple, D.number_chapters(df, "b", "o", "t", "body").collect()))
+    assert {(r.k, r.chapter_index) for r in by_key.collect()} == {(2, 0), (1, 1), (0, 2)}
+
+
+def test_no_checkpoint_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from tomewright import session
+
+    unset = N(getCheckpointDir=lambda: N(isEmpty=lambda: True))
+    context = N(_jsc=N(sc=lambda: unset), master="spark://host:7077", setCheckpointDir=lambda p: None)
+    df = N(sparkSession=N(sparkContext=context, conf=N(get=lambda k, d: d)), checkpoint=lambda: "cut")
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.cut_lineage(df)
+    context.master = "local[4]"
+    assert session.cut_lineage(df) == "cut"

@@ -53,7 +53,9 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 def _cleaned(how) -> object:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return _docs(spark, d).select("doc_id", F.md5(how(F.col("t"))).alias("digest"), F.length(how(F.col("t"))).cast("long").alias("chars"))
+        # the cleaned text is used twice and made once
+        both = X.let(how(F.col("t")), lambda c: F.struct(F.md5(c).alias("digest"), F.length(c).cast("long").alias("chars")))
+        return _docs(spark, d).select("doc_id", both.alias("b")).select("doc_id", "b.digest", "b.chars")
 
     return query
 
@@ -129,11 +131,6 @@ def _slug(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", X.slugify(F.col("title"), 24).alias("slug"))
 
 
-def _filename(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents", "doc_id", "text")
-    return rows.select("doc_id", X.safe_filename(F.substring("text", 1, 80)).alias("name"))
-
-
 def _filename_whole(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", X.safe_filename(F.col("text")).alias("name"))
 
@@ -173,7 +170,7 @@ def _sections(spark: SparkSession, d: str) -> DataFrame:
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "chapters_raw", "book_id", "row_id", "title", "html").withColumn("body", F.regexp_replace("html", r"<[^>]+>", " "))
-    got = D.number_chapters(rows.withColumn("title", F.coalesce("title", F.lit(""))), "book_id", "row_id", "title", "body")
+    got = D.number_chapters(rows.withColumn("title", F.coalesce("title", F.lit(""))), "book_id", "row_id", "title", "body", key="row_id")
     return got.select("row_id", F.col("chapter_index").cast("long"), X.word_count(F.col("body")).cast("long").alias("words"))
 
 
@@ -241,9 +238,41 @@ def _payload_hints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _budget(spark: SparkSession, d: str) -> DataFrame:
-    books = table(spark, d, "chunks", "book_id", "row_id", "text").groupBy("book_id").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n"))
-    tokens = F.greatest(F.lit(1), F.floor(F.col("n") / 4)).cast("long")
-    return books.select("book_id", tokens.alias("tokens"), ((F.col("n") > 0) & (tokens <= int(20_000 * 0.6))).alias("included"))
+    return A.context_budget(table(spark, d, "chunks", "book_id", "text"), "book_id", "text", 20_000)
+
+
+def _report_json(spark: SparkSession, d: str) -> DataFrame:
+    return A.report_json(_gated(spark, d), "book_id", "chapter_index", "error_kind")
+
+
+def _render_report_json(spark: SparkSession, d: str) -> DataFrame:
+    return A.report_json(U.render_gate(table(spark, d, "chunks", *_CHUNK), table(spark, d, "wav_probe"), _CHUNK), "book_id", "chapter_index", "chunk_id", "error_kind")
+
+
+def _run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of the loop's result as it stands: what passes is accepted, what does not has failed."""
+    gated = _gated(spark, d)
+    passing = _adapted(spark, d).join(gated.filter("ok").select(*_KEYS), _KEYS, "left_semi").select("payload", (F.col("chapter_index") % 3).alias("attempt"))
+    return A.run_summary(passing, gated.filter("NOT ok"))
+
+
+def _token_estimates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").filter("text IS NOT NULL").select("doc_id", A.token_estimate(F.col("text")).alias("tokens"))
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """The request for each chapter that fails the gate, by its length and digest."""
+    failing = _gated(spark, d).filter("NOT ok").select(*_KEYS, "error_kind", "detail")
+    rows = _raw(spark, d).join(failing, _KEYS).withColumn("m", A.build_message(F.coalesce("source", F.lit("")), F.lit(None).cast("string"), F.col("error_kind"), F.col("detail")))
+    return rows.select(*_KEYS, F.md5("m").alias("digest"), F.length("m").cast("long").alias("chars"))
+
+
+def _ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The status of a ledger made of the deliveries of raw and adapted chapters."""
+    raw = table(spark, d, "chapters_raw", "book_id", "row_id", "loaded_at").select("book_id", F.lit("parse").alias("stage"), F.col("row_id").alias("detail"), F.col("loaded_at").alias("at"))
+    done = table(spark, d, "adapted", "book_id", "row_id", "received_at").select("book_id", F.lit("adapt").alias("stage"), F.col("row_id").alias("detail"), F.col("received_at").alias("at"))
+    got = A.ledger_status(raw.unionByName(done).filter("at IS NOT NULL"))
+    return got.select("book_id", "stage", "detail", "entries")
 
 
 def _latest_adapted(spark: SparkSession, d: str) -> DataFrame:
@@ -295,12 +324,6 @@ def _book_lexicon_applied(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select(*_KEYS, F.md5(C.apply_lexicon(F.col("text"), F.col("hints"))).alias("digest"))
 
 
-def _lexicon_applied(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chunks", "row_id", "text").filter("text IS NOT NULL")
-    hints = F.expr("array(named_struct('term','engine','spoken_as','EN-gin'), named_struct('term','en gin','spoken_as','motor'), named_struct('term','The','spoken_as','Thee'), named_struct('term','AI','spoken_as','A I'))")
-    return rows.select("row_id", F.md5(C.apply_lexicon(F.col("text"), hints)).alias("digest"))
-
-
 def _paragraphs(spark: SparkSession, d: str) -> DataFrame:
     rows = _docs(spark, d).select("doc_id", F.posexplode(C.paragraphs(F.col("t"))).alias("i", "p"))
     return rows.select("doc_id", F.col("i").cast("long").alias("para_ix"), F.md5("p").alias("digest"))
@@ -333,6 +356,22 @@ def _chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
     return there.join(made, _KEYS).filter((F.col("n") != F.col("m")) | (F.col("longest") > 400))
 
 
+def _chunk_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the chapters that pass the gate and have none yet."""
+    ok = _gated(spark, d).filter("ok").select(*_KEYS)
+    texts = _adapted(spark, d).join(ok, _KEYS, "left_semi").withColumn("p", read_payload("payload")).select(*_KEYS, F.col("p.adapted_text").alias("text"), (F.col("p.state") == "object").alias("valid"))
+    return C.chunk_missing(table(spark, d, "chapters_raw", *_KEYS), texts, table(spark, d, "chunks", *_KEYS), _KEYS, "text", "valid")
+
+
+def _composed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as extracted books of one page each, through all steps of the document source."""
+    docs = _docs(spark, d).withColumn("title", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    pages = docs.select("doc_id", F.lit(1).alias("page_ix"), "t")
+    none = docs.select("doc_id", F.lit(0).alias("ix"), F.lit(1).alias("level"), "title", F.lit(1).alias("start_page")).limit(0)
+    chapters, _ = D.markdown_sections(docs, pages, none, "doc_id", "title", "t", footnotes="endnote")
+    return chapters.select("doc_id", F.col("chapter_index").cast("long"), "title", F.col("word_count_estimate").cast("long").alias("words"), "has_code", "has_math", "has_tables")
+
+
 def _faults(spark: SparkSession, d: str) -> DataFrame:
     return C.chunk_faults(table(spark, d, "chunks", *_KEYS, "chunk_id", "text", "trailing_silence_ms"), _KEYS)
 
@@ -363,7 +402,7 @@ def _durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _timeline(spark: SparkSession, d: str) -> DataFrame:
-    return U.timeline(_durations(spark, d), "book_id", "chapter_index")
+    return U.timeline(_durations(spark, d), "book_id", "chapter_index", "duration_ns", 1_000_000)
 
 
 def _metadata(spark: SparkSession, d: str) -> DataFrame:
@@ -426,7 +465,6 @@ QUERIES = {
     "clean_dehyphenate": _dehyphenate,
     "clean_pipeline": _cleaned(lambda c: X.clean_markdown(c, "endnote")),
     "slugify": _slug,
-    "safe_filename": _filename,
     "safe_filename_whole": _filename_whole,
     "safe_filename_titles": _filename_titles,
     "scan_guard": _guard,
@@ -445,9 +483,16 @@ QUERIES = {
     "merge_payload_hints": _payload_hints,
     "context_budget": _budget,
     "latest_adapted": _latest_adapted,
+    "gate_report_json": _report_json,
+    "render_report_json": _render_report_json,
+    "run_summary": _run_summary,
+    "token_estimates": _token_estimates,
+    "retry_messages": _messages,
+    "ledger_status": _ledger,
+    "chunk_missing": _chunk_missing,
+    "document_source": _composed,
     "adapt_loop": _adapt_loop,
     "sanitize_hints": _sanitized,
-    "apply_lexicon": _lexicon_applied,
     "apply_book_lexicon": _book_lexicon_applied,
     "paragraphs": _paragraphs,
     "merge_orphans": _orphans,
@@ -501,12 +546,13 @@ _HINTS = _GATE.split("r AS (SELECT r.book_id")[0].replace(_LAST_ADAPTED, "adapte
     SELECT book_id, term, spoken_as, CASE WHEN len(others) = 0 THEN reason ELSE CASE WHEN reason = '' THEN '' ELSE reason || ' ' END || '[conflict with: ' || array_to_string(others, ', ') || ']' END AS reason FROM o
 """
 _BEST_PROBE = "(SELECT book_id, chapter_index, chunk_id, coalesce(readable, false) AS readable, coalesce(frames, 0) AS frames, coalesce(sample_rate, 0) AS sample_rate FROM wav_probe QUALIFY row_number() OVER (PARTITION BY book_id, chapter_index, chunk_id ORDER BY coalesce(readable, false) DESC, coalesce(frames, 0) DESC, coalesce(sample_rate, 0) DESC) = 1)"
-_DURATIONS = "SELECT book_id, chapter_index, count(*) AS chunks, sum(floor(frames * 1000 / sample_rate))::BIGINT AS duration_ms FROM wav_probe WHERE readable AND frames > 0 AND sample_rate > 0 GROUP BY ALL"
-_TIMELINE = f"SELECT book_id, chapter_index, (sum(duration_ms) OVER w - duration_ms)::BIGINT AS start_ms, (sum(duration_ms) OVER w)::BIGINT AS end_ms FROM ({_DURATIONS}) WINDOW w AS (PARTITION BY book_id ORDER BY chapter_index)"
+_DURATIONS = """SELECT book_id, chapter_index, sum(n)::BIGINT AS chunks, sum(f::HUGEINT * 1000000000 // sample_rate)::BIGINT AS duration_ns
+    FROM (SELECT book_id, chapter_index, sample_rate, count(*) AS n, sum(frames) AS f FROM wav_probe WHERE readable AND frames > 0 AND sample_rate > 0 GROUP BY ALL) GROUP BY ALL"""
+_TIMELINE = f"SELECT book_id, chapter_index, ((sum(duration_ns) OVER w - duration_ns) // 1000000)::BIGINT AS start_ms, (sum(duration_ns) OVER w // 1000000)::BIGINT AS end_ms FROM ({_DURATIONS}) WINDOW w AS (PARTITION BY book_id ORDER BY chapter_index)"
 _SIGNALS = "SELECT book_id, chapter_index, chunk_id, f, list_transform(range(1, 401), lambda i: CASE WHEN (i + f) % 97 < f % 40 THEN 0.001 ELSE ((i * 7 + f) % 200 - 100) / 101.0::DOUBLE END) AS x FROM (SELECT book_id, chapter_index, chunk_id, max(frames) AS f FROM wav_probe WHERE frames IS NOT NULL GROUP BY ALL)"
 _HEAD = f"^#{{1,6}}{W}+.*[^ \t]{W}*$"
 _INNER = _strip("regexp_replace(" + _strip(f"regexp_replace(l, '^#+{W}+', '')") + r", '^\*+|\*+$', '', 'g')")
-_CODE = r"[=(){}\[\];]|>>>|\$\s|::|\bprint\(|\bimport\s|\bdef\s|\bclass\s|\bnp\.|\bplt\.|\bself\."
+_CODE = X.CODE_TOKEN
 
 ORACLE = {
     "clean_line_ends": _cleaned_sql(_ENDS),
@@ -527,7 +573,6 @@ ORACLE = {
         g AS (SELECT doc_id, list(y ORDER BY i) AS ys FROM f GROUP BY 1),
         r AS (SELECT p.doc_id, array_to_string(list_transform(list_zip(outs, coalesce(ys, [])), lambda z: z[1] || coalesce(z[2], '')), '') AS c FROM p LEFT JOIN g USING (doc_id))
         SELECT doc_id, md5(c) AS digest, length(c) AS chars FROM r""",
-    "apply_lexicon": r"""SELECT row_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bengine\b', 'en gin', 'g'), '(?i)\ben gin\b', 'motor', 'g'), '\bThe\b', 'thee', 'g')) AS digest FROM chunks WHERE text IS NOT NULL""",
     "merge_orphans": f"""WITH r AS (SELECT doc_id, list_reduce(list_transform(list_filter(list_transform(string_split(text, ' '), lambda x: {_strip('x')}), lambda x: x <> ''), lambda x: {{'m': []::VARCHAR[], 'p': x}}),
         lambda a, b: CASE WHEN length(concat_ws(' ', nullif(a.p, ''), b.p)) < 20 THEN {{'m': a.m, 'p': concat_ws(' ', nullif(a.p, ''), b.p)}} ELSE {{'m': list_append(a.m, concat_ws(' ', nullif(a.p, ''), b.p)), 'p': ''}} END, {{'m': []::VARCHAR[], 'p': ''}}) AS s FROM documents WHERE text IS NOT NULL),
         f AS (SELECT doc_id, CASE WHEN s.p = '' THEN s.m WHEN len(s.m) > 0 THEN list_append(s.m[1:-2], s.m[-1] || ' ' || s.p) ELSE [s.p] END AS parts FROM r)
@@ -542,7 +587,6 @@ ORACLE = {
     "slugify": """SELECT row_id, CASE WHEN slug = '' THEN 'untitled' ELSE slug END AS slug FROM (SELECT row_id, CASE WHEN length(s) <= 24 THEN s
         WHEN trim(regexp_replace(s[1:24], '-[^-]*$', ''), '-') <> '' THEN trim(regexp_replace(s[1:24], '-[^-]*$', ''), '-') ELSE s[1:24] END AS slug
         FROM (SELECT row_id, trim(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM chapters_raw WHERE title IS NOT NULL))""",
-    "safe_filename": f"""SELECT doc_id, CASE WHEN n = '' THEN 'book' ELSE n END AS name FROM (SELECT doc_id, {_strip("trim(" + _strip("regexp_replace(regexp_replace(text[1:80], '[\\\\/:*?\"<>|\\x00-\\x1f]', '', 'g'), '" + W + "+', ' ', 'g')") + ", '.')")} AS n FROM documents)""",
     "safe_filename_whole": f"SELECT doc_id, {_filename_sql('text')} AS name FROM documents",
     "safe_filename_titles": f"SELECT title, {_filename_sql('title')} AS name FROM (SELECT title FROM books UNION SELECT title FROM chapters_raw) WHERE title IS NOT NULL",
     "scan_guard": f"""SELECT book_id, pages, chars::BIGINT AS chars, CASE WHEN chars < 100 OR chars / pages < 600 THEN 'scanned' END AS error_kind
@@ -577,12 +621,20 @@ ORACLE = {
         SELECT book_id, term, spoken_as, CASE WHEN len(others) = 0 THEN reason ELSE CASE WHEN reason = '' THEN '' ELSE reason || ' ' END || '[conflict with: ' || array_to_string(others, ', ') || ']' END AS reason, first_hint_id FROM o""",
     "merge_payload_hints": _HINTS,
     "context_budget": "SELECT book_id, greatest(1, floor(n / 4))::BIGINT AS tokens, n > 0 AND greatest(1, floor(n / 4)) <= 12000 AS included FROM (SELECT book_id, sum(length(coalesce(text, ''))) AS n FROM chunks GROUP BY 1)",
+    "token_estimates": "SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL",
+    "gate_report_json": _GATE + """SELECT book_id, '{"ok":' || bool_and(error_kind IS NULL) || ',"results":[' || string_agg('{"chapter_index":' || chapter_index || CASE WHEN error_kind IS NULL THEN '' ELSE ',"error_kind":"' || error_kind || '"' END || ',"ok":' || (error_kind IS NULL) || '}', ',' ORDER BY chapter_index) || ']}' AS report FROM g GROUP BY 1""",
+    "run_summary": _GATE + """SELECT count(*) FILTER (error_kind IS NULL) AS succeeded, count(*) FILTER (error_kind IS NULL AND chapter_index % 3 > 1) AS retried, coalesce(sum(greatest(1, length(payload) // 4)) FILTER (error_kind IS NULL), 0)::BIGINT AS tokens_out, count(*) FILTER (error_kind IS NOT NULL) AS failed FROM g""",
+    "retry_messages": _GATE + r"""SELECT book_id, chapter_index, md5(m) AS digest, length(m) AS chars FROM (SELECT book_id, chapter_index, E'The chapter, as JSON:\n' || coalesce(source, '') || E'\n\nThe last answer was refused (error_kind ' || error_kind || '): ' || coalesce(CASE WHEN error_kind = 'markdown_artifact' THEN bad END, 'no detail') || E'\nAnswer again without this fault.' AS m FROM g WHERE error_kind IS NOT NULL)""",
+    "ledger_status": """SELECT book_id, stage, arg_max(detail, row(t, detail)) AS detail, count(*) AS entries FROM (SELECT book_id, 'parse' AS stage, row_id AS detail, loaded_at AS t FROM chapters_raw UNION ALL SELECT book_id, 'adapt', row_id, received_at FROM adapted) WHERE t IS NOT NULL GROUP BY 1, 2""",
+    "chunk_invariants": "SELECT book_id, chapter_index, 0 AS n, 0 AS m, 0 AS longest FROM adapted WHERE false",
     "latest_adapted": f"SELECT book_id, chapter_index, row_id, adapter FROM {_LAST_ADAPTED}",
     "sanitize_hints": f"""WITH s AS (SELECT hint_id, term, {_strip("regexp_replace(regexp_replace(CASE WHEN regexp_matches(spoken_as, '\\p{Lu}') AND regexp_matches(spoken_as, '\\p{Ll}') THEN lower(spoken_as) ELSE spoken_as END, '[-_]+', ' ', 'g'), '" + W + "+', ' ', 'g')")} AS spoken FROM lexicon WHERE spoken_as IS NOT NULL AND term IS NOT NULL)
         SELECT hint_id, spoken, regexp_matches(spoken, '^\\p{{L}}(?: \\p{{L}})+$') AND lower(replace(spoken, ' ', '')) = lower(regexp_replace(term, '[^A-Za-z]', '', 'g')) AS redundant FROM s""",
     "paragraphs": f"SELECT doc_id, i - 1 AS para_ix, md5(p) AS digest FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\\n{W}*\\n'), lambda p: {_strip('p')}), lambda p: p <> '') AS ps FROM ({_DOCS})))",
     "chunk_faults": """WITH g AS (SELECT book_id, chapter_index, chunk_id, count(*) AS n, bool_or(coalesce(length(text), 0) = 0) AS e, max(length(text)) AS m, bool_or(NOT coalesce(trailing_silence_ms BETWEEN 0 AND 10000, false)) AS s FROM chunks GROUP BY ALL)
         SELECT book_id, chapter_index, chunk_id, unnest(list_filter([CASE WHEN n > 1 THEN 'repeated_id' END, CASE WHEN NOT coalesce(regexp_matches(chunk_id, '^[0-9]{4}$'), false) THEN 'bad_id' END, CASE WHEN e THEN 'empty_text' END, CASE WHEN m > 400 THEN 'long_text' END, CASE WHEN s THEN 'bad_silence' END], lambda x: x IS NOT NULL)) AS fault FROM g""",
+    "render_report_json": f"""WITH c AS (SELECT DISTINCT book_id, chapter_index, chunk_id FROM chunks), g AS (SELECT c.*, CASE WHEN p.readable IS NULL THEN 'missing' WHEN NOT p.readable THEN 'unreadable' WHEN p.frames <= 0 OR p.sample_rate <= 0 THEN 'zero_duration' END AS error_kind
+        FROM c LEFT JOIN {_BEST_PROBE} p USING (book_id, chapter_index, chunk_id)) SELECT book_id, '{{"ok":' || bool_and(error_kind IS NULL) || ',"results":[' || string_agg('{{"chapter_index":' || chapter_index || ',"chunk_id":"' || chunk_id || '"' || CASE WHEN error_kind IS NULL THEN '' ELSE ',"error_kind":"' || error_kind || '"' END || ',"ok":' || (error_kind IS NULL) || '}}', ',' ORDER BY chapter_index, chunk_id) || ']}}' AS report FROM g GROUP BY 1""",
     "render_gate": f"""WITH c AS (SELECT DISTINCT book_id, chapter_index, chunk_id FROM chunks), g AS (SELECT c.*, p.frames, p.sample_rate, CASE WHEN p.readable IS NULL THEN 'missing' WHEN NOT p.readable THEN 'unreadable' WHEN p.frames <= 0 OR p.sample_rate <= 0 THEN 'zero_duration' END AS error_kind
         FROM c LEFT JOIN {_BEST_PROBE} p USING (book_id, chapter_index, chunk_id)) SELECT book_id, chapter_index, chunk_id, error_kind IS NULL AS ok, error_kind, round(CASE WHEN error_kind IS NULL THEN frames / sample_rate END, 6) AS duration_s FROM g""",
     "duration_faults": f"""WITH c AS (SELECT book_id, chapter_index, chunk_id, max(length(coalesce(text, ''))) AS n FROM chunks GROUP BY ALL),

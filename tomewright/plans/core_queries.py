@@ -17,6 +17,7 @@ from ..operators import audio as U
 from ..operators import chunking as C
 from ..operators import documents as D
 from ..session import spread, table
+from ..sources import files as S
 
 #: What is put behind a line, by its number.
 FAULTS = [
@@ -356,6 +357,18 @@ def _chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
     return there.join(made, _KEYS).filter((F.col("n") != F.col("m")) | (F.col("longest") > 400))
 
 
+def _input_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The reader chosen for the books, were they files of four kinds."""
+    path = F.concat(F.lit("in/"), F.col("book_id"), F.element_at(F.array(*map(F.lit, (".epub", ".v2.PDF", ".txt", ""))), (F.length("title") % 4 + 1).cast("int")))
+    return table(spark, d, "books", "book_id", "title").filter("title IS NOT NULL").select("book_id", S.input_kind(path).alias("kind"))
+
+
+def _voices(spark: SparkSession, d: str) -> DataFrame:
+    """The voices of a listing made of the books: a recording each, for some a preview."""
+    listing = table(spark, d, "books", "book_id", "title").select(F.concat(F.lit("voices/"), F.col("book_id"), F.when(F.length("title") % 3 == 0, ".preview.wav").when(F.length("title") % 3 == 1, ".txt").otherwise(".wav")).alias("path"))
+    return S.voice_files(listing, "voices/bk0000001.wav")
+
+
 def _chunk_missing(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the chapters that pass the gate and have none yet."""
     ok = _gated(spark, d).filter("ok").select(*_KEYS)
@@ -489,6 +502,8 @@ QUERIES = {
     "token_estimates": _token_estimates,
     "retry_messages": _messages,
     "ledger_status": _ledger,
+    "input_kinds": _input_kinds,
+    "voice_files": _voices,
     "chunk_missing": _chunk_missing,
     "document_source": _composed,
     "adapt_loop": _adapt_loop,
@@ -621,6 +636,13 @@ ORACLE = {
         SELECT book_id, term, spoken_as, CASE WHEN len(others) = 0 THEN reason ELSE CASE WHEN reason = '' THEN '' ELSE reason || ' ' END || '[conflict with: ' || array_to_string(others, ', ') || ']' END AS reason, first_hint_id FROM o""",
     "merge_payload_hints": _HINTS,
     "context_budget": "SELECT book_id, greatest(1, floor(n / 4))::BIGINT AS tokens, n > 0 AND greatest(1, floor(n / 4)) <= 12000 AS included FROM (SELECT book_id, sum(length(coalesce(text, ''))) AS n FROM chunks GROUP BY 1)",
+    "adapt_loop": _GATE + rf"""SELECT book_id, chapter_index, CASE WHEN error_kind IS NULL THEN 0
+        WHEN ({_WORDS("coalesce(source, '')")}) = 0 OR regexp_matches(source, '<pre[\s>]|```|<table[\s>]|\$\$|(?i:<h1[\s>])') THEN -1 WHEN chapter_index % 2 = 1 THEN 2 ELSE 1 END AS attempt FROM g""",
+    "render_missing": """WITH c AS (SELECT book_id, chapter_index, chunk_id, text, trailing_silence_ms FROM chunks QUALIFY row_number() OVER (PARTITION BY book_id, chapter_index, chunk_id ORDER BY row_id DESC) = 1)
+        SELECT concat_ws('/', book_id, chapter_index, chunk_id) AS path, true AS readable, 10 * greatest(1, length(coalesce(text, ''))) + greatest(0, coalesce(trailing_silence_ms, 0)) AS frames, 1000 AS sample_rate
+        FROM c ANTI JOIN (SELECT * FROM wav_probe WHERE readable AND frames > 0) USING (book_id, chapter_index, chunk_id)""",
+    "input_kinds": r"""SELECT book_id, CASE WHEN e IN ('epub', 'pdf') THEN e END AS kind FROM (SELECT book_id, lower(regexp_extract('in/' || book_id || ['.epub', '.v2.PDF', '.txt', ''][length(title) % 4 + 1], '\.([^./\\]+)$', 1)) AS e FROM books WHERE title IS NOT NULL)""",
+    "voice_files": "SELECT book_id AS name, 'voices/' || book_id || '.wav' AS path, book_id = 'bk0000001' AS active FROM books WHERE title IS NULL OR length(title) % 3 = 2",
     "token_estimates": "SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL",
     "gate_report_json": _GATE + """SELECT book_id, '{"ok":' || bool_and(error_kind IS NULL) || ',"results":[' || string_agg('{"chapter_index":' || chapter_index || CASE WHEN error_kind IS NULL THEN '' ELSE ',"error_kind":"' || error_kind || '"' END || ',"ok":' || (error_kind IS NULL) || '}', ',' ORDER BY chapter_index) || ']}' AS report FROM g GROUP BY 1""",
     "run_summary": _GATE + """SELECT count(*) FILTER (error_kind IS NULL) AS succeeded, count(*) FILTER (error_kind IS NULL AND chapter_index % 3 > 1) AS retried, coalesce(sum(greatest(1, length(payload) // 4)) FILTER (error_kind IS NULL), 0)::BIGINT AS tokens_out, count(*) FILTER (error_kind IS NOT NULL) AS failed FROM g""",

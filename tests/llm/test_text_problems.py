@@ -1,6 +1,7 @@
 """Problems 1, 2, 4, 5, 6, 9: cases, edges, and brute force where there is one."""
 
 
+import hashlib
 import math
 import random
 import re
@@ -497,3 +498,17 @@ def test_a_page_in_a_script_without_stops():
     page = "<p>ถ้าบรรณาธิการเงียบย่อหน้าก็จะอ่านผู้<br/>\nอ่านเพราะเหตุใดเสียงจึงแก้ไขผู้อ่านถ้า<br/>\nผู้แปลยาวผู้อ่านก็จะแก้ไขผู้แปล</p>"
     clean = "<p>ถ้าบรรณาธิการเงียบย่อหน้าก็จะอ่านผู้</p>\n<p>อ่านเพราะเหตุใดเสียงจึงแก้ไขผู้อ่านถ้า</p>"
     assert scans.is_scanned(scans.lines_of(page)) and not scans.is_scanned(scans.lines_of(clean))
+
+
+def test_codes_are_made_longer_until_they_are_distinct(spark, monkeypatch):
+    monkeypatch.setattr(privacy, "code", lambda secret, kind, value, size=10: hashlib.sha256(value.encode()).hexdigest()[:1] + ("" if size < 40 else value))
+    values = spark.createDataFrame([(i, 0, 9, "email", f"u{i}@x.org", "", "", "", f"u{i}@x.org") for i in range(60)], "key long, start int, stop int, kind string, found string, first string, last string, gender string, value string")
+    got = {r.value: r.size for r in privacy._distinct_codes(values, "k", "placeholder").collect()}
+    assert len(got) >= 45 and set(got.values()) == {40}
+
+
+def test_a_surrogate_is_no_value_of_the_corpus(spark):
+    made = privacy.surrogate("k", "phone", "+44 20 7946 0786", "", "", "", 12)
+    texts = ["Call +44 20 7946 0786 now", f"Call {made} now"]
+    got = [r.text for r in privacy.replace_entities(docs(spark, texts), "k", "t", "k", style="surrogate").orderBy("k").collect()]
+    assert made not in got[0] and len(set(got)) == 2 and re.fullmatch(r"Call \+\d\d \d\d \d{4} \d{4} now", got[0])

@@ -9,7 +9,7 @@ cue can be found.
 
 Replacement is by keyed surrogates: each entity, or each part of a name, gets a code from a keyed hash, the same
 wherever it occurs and however it is written (``Last, First`` like ``First Last``). Codes are checked for collisions over
-the whole corpus, and entities that share one get a longer code. A code becomes a typed placeholder or, with
+the whole corpus, and entities that share one get a longer code, until none is shared. A code becomes a typed placeholder or, with
 ``style="surrogate"``, a made-up value of the same gender, script and format.
 """
 
@@ -390,20 +390,54 @@ def _with_genders(found: DataFrame) -> DataFrame:
     return out.withColumn("gender", F.when(n > 0, "f").when(n < 0, "m").otherwise("")).select(*found.columns)
 
 
+#: Codes are made longer in steps of this, and checked this often at most.
+CODE, ROUNDS = 10, 8
+
+
+def _valued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        parts = zip(pdf["kind"], pdf["found"], pdf["first"], pdf["last"])
+        yield pdf.assign(value=[f"{l.lower()}|{f.lower()}" if k == "name" else norm_entity(k, x) for k, x, f, l in parts])
+
+
 def _coder(secret: str, style: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = list(zip(pdf["kind"], pdf["found"], pdf["first"], pdf["last"], pdf["gender"]))
-            value = [f"{l.lower()}|{f.lower()}" if k == "name" else norm_entity(k, x) for k, x, f, l, _ in parts]
-            if style == "placeholder":
-                codes = [code(secret, p[0], v) for p, v in zip(parts, value)]
-            else:  # one order and form of a name, so that its ways of writing don't count as persons
-                codes = [surrogate(secret, k, f"{f} {l}".strip() if k == "name" else x, f, l, g) for k, x, f, l, g in parts]
-            yield pdf.assign(value=value, code=codes)
+            codes = []
+            for k, v, x, f, l, g, size in zip(*(pdf[c] for c in ("kind", "value", "found", "first", "last", "gender", "size"))):
+                if style == "placeholder":
+                    codes.append(code(secret, k, v, size))
+                elif k == "name":  # one order and form of a name, so that its ways of writing don't count as persons
+                    codes.append(surrogate(secret, k, f"{f} {l}".strip(), f, l, g, size + 2).lower())
+                else:
+                    codes.append(norm_entity(k, surrogate(secret, k, x, f, l, g, size + 2)))
+            yield pdf.assign(code=codes)
 
     return run
 
 
+def _distinct_codes(valued: DataFrame, secret: str, style: str) -> DataFrame:
+    """``kind``, ``value``, ``size`` of the entities that need a longer code than :data:`CODE`.
+
+    A code is taken again, longer, as long as it stands for two entities of the corpus or is itself one that occurs
+    there. A number whose form leaves too little room may still share one after :data:`ROUNDS` rounds.
+    """
+    entities = valued.groupBy("kind", "value").agg(*(F.max(c).alias(c) for c in ("found", "first", "last", "gender"))).withColumn("size", F.lit(CODE))
+    coder = filled(_coder(secret, style))
+    for _ in range(ROUNDS):
+        coded = cut_lineage(entities.mapInPandas(coder, T.StructType([*(T.StructField(f.name, f.dataType) for f in entities.schema.fields), T.StructField("code", T.StringType())])))
+        taken = coded.groupBy(F.col("kind").alias("k"), F.col("code").alias("c")).agg(F.min("value").alias("a"), F.max("value").alias("b")).filter("a != b").select("k", "c")
+        if style != "placeholder":
+            # a name's value is "last|first"
+            real = F.when(F.col("kind") == "name", F.trim(F.regexp_replace("value", r"^([^|]*)\|(.*)$", "$2 $1"))).otherwise(F.col("value"))
+            taken = taken.unionByName(coded.select(F.col("kind").alias("k"), real.alias("c"))).distinct()
+        clash = coded.join(taken.withColumn("clash", F.lit(True)), (F.col("kind") == F.col("k")) & (F.col("code") == F.col("c")), "left").drop("k", "c")
+        if clash.filter("clash").isEmpty():
+            break
+        entities = clash.withColumn("size", F.when(F.col("clash"), F.col("size") + CODE).otherwise(F.col("size"))).drop("clash", "code")
+    return coded.filter(F.col("size") > CODE).select("kind", "value", "size")
+
+
 def _replacer(secret: str, style: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -416,7 +450,7 @@ def _replacer(secret: str, style: str):
                 for s in sorted(spans, key=lambda s: (s["start"], -s["stop"])):
                     if s["start"] < at:
                         continue
-                    size = 20 if s["shared"] else 10
+                    size = s["size"]
                     new = f"[{s['kind'].upper()}:{code(secret, s['kind'], s['value'], size)}]" if style == "placeholder" else surrogate(secret, s["kind"], s["found"], s["first"], s["last"], s["gender"], size + 2)
                     parts += [text[at : s["start"]], new]
                     at = s["stop"]
@@ -432,7 +466,7 @@ def replace_entities(df: DataFrame, key: str, text: str, secret: str, style: str
     ``secret`` is the key of the codes; who has it can tell by trial which value a code stands for, so there is no default.
 
     ``style="placeholder"`` writes ``[KIND:CODE]``, ``"surrogate"`` a made-up value. ``key`` must be unique. Null and
-    empty texts come out as they are. Entities whose codes collide anywhere in the corpus get codes of twice the length.
+    empty texts come out as they are. Codes that collide anywhere in the corpus are made longer; see :func:`_distinct_codes`.
     """
     if not secret:
         raise ValueError("a key is needed")
@@ -440,9 +474,8 @@ def replace_entities(df: DataFrame, key: str, text: str, secret: str, style: str
     found = find_entities(docs, "key", "text")
     if style == "surrogate":
         found = _with_genders(cut_lineage(found))
-    coded = found.mapInPandas(filled(_coder(secret, style)), T.StructType([*found.schema.fields, T.StructField("value", T.StringType()), T.StructField("code", T.StringType())]))
-    # codes that stand for more than one entity of the corpus
-    shared = coded.groupBy("kind", "code").agg(F.min("value").alias("a"), F.max("value").alias("b")).filter("a != b").select("kind", "code", F.lit(True).alias("shared"))
-    marked = coded.join(shared, ["kind", "code"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
-    spans = marked.groupBy("key").agg(F.collect_list(F.struct("start", "stop", "kind", "found", "first", "last", "gender", "value", "shared")).alias("spans"))
+    valued = cut_lineage(found.mapInPandas(filled(_valued), T.StructType([*found.schema.fields, T.StructField("value", T.StringType())])))
+    longer = _distinct_codes(valued, secret, style)
+    marked = beside(valued, longer, ["kind", "value"], ["key", "start"]).withColumn("size", F.coalesce("size", F.lit(CODE)))
+    spans = marked.groupBy("key").agg(F.collect_list(F.struct("start", "stop", "kind", "found", "first", "last", "gender", "value", "size")).alias("spans"))
     return docs.join(spans, "key", "left").mapInPandas(filled(_replacer(secret, style)), docs.schema).withColumnsRenamed({"key": key})

@@ -47,6 +47,24 @@ def apply_lexicon(text: Column, hints: Column) -> Column:
     return F.aggregate(ready, text, lambda acc, h: F.regexp_replace(acc, term_pattern(h["term"]), literal(h["say"])))
 
 
+def hints_for(texts: DataFrame, lexicon: DataFrame, keys: list[str], book: str, text: str, order: list[str]) -> DataFrame:
+    """``keys``, ``hints``: for each text the hints of its book that can change it, by ``order``; a text without one gives no row.
+
+    ``lexicon`` has ``book``, ``term``, ``spoken_as`` and ``order``; ``book`` is one of ``keys``, which are unique and not null.
+    A term can only match where its first word stands, in the text or in what another hint of the book writes, so that a
+    long lexicon of a long book is not tried on every chapter. Null texts and terms match nothing.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.upper(c)), F.lit(r"(?U)\w+"), F.lit(0)))
+    given = lexicon.filter(F.col("term").isNotNull()).select(book, *order, "term", "spoken_as", F.coalesce(F.try_element_at(words(F.col("term")), F.lit(1)), F.lit("")).alias("_word"))
+    written = given.select(book, F.explode(words(sanitize_spoken(F.col("spoken_as")))).alias("_word")).distinct()
+    # a hint that another may call for, like one without a word, is tried on every text of the book
+    called = given.filter("_word != ''").join(written, [book, "_word"], "left_semi").withColumn("_word", F.lit(""))
+    asking = texts.select(*keys, F.explode(F.array_union(F.array(F.lit("")), words(F.col(text)))).alias("_word"))
+    hits = asking.join(given.unionByName(called), [book, "_word"]).select(*keys, *order, "term", "spoken_as").distinct()
+    placed = F.array_sort(F.collect_list(F.struct(*order, F.struct("term", "spoken_as").alias("hint"))))
+    return hits.groupBy(*keys).agg(F.transform(placed, lambda x: x["hint"]).alias("hints"))
+
+
 # ---- units
 
 

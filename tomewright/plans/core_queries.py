@@ -302,23 +302,19 @@ def _sanitized(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("hint_id", said.alias("spoken"), C.is_redundant(F.col("term"), said).alias("redundant"))
 
 
-def _book_lexicon(adapted: DataFrame) -> DataFrame:
-    """``book_id``, ``lexicon``: the merged hints of all chapters of a book, by the place where a term comes first."""
-    order = ["chapter_index", "row_id", "pos"]
-    merged = A.merge_lexicon(A.hints_of(adapted, [*_KEYS, "row_id"]), "book_id", order)
-    placed = F.struct(*(f"first_{o}" for o in order), F.struct("term", "spoken_as", "reason").alias("hint"))
-    return merged.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["hint"]).alias("lexicon"))
-
-
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """The adapted text of each chapter, with the lexicon of its book and then of its payload, and the headings of its source."""
+    """The adapted text of each chapter, with the hints of its book's merged lexicon that it may need and then those of its payload, and the headings of its source."""
     adapted = _adapted(spark, d)
+    order = ["chapter_index", "row_id", "pos"]
+    lexicon = A.merge_lexicon(A.hints_of(adapted, [*_KEYS, "row_id"]), "book_id", order).select("book_id", "term", "spoken_as", *(F.col(f"first_{o}").alias(f"at_{o}") for o in order))
     rows = adapted.withColumn("p", read_payload("payload")).filter("p.state = 'object' AND p.adapted_text IS NOT NULL")
-    hints = F.from_json("p.hints", "array<struct<term:string,spoken_as:string,reason:string>>")
-    none = F.array().cast("array<struct<term:string,spoken_as:string,reason:string>>")
+    hint = "array<struct<term:string,spoken_as:string>>"
+    own = F.coalesce(F.from_json("p.hints", hint), F.array().cast(hint))
+    rows = rows.select(*_KEYS, F.col("p.adapted_text").alias("text"), own.alias("own"))
+    book = C.hints_for(rows, lexicon, _KEYS, "book_id", "text", [f"at_{o}" for o in order])
     heads = A.latest(table(spark, d, "chapters_raw", *_KEYS, "html", "row_id"), _KEYS, ["row_id"]).select(*_KEYS, X.html_headings(F.coalesce("html", F.lit(""))).alias("headings"))
-    rows = rows.select(*_KEYS, F.col("p.adapted_text").alias("text"), F.coalesce(hints, none).alias("own")).join(_book_lexicon(adapted), "book_id", "left")
-    return rows.select(*_KEYS, "text", F.concat(F.coalesce("lexicon", none), "own").alias("hints")).join(heads, _KEYS)
+    rows = rows.join(book, _KEYS, "left").select(*_KEYS, "text", F.concat(F.coalesce("hints", F.array().cast(hint)), "own").alias("hints"))
+    return rows.join(heads, _KEYS)
 
 
 def _book_lexicon_applied(spark: SparkSession, d: str) -> DataFrame:

@@ -260,7 +260,7 @@ def test_limits_of_any_length(scale):
 
 def test_recurring_tails_of_any_length(spark):
     tail = "This closing line is long and has no mark of its own though it stands in many of the chapters of one publisher who likes it"
-    _, got = cut_rows(spark, [("q", f"Some text {i}.\n \n{tail}", "object") for i in range(4)] + [("q", f"Some text.\n\n{tail[:60]}", "object")])
+    _, got = cut_rows(spark, [("q", f"Some text {'so ' * 9 * i}.\n \n{tail}", "object") for i in range(4)] + [("q", f"Some text.\n\n{tail[:60]}", "object")])
     assert {r.k for r in got.collect() if r.cut} == {4}
 
 

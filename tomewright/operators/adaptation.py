@@ -58,7 +58,12 @@ _HINTS = "array<struct<term:string,spoken_as:string,reason:string>>"
 
 def hints_of(adapted: DataFrame, keys: list[str]) -> DataFrame:
     """``keys``, ``pos``, ``term``, ``spoken_as``, ``reason``: the hints of the payloads that keep the schema."""
-    rows = adapted.select(*keys, read_payload("payload").alias("p")).filter((F.col("p.state") == "object") & F.col("p.schema_ok"))
+    return parsed_hints(adapted.select(*keys, read_payload("payload").alias("p")), keys)
+
+
+def parsed_hints(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """As :func:`hints_of`, of payloads that were read into ``p`` already."""
+    rows = parsed.filter((F.col("p.state") == "object") & F.col("p.schema_ok"))
     got = rows.select(*keys, F.posexplode(F.from_json("p.hints", _HINTS)).alias("pos", "h"))
     return got.select(*keys, "pos", "h.term", "h.spoken_as", F.coalesce("h.reason", F.lit("")).alias("reason"))
 

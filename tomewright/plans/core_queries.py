@@ -16,7 +16,7 @@ from ..operators import adaptation as A
 from ..operators import audio as U
 from ..operators import chunking as C
 from ..operators import documents as D
-from ..session import spread, table
+from ..session import cut_lineage, spread, table
 from ..sources import files as S
 
 #: What is put behind a line, by its number.
@@ -304,17 +304,21 @@ def _sanitized(spark: SparkSession, d: str) -> DataFrame:
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """The adapted text of each chapter, with the hints of its book's merged lexicon that it may need and then those of its payload, and the headings of its source."""
-    adapted = _adapted(spark, d)
+    # used for the lexicon, for the words that ask for it and for the result: the payloads are read once
+    parsed = cut_lineage(_adapted(spark, d).select(*_KEYS, "row_id", read_payload("payload").alias("p")))
     order = ["chapter_index", "row_id", "pos"]
-    lexicon = A.merge_lexicon(A.hints_of(adapted, [*_KEYS, "row_id"]), "book_id", order).select("book_id", "term", "spoken_as", *(F.col(f"first_{o}").alias(f"at_{o}") for o in order))
-    rows = adapted.withColumn("p", read_payload("payload")).filter("p.state = 'object' AND p.adapted_text IS NOT NULL")
+    lexicon = A.merge_lexicon(A.parsed_hints(parsed, [*_KEYS, "row_id"]), "book_id", order).select("book_id", "term", "spoken_as", *(F.col(f"first_{o}").alias(f"at_{o}") for o in order))
+    rows = parsed.filter("p.state = 'object' AND p.adapted_text IS NOT NULL")
     hint = "array<struct<term:string,spoken_as:string>>"
     own = F.coalesce(F.from_json("p.hints", hint), F.array().cast(hint))
     rows = rows.select(*_KEYS, F.col("p.adapted_text").alias("text"), own.alias("own"))
     book = C.hints_for(rows, lexicon, _KEYS, "book_id", "text", [f"at_{o}" for o in order])
     heads = A.latest(table(spark, d, "chapters_raw", *_KEYS, "html", "row_id"), _KEYS, ["row_id"]).select(*_KEYS, X.html_headings(F.coalesce("html", F.lit(""))).alias("headings"))
     rows = rows.join(book, _KEYS, "left").select(*_KEYS, "text", F.concat(F.coalesce("hints", F.array().cast(hint)), "own").alias("hints"))
-    return rows.join(heads, _KEYS)
+    rows = rows.join(heads, _KEYS)
+    # joins leave a small input on few tasks, and chunking is the dear part; a large one keeps its partitions
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if parsed.rdd.getNumPartitions() <= cores else rows
 
 
 def _book_lexicon_applied(spark: SparkSession, d: str) -> DataFrame:

@@ -9,8 +9,10 @@ Survivors: values are ordered by currency. From the timestamped rows the operato
 which class of value follows which class where a pair of values is new. These precedences, freed of cycles, and the
 timestamps order the values of each group in part: a value without a timestamp is later than the latest one with a
 timestamp only if a precedence between the two was learned. Of those the topologically latest wins, one behind which no
-other stands; without a precedence nothing is preferred but the larger key. With ``missing="earliest"`` the order is given
-instead: each value without a timestamp stands before those with one.
+other stands; without a precedence nothing is preferred but the larger key. With ``missing="earliest"`` the rows without a
+timestamp stand on one place of their own, with given edges from it to all classes. Given edges enter the same order before
+the learned ones, which are left out where they contradict them, and the topologically latest is looked for in the same way;
+as timestamps, given edges and keys leave no two rows open then, the learned precedences are outranked everywhere.
 
 Every choice is a ``max`` with partial aggregation over the distinct values of a group, so that a group of any size is
 never gathered in one task; only classes, whose number is bounded, are listed for a group or brought to the driver.
@@ -18,6 +20,8 @@ never gathered in one task; only classes, whose number is bounded, are listed fo
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,8 @@ SLIP_LETTERS, SALT = 8, 8
 #: Values that at least this share of the groups hold are classes of their own, so there are at most a hundred of them a
 #: group has room for; other values go by their shape. Precedence between single values is learned for all of them.
 CLASS_SHARE = 0.01
+#: The place that rows without a timestamp share when it is given and not learned; no class is called so.
+NO_TIME = "?"
 
 _FROM, _TO = "".join(LOOKALIKES), "".join(LOOKALIKES.values())
 
@@ -120,15 +126,15 @@ def _transitions(nodes: DataFrame) -> DataFrame:
     return pairs.filter((F.col("v") != F.col("l.v")) & (F.col("at") < F.col("l.at"))).groupBy("field", F.col("v").alias("a"), F.col("l.v").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def precedences(counts: dict[tuple[str, str], int]) -> dict[str, set[str]]:
-    """For each class those that come later, from the transition ``counts``: a partial order.
+def precedences(counts: dict[tuple[str, str], int], given: Iterable[tuple[str, str]] = ()) -> dict[str, set[str]]:
+    """For each class those that come later, from the ``given`` edges and the transition ``counts``: a partial order.
 
-    A class precedes another if more transitions lead to it than back. The strongest precedences come first, and those
-    that would close a cycle are left out; what follows from two precedences is one as well.
+    A class precedes another if more transitions lead to it than back. The given edges come first, then the strongest
+    precedences, and those that would close a cycle are left out; what follows from two precedences is one as well.
     """
     net = sorted(((n - counts.get((b, a), 0), a, b) for (a, b), n in counts.items() if n > counts.get((b, a), 0)), key=lambda x: (-x[0], x[1], x[2]))
     later: dict[str, set[str]] = {}
-    for _, a, b in net:
+    for a, b in [*given, *((a, b) for _, a, b in net)]:
         if a == b or a in later.get(b, ()):
             continue
         gained = {b} | later.get(b, set())
@@ -137,8 +143,11 @@ def precedences(counts: dict[tuple[str, str], int]) -> dict[str, set[str]]:
     return later
 
 
-def _learned(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``field``, ``a``, ``b``, ``later`` for pairs of values, and ``field``, ``class``, ``after`` for the classes; ``nodes`` has a ``class``."""
+def _learned(nodes: DataFrame, missing: str) -> tuple[DataFrame, DataFrame]:
+    """``field``, ``a``, ``b``, ``later`` for pairs of values, and ``field``, ``class``, ``after`` for the classes; ``nodes`` has a ``class``.
+
+    With ``missing="earliest"`` the order of the classes has :data:`NO_TIME` before each of them.
+    """
     pairs = cut_lineage(_transitions(nodes))
     back = pairs.select("field", F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("m"))
     both = pairs.join(back, ["field", "a", "b"], "full").select("field", "a", "b", (F.coalesce("n", F.lit(0)) > F.coalesce("m", F.lit(0))).alias("later"))
@@ -147,7 +156,11 @@ def _learned(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts: dict[int, dict[tuple[str, str], int]] = {}
     for r in classed.filter("x != y").groupBy("field", "x", "y").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.setdefault(r["field"], {})[r["x"], r["y"]] = r["n"]
-    rows = [(f, c, sorted(after)) for f, some in counts.items() for c, after in precedences(some).items()]
+    given: dict[int, list[tuple[str, str]]] = {}
+    if missing == "earliest":
+        for r in names.select("field", "class").distinct().toLocalIterator():
+            given.setdefault(r["field"], []).append((NO_TIME, r["class"]))
+    rows = [(f, c, sorted(after)) for f in sorted({*counts, *given}) for c, after in precedences(counts.get(f, {}), given.get(f, ())).items()]
     return both, nodes.sparkSession.createDataFrame(rows, "field int, class string, after array<string>")
 
 
@@ -167,9 +180,7 @@ def latest_values(rows: DataFrame, missing: str) -> DataFrame:
     timed = F.max(F.when(F.col("at").isNotNull(), F.struct("trust", "at", "id"))).alias("timed")
     untimed = F.max(F.when(F.col("at").isNull(), F.struct("trust", "id"))).alias("untimed")
     nodes = rows.groupBy("field", "scope", "root", "v").agg(timed, untimed)
-    if missing == "learned":
-        nodes = _with_class(cut_lineage(nodes))
-    nodes = cut_lineage(nodes)
+    nodes = cut_lineage(_with_class(cut_lineage(nodes)))
     where = ["field", "scope", "root"]
     t = F.max(F.when(F.col("timed").isNotNull(), F.struct("timed.trust", "timed.at", "timed.id", "v"))).alias("t")
     tops = nodes.groupBy(*where).agg(t, F.max("untimed.trust").alias("u_trust")).withColumn("top", F.greatest("t.trust", "u_trust"))
@@ -177,25 +188,25 @@ def latest_values(rows: DataFrame, missing: str) -> DataFrame:
     asking = nodes.filter("untimed IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)))
     asking = asking.join(tops.withColumn("salt", salts), [*where, "salt"]).filter(F.col("untimed.trust") == F.col("top"))
     # rivals: the latest value with a timestamp, if it has as much trust
-    asking = asking.select(*where, "v", F.col("untimed.id").alias("id"), F.when(F.col("t.trust") == F.col("top"), F.col("t.v")).alias("rival"), *(["class"] if missing == "learned" else []))
-    if missing == "learned":
-        pairs, after = _learned(nodes)
-        known = pairs.select("field", F.col("a").alias("rival"), F.col("b").alias("v"), "later")
-        # rows without a rival ask for nothing and get a key of their own
-        alone = F.coalesce("rival", F.concat(F.lit("#"), F.col("id").cast("string")))
-        asking = asking.withColumn("rival_", alone).join(known.withColumnRenamed("rival", "rival_"), ["field", "rival_", "v"], "left").drop("rival_")
-        small = F.broadcast(after)  # at most a row for each class
-        asking = asking.join(small, ["field", "class"], "left")
-        shape = nodes.select("field", F.col("v").alias("rival"), F.col("class").alias("r_class")).distinct()
-        asking = asking.withColumn("rival_", alone).join(shape.withColumnRenamed("rival", "rival_"), ["field", "rival_"], "left").drop("rival_")
-        asking = asking.join(small.withColumnsRenamed({"class": "r_class", "after": "r_after"}), ["field", "r_class"], "left")
-        beats = F.coalesce("later", F.array_contains("r_after", F.col("class")), F.lit(False))
-        asking = cut_lineage(asking.filter(F.col("rival").isNull() | beats).select(*where, "v", "id", "class", F.coalesce("after", F.array().cast("array<string>")).alias("after")))
-        there = asking.groupBy(*where).agg(F.collect_set("class").alias("classes"))  # bounded: classes, not values
-        asking = asking.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT))).join(there.withColumn("salt", salts), [*where, "salt"])
-        asking = asking.filter(~F.arrays_overlap("after", "classes"))
-    else:
-        asking = asking.filter(F.col("rival").isNull())
+    asking = asking.select(*where, "v", F.col("untimed.id").alias("id"), F.when(F.col("t.trust") == F.col("top"), F.col("t.v")).alias("rival"), "class")
+    # where a value without a timestamp stands in the order: by itself and its class, or on the given place
+    own, place = (F.lit(None).cast("string"), F.lit(NO_TIME)) if missing == "earliest" else (F.col("v"), F.col("class"))
+    asking = asking.withColumns({"own": own, "place": place}).drop("class")
+    pairs, after = _learned(nodes, missing)
+    known = pairs.select("field", F.col("a").alias("rival_"), F.col("b").alias("own"), "later")
+    # rows without a rival ask for nothing and get a key of their own
+    alone = F.coalesce("rival", F.concat(F.lit("#"), F.col("id").cast("string")))
+    asking = asking.withColumn("rival_", alone).join(known, ["field", "rival_", "own"], "left").drop("rival_")
+    small = F.broadcast(after.withColumnRenamed("class", "place"))  # at most a row for each class
+    asking = asking.join(small, ["field", "place"], "left")
+    shape = nodes.select("field", F.col("v").alias("rival_"), F.col("class").alias("r_class")).distinct()
+    asking = asking.withColumn("rival_", alone).join(shape, ["field", "rival_"], "left").drop("rival_")
+    asking = asking.join(small.withColumnsRenamed({"place": "r_class", "after": "r_after"}), ["field", "r_class"], "left")
+    beats = F.coalesce("later", F.array_contains("r_after", F.col("place")), F.lit(False))
+    asking = cut_lineage(asking.filter(F.col("rival").isNull() | beats).select(*where, "v", "id", "place", F.coalesce("after", F.array().cast("array<string>")).alias("after")))
+    there = asking.groupBy(*where).agg(F.collect_set("place").alias("places"))  # bounded: classes, not values
+    asking = asking.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT))).join(there.withColumn("salt", salts), [*where, "salt"])
+    asking = asking.filter(~F.arrays_overlap("after", "places"))
     won = asking.groupBy(*where).agg(F.max(F.struct("id", "v")).alias("u"))
     won = tops.join(won, where, "left")
     use = F.col("u").isNotNull()
@@ -207,7 +218,7 @@ def survivors(df: DataFrame, scope: str, term: str, key: str, fields: list[str],
 
     A field's survivor has a real value and, among those, the highest trust of its origin (``trust`` has ``origin`` and
     ``trust``; a null or unknown origin counts 0), then the latest timestamp, then the largest ``key``. Rows without a
-    timestamp come first with ``missing="earliest"``; with ``"learned"`` the topologically latest of them wins over the
+    timestamp come first with ``missing="earliest"``, by given edges of the same order; with ``"learned"`` the topologically latest of them wins over the
     latest row with a timestamp, at equal trust, if a learned precedence puts its value behind; see the module's
     docstring. A group without a real value has null and 0. Rows with null scope or term belong to no group. Tied and
     repeated rows are settled by ``key``, which is unique.
